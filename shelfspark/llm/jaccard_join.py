@@ -155,8 +155,8 @@ def _forest(links: np.ndarray) -> list[int]:
     return [find(i) for i in range(len(links))]
 
 
-def verify(placed: DataFrame, similarity: Fraction, n: int) -> DataFrame:
-    """``key``, ``root`` (another member of its group, or itself) and ``links``."""
+def verify(placed: DataFrame, id_kind: str, similarity: Fraction, n: int) -> DataFrame:
+    """``key``, ``first_id``, ``root_key``, ``root_id`` (a member of its group, perhaps itself) and ``links``."""
 
     def group(tree: int, lo: int, hi: int, rows: list[dict]):
         rows = list({r["key"]: r for r in rows}.values())
@@ -180,22 +180,24 @@ def verify(placed: DataFrame, similarity: Fraction, n: int) -> DataFrame:
         count = link @ weight + link.T @ weight
         root = _forest(link)
         for i in np.flatnonzero(count):
-            yield rows[used[i]]["key"], rows[used[root[i]]]["key"], int(count[i])
+            own, top = rows[used[i]], rows[used[root[i]]]
+            yield own["key"], own["first_id"], top["key"], top["first_id"], int(count[i])
 
     def run(it):
-        at, rows, out = None, [], []
+        at, rows, out, id_type = None, [], [], None
 
         def flush():
             if rows:
                 out.extend(group(at[1], at[2], at[3], rows))
 
         def batch_of():
+            kinds = [pa.binary(), id_type, pa.binary(), id_type, pa.int64()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64())],
-                ["key", "root", "links"],
+                [pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], ["key", "first_id", "root_key", "root_id", "links"]
             )
 
         for batch in it:
+            id_type = batch.schema.field("first_id").type
             for r in batch.to_pylist():
                 here = (r["bucket"], r["tree"], r["lo"], r["hi"])
                 if here != at:
@@ -209,7 +211,7 @@ def verify(placed: DataFrame, similarity: Fraction, n: int) -> DataFrame:
         if out:
             yield batch_of()
 
-    return placed.mapInArrow(run, "key binary, root binary, links long")
+    return placed.mapInArrow(run, f"key binary, first_id {id_kind}, root_key binary, root_id {id_kind}, links long")
 
 
 def jaccard_classes(
@@ -264,7 +266,7 @@ def jaccard_classes(
     count = F.ceil(F.col("node.n") / BLOCK_DOCS).cast("int")
     placed = (
         keyed.join(wanted.hint("merge"), is_first)
-        .select("key", "_text", "pref", "copies", F.explode("in").alias("node"))
+        .select("key", "first_id", "_text", "pref", "copies", F.explode("in").alias("node"))
         .withColumn("count", count)
         .withColumn("blk", F.pmod(F.xxhash64("key", F.col("node.bucket")), F.col("count")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
@@ -275,6 +277,7 @@ def jaccard_classes(
             F.greatest("blk", "other").alias("hi"),
             "blk",
             "key",
+            "first_id",
             "_text",
             "pref",
             "copies",
@@ -282,20 +285,27 @@ def jaccard_classes(
         .repartition("bucket", "lo", "hi")
         .sortWithinPartitions("bucket", "lo", "hi", "key")
     )
-    links = cut(verify(placed, similarity, words))
-    rooted = components(links.select(F.col("key").alias("u"), F.col("root").alias("v")))
+    links = cut(verify(placed, kind, similarity, words))
+    # a node is (smallest id of its copies, key), so the smallest node of a
+    # component carries the class's id and no join by component is needed
+    def node(i: str, k: str):
+        return F.struct(F.col(i).alias("i"), F.col(k).alias("k"))
+
+    rooted = components(links.select(node("first_id", "key").alias("u"), node("root_id", "root_key").alias("v"))).select(
+        F.col("node.k").alias("node_key"), F.col("root.i").alias("root_id"), F.lit(True).alias("below")
+    )
     counted = links.groupBy("key").agg(F.sum("links").alias("links"))
-    known = (
+    told = (
         distinct.drop("pref")
         .join(counted, "key", "left")
-        .join(rooted, F.col("key") == F.col("node"), "left")
-        .select("key", "first_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root"))
-    )
-    named = known.groupBy("root").agg(F.min("first_id").alias("class_id")).withColumnRenamed("root", "r")
-    told = (
-        known.where((F.col("links") > 0) | (F.col("copies") > 1))
-        .join(named, F.col("root") == F.col("r"))
-        .select(F.col("key").alias("k"), "class_id", (F.col("links") + F.col("copies") - 1).alias("n"), F.lit(True).alias("told"))
+        .where((F.col("copies") > 1) | F.col("links").isNotNull())
+        .join(rooted, F.col("key") == F.col("node_key"), "left")
+        .select(
+            F.col("key").alias("k"),
+            F.when(F.col("below"), F.col("root_id")).otherwise(F.col("first_id")).alias("class_id"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"),
+            F.lit(True).alias("told"),
+        )
     )
     return signed.join(told, F.col("key") == F.col("k"), "left").select(
         F.col("_id").alias(id_col),
@@ -318,4 +328,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     repeated = classes.where("n_links > 0").groupBy(id_col, "_key").count().where("count > 1")
     if repeated.isEmpty():
         return left
-    return left.withColumn("_k", key).dropDuplicates([id_col, "_k"]).drop("_k")
+    return left.withColumn("_shelfspark_key", key).dropDuplicates([id_col, "_shelfspark_key"]).drop("_shelfspark_key")
