@@ -11,11 +11,10 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
-import numpy as np
-
 CACHE_WORDS = 250_000
 #: Code points whose class, case mapping and normal form are stable and one to one.
 COMMON = [i for i in range(0x180) if i != 0x130]
@@ -66,16 +65,20 @@ STAND_IN = {i: c for i, c in enumerate(ALPHABET)}
 
 
 class WordCache(dict):
-    """Codes by pre-token; emptied when full, so memory stays bounded."""
+    """Codes by pre-token, in two generations of bounded size: when the younger
+    is full it becomes the older one, from which words in use come back."""
 
     def __init__(self, make, most: int = CACHE_WORDS, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, word):
-        value = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[word] = value
         return value
@@ -127,6 +130,8 @@ class Codec:
 
     @staticmethod
     def mapped(word: str) -> str:
+        if word.isascii() and word.isprintable() and " " not in word:
+            return word  # visible ASCII stands for itself
         return word.encode("utf-8").decode("latin-1").translate(STAND_IN)
 
     def word_ids(self, word: str) -> list[int]:
@@ -146,7 +151,8 @@ def default_path(name: str) -> str:
 
 
 def as_bytes(ids) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=4)
