@@ -295,7 +295,8 @@ def jaccard_classes(
         F.col("node.k").alias("node_key"), F.col("root.i").alias("root_id"), F.lit(True).alias("below")
     )
     counted = links.groupBy("key").agg(F.sum("links").alias("links"))
-    told = (
+    # written, so that the last join reads two plain shuffles and a hot key can be split
+    told = cut(
         distinct.drop("pref")
         .join(counted, "key", "left")
         .where((F.col("copies") > 1) | F.col("links").isNotNull())
