@@ -23,10 +23,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, texts_of
+from .common import blocks, id_text, texts_of
 from .tokenizing import Codec, WordCache, as_bytes, codec, default_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,6 +35,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LEAF = 256
 #: Characters of a document in one row; longer ones are cut into several.
 ROW_CHARS = 32_768
+#: Bytes of text that a task works on at once, and so of each Arrow batch it returns.
+BATCH_BYTES = 4 << 20
 #: A boundary this far from an open end cannot change with what follows.
 MARGIN = 32
 
@@ -136,6 +139,24 @@ def encode_text(path: str, text: str, leaf: int = LEAF) -> bytes:
     return b"".join(codes(path, leaf, scan(codec(path), text)))
 
 
+@lru_cache(maxsize=4)
+def _token_bytes(path: str) -> list[bytes]:
+    """The bytes of each token by its id."""
+    c = codec(path)
+    known = {**c.spec["model"]["vocab"], **c.special}
+    table = [b""] * (max(known.values(), default=-1) + 1)
+    for token, i in c.spec["model"]["vocab"].items():
+        table[i] = c.plain_bytes(token)
+    for token, i in c.special.items():
+        table[i] = token.encode("utf-8")
+    return table
+
+
+def decode_ids(path: str, ids: bytes) -> str:
+    """Tokens' bytes put together; bytes that are no UTF-8 become replacement characters."""
+    return b"".join(map(_token_bytes(path).__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+
+
 def encode(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -143,16 +164,27 @@ def encode(
     path: str | None = None,
     leaf: int = LEAF,
     row_chars: int = ROW_CHARS,
+    decoded: bool = False,
 ) -> DataFrame:
-    """``id_col`` and ``ids`` (binary, little-endian unsigned 32-bit) of every row."""
+    """``id_col`` and ``ids`` (binary, little-endian unsigned 32-bit) of every row;
+    with ``decoded`` also the text that the ids decode to, from the same pass."""
     id_type = docs.schema[id_col].dataType
     rows = id_text(docs, id_col, text_col)
+    names = ["_id", "ids", "decoded"] if decoded else ["_id", "ids"]
+
+    def columns(file: str, ids: list[bytes]) -> list[pa.Array]:
+        out = [pa.array(ids, pa.binary())]
+        return [*out, pa.array([decode_ids(file, x) for x in ids], pa.string())] if decoded else out
 
     def short(it):
         file = path or default_path(VOCABULARY)
         for batch in it:
-            ids = [encode_text(file, t, leaf) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary())], ["_id", "ids"])
+            sizes = batch.column("_text").cast(pa.large_string())
+            lengths = pc.fill_null(pc.binary_length(sizes), 0).to_pylist()
+            for a, b in blocks(lengths, BATCH_BYTES):
+                part = batch.slice(a, b - a)
+                ids = [encode_text(file, t, leaf) for t in texts_of(part)]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), *columns(file, ids)], names)
 
     def pieces(it):
         file = path or default_path(VOCABULARY)
@@ -190,11 +222,11 @@ def encode(
                 join_scans(file, leaf, level[i], level[i + 1]) if i + 1 < len(level) else level[i]
                 for i in range(0, len(level), 2)
             ]
-        ids = b"".join(level[0][1])
-        return pa.table({"_id": table.column("_id").slice(0, copies[0]), "ids": pa.array([ids] * copies[0], pa.binary())})
+        ids = [b"".join(level[0][1])] * copies[0]
+        return pa.table(dict(zip(names, [table.column("_id").slice(0, copies[0]), *columns(file, ids)])))
 
     kind = id_type.simpleString()
-    out_schema = f"_id {kind}, ids binary"
+    out_schema = f"_id {kind}, ids binary" + ", decoded string" * decoded
     n = F.char_length("_text")
     small = rows.where(n <= row_chars).mapInArrow(short, out_schema)
     big = (
@@ -215,19 +247,9 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
     """Every row of ``encoded`` with the ``decoded`` text of its ids (null: empty)."""
 
     def run(it):
-        c = codec(path or default_path(VOCABULARY))
-        size = max(c.spec["model"]["vocab"].values(), default=0) + 1
-        size = max([size, *(i + 1 for i in c.special.values())])
-        table = [b""] * size
-        for token, i in c.spec["model"]["vocab"].items():
-            table[i] = c.plain_bytes(token)
-        for token, i in c.special.items():
-            table[i] = token.encode("utf-8")
+        file = path or default_path(VOCABULARY)
         for batch in it:
-            texts = [
-                b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace")
-                for x in batch.column("ids").to_pylist()
-            ]
+            texts = [decode_ids(file, x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), batch.column("ids"), pa.array(texts, pa.string())], ["_id", "ids", "decoded"]
             )

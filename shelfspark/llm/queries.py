@@ -87,7 +87,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe_tree.decode(bpe_tree.encode(table(spark, sf_dir, "documents")))
+    coded = bpe_tree.encode(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
