@@ -19,6 +19,7 @@ rows each give their own row; other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -101,38 +102,74 @@ def codes(path: str, leaf: int, words: list[str]) -> list[bytes]:
     return list(map(known.__getitem__, words))
 
 
-def join_scans(path: str, leaf: int, left, right):
-    """(words, codes) of two neighbouring texts from those of each."""
-    (lw, lc), (rw, rc) = left, right
-    if not lw or not rw:
-        return (lw or rw), (lc or rc)
-    c, k = codec(path), 4
+@dataclass
+class Scanned:
+    """A stretch of text with its pre-tokens: where each ends in the text and in
+    the ids, so that only those near a seam ever become objects."""
+
+    text: str
+    ends: np.ndarray
+    cuts: np.ndarray
+    ids: bytes
+
+    @classmethod
+    def of(cls, path: str, leaf: int, text: str) -> Scanned:
+        words = scan(codec(path), text)
+        made = codes(path, leaf, words)
+        return cls(text, _sums(map(len, words)), _sums(len(x) // 4 for x in made), b"".join(made))
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def start(self, i: int) -> tuple[int, int]:
+        """Where pre-token ``i`` begins in the text and in the ids."""
+        return (int(self.ends[i - 1]), int(self.cuts[i - 1])) if i else (0, 0)
+
+
+def _sums(sizes) -> np.ndarray:
+    return np.cumsum(np.fromiter(sizes, dtype=np.int64))
+
+
+def join_scans(path: str, leaf: int, left: Scanned, right: Scanned) -> Scanned:
+    """Two neighbouring stretches as one.
+
+    Pre-tokens are found from left to right, so both scans agree for good from
+    the first boundary that they share.  The window begins at a boundary of the
+    left scan and is scanned again; its boundaries are looked for in the right
+    scan, and if none is there, the window grows."""
+    if not len(left) or not len(right):
+        return left if len(left) else right
+    c, k, seam = codec(path), 4, len(left.text)
     while True:
-        kl, kr = min(k, len(lw)), min(k, len(rw))
-        head, tail = lw[len(lw) - kl :], rw[:kr]
+        kl, kr = min(k, len(left)), min(k, len(right))
         k *= 2
-        if kl < len(lw) and sum(map(len, head)) < MARGIN:
+        first, first_id = left.start(len(left) - kl)
+        if first and seam - first < MARGIN:
             continue
-        seam = sum(map(len, head))
-        window = scan(c, "".join(head) + "".join(tail))
-        whole = seam + sum(map(len, tail))
-        limit = whole if kr == len(rw) else whole - MARGIN
-        rims, at = {}, seam
-        for j, w in enumerate(tail):
-            rims[at] = j
-            at += len(w)
-        rims[at] = kr
-        at = 0
+        last = int(right.ends[kr - 1])
+        window = scan(c, left.text[first:] + right.text[:last])
+        limit = last if kr == len(right) else last - MARGIN
+        rims = {0: 0, **{int(e): j + 1 for j, e in enumerate(right.ends[:kr])}}
+        at, stop = first - seam, None
         for i, w in enumerate(window):
-            if at >= seam and at in rims and at <= limit:
-                j = rims[at]
-                return (
-                    lw[: len(lw) - kl] + window[:i] + rw[j:],
-                    lc[: len(lc) - kl] + codes(path, leaf, window[:i]) + rc[j:],
-                )
+            if at >= 0 and at in rims and at <= limit:
+                stop = i, rims[at]
+                break
             at += len(w)
-        if kr == len(rw):  # the window reaches the end: it is right as a whole
-            return lw[: len(lw) - kl] + window, lc[: len(lc) - kl] + codes(path, leaf, window)
+        if stop is None and kr < len(right):
+            continue
+        i, j = stop or (len(window), kr)  # the window reaches the end: it is right as a whole
+        new = codes(path, leaf, window[:i])
+        head, at_id = len(left) - kl, right.start(j)[1]
+        ends = _sums(map(len, window[:i])) + first
+        cuts = _sums(len(x) // 4 for x in new) + first_id
+        more = (int(cuts[-1]) if len(cuts) else first_id) - at_id
+        return Scanned(
+            left.text + right.text,
+            np.concatenate([left.ends[:head], ends, right.ends[j:] + seam]),
+            np.concatenate([left.cuts[:head], cuts, right.cuts[j:] + more]),
+            left.ids[: 4 * first_id] + b"".join(new) + right.ids[4 * at_id :],
+        )
 
 
 def encode_text(path: str, text: str, leaf: int = LEAF) -> bytes:
@@ -188,41 +225,35 @@ def encode(
 
     def pieces(it):
         file = path or default_path(VOCABULARY)
-        for batch in it:
-            words = [scan(codec(file), t) for t in texts_of(batch)]
-            made = [codes(file, leaf, w) for w in words]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("_doc"),
-                    batch.column("_id"),
-                    batch.column("_seq"),
-                    batch.column("_text"),
-                    pa.array([b"".join(m) for m in made], pa.binary()),
-                    pa.array([np.array([len(x) for x in w], "<u4").tobytes() for w in words], pa.binary()),
-                    pa.array([np.array([len(x) // 4 for x in m], "<u4").tobytes() for m in made], pa.binary()),
-                ],
-                ["_doc", "_id", "_seq", "_text", "ids", "lens", "counts"],
-            )
+        for whole in it:
+            for a in range(0, whole.num_rows, max(1, BATCH_BYTES // (4 * row_chars))):
+                batch = whole.slice(a, max(1, BATCH_BYTES // (4 * row_chars)))
+                made = [Scanned.of(file, leaf, t) for t in texts_of(batch)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c) for c in ("_doc", "_id", "_seq", "_text")),
+                        pa.array([m.ids for m in made], pa.binary()),
+                        pa.array([m.ends.astype("<i8").tobytes() for m in made], pa.binary()),
+                        pa.array([m.cuts.astype("<i8").tobytes() for m in made], pa.binary()),
+                    ],
+                    ["_doc", "_id", "_seq", "_text", "ids", "ends", "cuts"],
+                )
 
     def joined(table: pa.Table) -> pa.Table:
         file = path or default_path(VOCABULARY)
-        level, copies = [], Counter(table.column("_seq").to_pylist())
-        first = table.sort_by("_seq").select(["_seq", "_text", "ids", "lens", "counts"]).to_pylist()
-        for row in (r for i, r in enumerate(first) if not i or r["_seq"] != first[i - 1]["_seq"]):
-            ends = np.cumsum(np.frombuffer(row["lens"], "<u4")).tolist()
-            cuts = (np.cumsum(np.frombuffer(row["counts"], "<u4")) * 4).tolist()
-            level.append(
-                (
-                    [row["_text"][a:b] for a, b in zip([0, *ends], ends)],
-                    [row["ids"][a:b] for a, b in zip([0, *cuts], cuts)],
-                )
-            )
+        copies = Counter(table.column("_seq").to_pylist())
+        rows = table.sort_by("_seq").select(["_seq", "_text", "ids", "ends", "cuts"]).to_pylist()
+        level = [
+            Scanned(r["_text"], np.frombuffer(r["ends"], "<i8"), np.frombuffer(r["cuts"], "<i8"), r["ids"])
+            for i, r in enumerate(rows)
+            if not i or r["_seq"] != rows[i - 1]["_seq"]
+        ]
         while len(level) > 1:
             level = [
                 join_scans(file, leaf, level[i], level[i + 1]) if i + 1 < len(level) else level[i]
                 for i in range(0, len(level), 2)
             ]
-        ids = [b"".join(level[0][1])] * copies[0]
+        ids = [level[0].ids] * copies[0]
         return pa.table(dict(zip(names, [table.column("_id").slice(0, copies[0]), *columns(file, ids)])))
 
     kind = id_type.simpleString()
@@ -236,7 +267,7 @@ def encode(
         .withColumn("_seq", F.explode(F.sequence(F.lit(0), F.ceil(n / row_chars).cast("int") - 1)))
         .select("_doc", "_id", "_seq", F.substring("_text", F.col("_seq") * row_chars + 1, F.lit(row_chars)).alias("_text"))
         .repartition("_doc", "_seq")
-        .mapInArrow(pieces, f"_doc string, _id {kind}, _seq int, _text string, ids binary, lens binary, counts binary")
+        .mapInArrow(pieces, f"_doc string, _id {kind}, _seq int, _text string, ids binary, ends binary, cuts binary")
         .groupBy("_doc")
         .applyInArrow(joined, out_schema)
     )
