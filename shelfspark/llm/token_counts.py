@@ -53,6 +53,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.inner | self.final), default=1)
         self.pairs: dict[tuple[str, str, bool], bool] = {}
         self.words = WordCache(self.word)
+        self.states = WordCache(self.state)
 
     def fits(self, before: str, token: str, last: bool) -> bool:
         """Whether BPE keeps ``before`` and ``token`` apart just so; an empty
@@ -67,9 +68,36 @@ class PrefixCounter:
             self.pairs[key] = known
         return known
 
+    def state(self, s: str) -> tuple[str, int, int]:
+        """Of one prefix: its last token if the word goes on and the count then,
+        and its count if the word ends here.  Words share prefixes, so states
+        are kept by prefix; shorter ones must have been asked for before."""
+        n, tail, count, end = len(s), "", 0, 0
+        for vocabulary, last in ((self.inner, False), (self.final, True)):
+            for j in range(max(0, n - self.longest), n):
+                t = s[j:]
+                if t in vocabulary:
+                    before, k, _ = self.states[s[:j]] if j else ("", 0, 0)
+                    if self.fits(before, t, last):
+                        if last:
+                            end = k + 1
+                        else:
+                            tail, count = t, k + 1
+                        break
+            else:
+                raise ValueError(f"no token ends {s!r}: the vocabulary lacks a byte")
+        return tail, count, end
+
     def prefixes(self, s: str) -> list[int]:
         """Counts of the encodings of ``s[:1]``, ``s[:2]``, ... as whole words;
         symbols are byte stand-ins."""
+        if len(s) > self.states.longest:
+            return self.long_prefixes(s)
+        states = self.states
+        return [states[s[:i]][2] for i in range(1, len(s) + 1)]
+
+    def long_prefixes(self, s: str) -> list[int]:
+        """The same for strings too long to keep."""
         n = len(s)
         tail, count, out = [""] * (n + 1), [0] * (n + 1), []
         for i in range(1, n + 1):
