@@ -34,6 +34,18 @@ BUDGET = 2048
 PAIRS = 1_000_000
 
 
+ONE, NOTHING = (1,), ("", 0)
+
+
+def sizes_by_ending(tokens: set[str]) -> dict[str, tuple[int, ...]]:
+    """Lengths of the tokens that may end a string, the longest first, by its last two symbols."""
+    out: dict[str, set[int]] = {}
+    for t in tokens:
+        if len(t) > 1:
+            out.setdefault(t[-2:], set()).add(len(t))
+    return {k: (*sorted(v, reverse=True), 1) for k, v in out.items()}
+
+
 class PrefixCounter:
     """Counts of all prefixes of single words, by word."""
 
@@ -51,9 +63,11 @@ class PrefixCounter:
         self.inner = {t for t in whole if not (end and t.endswith(self.suffix))}
         self.final = {t[:-end] for t in whole if t.endswith(self.suffix)} if end else self.inner
         self.longest = max(map(len, self.inner | self.final), default=1)
+        self.open_sizes, self.end_sizes = sizes_by_ending(self.inner), sizes_by_ending(self.final)
         self.pairs: dict[tuple[str, str, bool], bool] = {}
         self.words = WordCache(self.word)
         self.states = WordCache(self.state)
+        self.totals = WordCache(lambda w: self.ended(self.codec.mapped(w)))
 
     def fits(self, before: str, token: str, last: bool) -> bool:
         """Whether BPE keeps ``before`` and ``token`` apart just so; an empty
@@ -68,33 +82,38 @@ class PrefixCounter:
             self.pairs[key] = known
         return known
 
-    def state(self, s: str) -> tuple[str, int, int]:
-        """Of one prefix: its last token if the word goes on and the count then,
-        and its count if the word ends here.  Words share prefixes, so states
-        are kept by prefix; shorter ones must have been asked for before."""
-        n, tail, count, end = len(s), "", 0, 0
-        for vocabulary, last in ((self.inner, False), (self.final, True)):
-            for j in range(max(0, n - self.longest), n):
-                t = s[j:]
-                if t in vocabulary:
-                    before, k, _ = self.states[s[:j]] if j else ("", 0, 0)
-                    if self.fits(before, t, last):
-                        if last:
-                            end = k + 1
-                        else:
-                            tail, count = t, k + 1
-                        break
-            else:
-                raise ValueError(f"no token ends {s!r}: the vocabulary lacks a byte")
-        return tail, count, end
+    def _last(self, s: str, vocabulary: set[str], sizes: dict, last: bool) -> tuple[str, int]:
+        """The token that ends ``s`` and the count with it: of those that could,
+        the one that fits the last token of what is before it."""
+        n = len(s)
+        for size in sizes.get(s[-2:], ONE):
+            j = n - size
+            if j < 0:
+                continue
+            t = s[j:]
+            if t in vocabulary:
+                before, k = self.states[s[:j]] if j else NOTHING
+                known = self.pairs.get((before, t, last))
+                if known or known is None and self.fits(before, t, last):
+                    return t, k + 1
+        raise ValueError(f"no token ends {s!r}: the vocabulary lacks a byte")
+
+    def state(self, s: str) -> tuple[str, int]:
+        """Last token and count of a prefix that the word goes on after; kept by
+        prefix, as words share them, and made only where a token may begin."""
+        return self._last(s, self.inner, self.open_sizes, False)
+
+    def ended(self, s: str) -> int:
+        """Count of a whole word; symbols are byte stand-ins."""
+        if len(s) > self.states.longest:
+            return self.long_prefixes(s)[-1]
+        return self._last(s, self.final, self.end_sizes, True)[1]
 
     def prefixes(self, s: str) -> list[int]:
-        """Counts of the encodings of ``s[:1]``, ``s[:2]``, ... as whole words;
-        symbols are byte stand-ins."""
+        """Counts of the encodings of ``s[:1]``, ``s[:2]``, ... as whole words."""
         if len(s) > self.states.longest:
             return self.long_prefixes(s)
-        states = self.states
-        return [states[s[:i]][2] for i in range(1, len(s) + 1)]
+        return [self.ended(s[:i]) for i in range(1, len(s) + 1)]
 
     def long_prefixes(self, s: str) -> list[int]:
         """The same for strings too long to keep."""
@@ -119,7 +138,7 @@ class PrefixCounter:
         is cut into pre-tokens as the text that ends there would be."""
         if word[0] == "'" and len(word) > 1 and word[1].isalpha():
             cuts = [self.codec.words(word[:i]) for i in range(1, len(word))] + [[word]]
-            return tuple(sum(self.prefixes(self.codec.mapped(w))[-1] for w in ws) for ws in cuts)
+            return tuple(sum(self.totals[w] for w in ws) for ws in cuts)
         counts = self.prefixes(self.codec.mapped(word))
         if word.isascii():
             return tuple(counts)
@@ -142,8 +161,8 @@ def _pieces(p: PrefixCounter, text: str):
             counts = []
             for i in range(1, len(part)):  # unfinished, it is ordinary text that may go on the word before
                 ws = c.words(previous + part[:i])
-                base = p.words[previous][-1] if previous else 0
-                counts.append(sum(p.words[w][-1] for w in ws) - base)
+                base = p.totals[previous] if previous else 0
+                counts.append(sum(p.totals[w] for w in ws) - base)
             yield 0, len(part), (*counts, 1)
             previous = ""
             continue
@@ -183,7 +202,7 @@ def total(path: str, text: str) -> tuple[int, list[int] | None]:
             n, plain = n + 1, False
         else:
             plain = plain and (part.isascii() or not UNCOMMON.search(part))
-            ends = [t[-1] for t in map(p.words.__getitem__, c.words(part))]
+            ends = list(map(p.totals.__getitem__, c.words(part)))
             n += sum(ends)
     return n, ends if plain else None
 
