@@ -8,7 +8,7 @@ from functools import cached_property
 import numpy as np
 
 #: Bytes of text in one block (a longer text is a block of its own).
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 PRIME = 0x9E3779B97F4A7C15
 INVERSE = pow(PRIME, -1, 1 << 64)
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +66,15 @@ def texts_of(batch: pa.RecordBatch, name: str = "_text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def text_blocks(batch: pa.RecordBatch, budget: int, name: str = "_text"):
+    """(first row, texts) of consecutive parts of a batch of about ``budget``
+    bytes of text, so that only one part at a time becomes Python objects."""
+    column = batch.column(name)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in blocks(sizes, budget):
+        yield a, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
 def blocks(lengths: list[int], budget: int):
     """Consecutive index ranges whose lengths add up to about ``budget`` (one at least)."""
     start, total = 0, 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byteblock import BLOCK, SYMBOLS, Block, lut
-from .common import blocks, cut, id_text, texts_of
+from .common import cut, id_text, text_blocks
 from .labelled import held_out, sample
 
 SAMPLE = 8000
@@ -126,8 +126,7 @@ class QualityModel:
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col="doc_id", text_col="text", label_col="quality") -> QualityModel:
     def stats(it):
         for batch in it:
-            texts = texts_of(batch)
-            x = _stats_of(texts)
+            x = _stats_of(batch)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("_label"), batch.column("_fold")],
                 ["x", "label", "fold"],
@@ -178,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col="doc_id",
     return model
 
 
-def _stats_of(texts: list[str]) -> np.ndarray:
-    done = [statistics(Block(texts[a:b])) for a, b in blocks([len(t) for t in texts], BLOCK)]
+def _stats_of(batch: pa.RecordBatch, name: str = "_text") -> np.ndarray:
+    done = [statistics(Block(texts)) for _, texts in text_blocks(batch, BLOCK, name)]
     return np.concatenate(done) if done else np.zeros((0, N_STATS))
 
 
@@ -189,7 +188,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col="doc_id", text_co
 
     def run(it):
         for batch in it:
-            s = model.score(_stats_of(texts_of(batch)))
+            s = model.score(_stats_of(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())],
                 ["_id", "score", "predicted"],
@@ -201,12 +200,11 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col="doc_id", text_co
 
 def filter_quality(docs: DataFrame, model: QualityModel, text_col="text") -> DataFrame:
     """The rows of ``docs`` that are predicted 1, all columns as they were."""
-    columns = docs.columns
-
     def run(it):
         for batch in it:
-            texts = [t or "" for t in batch.column(columns.index(text_col)).to_pylist()]
-            yield batch.filter(pa.array(model.score(_stats_of(texts)) >= 0.5))
+            for a, texts in text_blocks(batch, BLOCK, text_col):
+                good = model.score(statistics(Block(texts))) >= 0.5
+                yield batch.slice(a, len(texts)).filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)
 

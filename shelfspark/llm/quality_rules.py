@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .byteblock import BLOCK, SYMBOLS, Block
-from .common import blocks, id_text, texts_of
+from .common import id_text, text_blocks
 from .labelled import sample
 
-SAMPLE = 3000
+SAMPLE = 2000
 BITS = 15
 SCALE = 64.0
 STEPS = 80
@@ -96,14 +96,21 @@ class RulesModel:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def _descend(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, steps: int, l2: float = 1e-4):
-    """Logistic regression by full-batch Adam; rows are sorted."""
+def _descend(cols: list[np.ndarray], vals: list[np.ndarray], y: np.ndarray, steps: int, l2: float = 1e-4):
+    """Logistic regression by full-batch Adam on sparse rows (none empty)."""
+    sizes = np.fromiter(map(len, cols), dtype=np.int64, count=len(cols))
+    at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    col, val = np.concatenate(cols), np.concatenate(vals)
     w, b, n = np.zeros(1 << BITS), 0.0, len(y)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = SCALE * np.bincount(rows, vals * w[cols], minlength=n) + b
+        part = w.astype(np.float32)[col]
+        part *= val
+        z = SCALE * np.add.reduceat(part, at) + b
         g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / n
-        gw = SCALE * np.bincount(cols, vals * g[rows], minlength=len(w)) + l2 * w
+        part = np.repeat(g.astype(np.float32), sizes)
+        part *= val
+        gw = SCALE * np.bincount(col, part, minlength=len(w)) + l2 * w
         gb = g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -132,8 +139,7 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col="doc_id", text_col="text", label_col="quality") -> RulesModel:
     def features(it):
         for batch in it:
-            texts = texts_of(batch)
-            got = [f for a, e in blocks([len(t) for t in texts], BLOCK) for f in sparse(Block(texts[a:e]))]
+            got = [f for _, texts in text_blocks(batch, BLOCK) for f in sparse(Block(texts))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_label"),
@@ -148,8 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col="doc_id",
     from pyspark.sql import functions as F
 
     rows = sample(docs, labels, most, "rules", id_col, text_col, label_col).withColumn("_order", F.xxhash64(F.col("_id").cast("string")))
-    # ``most`` rows of at most 2**BITS slots each
-    got = sorted(rows.mapInArrow(features, "label double, fold int, slots binary, shares binary, ord long").collect(), key=lambda r: r["ord"])
+    # ``most`` rows of at most 2**BITS slots each; texts without any say nothing
+    found = rows.mapInArrow(features, "label double, fold int, slots binary, shares binary, ord long").where("octet_length(slots) > 0")
+    got = sorted(found.toLocalIterator(), key=lambda r: r["ord"])
     y = np.array([r["label"] for r in got])
     if len(set(y.tolist())) < 2:
         return RulesModel(None)
@@ -159,8 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col="doc_id",
 
     def train(keep):
         i = np.flatnonzero(keep)
-        sizes = [len(cols[k]) for k in i]
-        return _descend(np.repeat(np.arange(len(i)), sizes), np.concatenate([cols[k] for k in i]), np.concatenate([vals[k] for k in i]), y[i], STEPS)
+        return _descend([cols[k] for k in i], [vals[k] for k in i], y[i], STEPS)
 
     w, b = train(np.ones(len(y), bool))
     z = np.zeros(len(y))
@@ -188,17 +194,17 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
     return (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEATED_PERCENT * c["n_words"])
 
 
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
+
+
 def verdicts(texts: list[str], model: RulesModel) -> dict[str, np.ndarray]:
-    parts = []
-    for a, e in blocks([len(t) for t in texts], BLOCK):
-        b = Block(texts[a:e])
-        c = counts(b)
-        c["base_failed"] = base_failed(c)
-        c["probability"] = model.probability(b)
-        c["kept"] = ~c["base_failed"] & (c["probability"] >= KEEP_FROM)
-        parts.append(c)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"]
-    return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in names}
+    """All of ``NAMES`` for the texts of one block."""
+    b = Block(texts)
+    c = counts(b)
+    c["base_failed"] = base_failed(c)
+    c["probability"] = model.probability(b)
+    c["kept"] = ~c["base_failed"] & (c["probability"] >= KEEP_FROM)
+    return c
 
 
 def apply_rules(docs: DataFrame, model: RulesModel, id_col="doc_id", text_col="text") -> DataFrame:
@@ -208,13 +214,10 @@ def apply_rules(docs: DataFrame, model: RulesModel, id_col="doc_id", text_col="t
 
     def run(it):
         for batch in it:
-            if not batch.num_rows:
-                continue
-            v = verdicts(texts_of(batch), model)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), *(pa.array(x.astype(bool) if kinds.get(k) == pa.bool_() else x, kinds.get(k, pa.int64())) for k, x in v.items())],
-                ["_id", *v],
-            )
+            for a, texts in text_blocks(batch, BLOCK):
+                v = verdicts(texts, model)
+                cols = [pa.array(v[k].astype(bool) if kinds.get(k) == pa.bool_() else v[k], kinds.get(k, pa.int64())) for k in NAMES]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, len(texts)), *cols], ["_id", *NAMES])
 
     schema = f"_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
     return id_text(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
@@ -222,12 +225,9 @@ def apply_rules(docs: DataFrame, model: RulesModel, id_col="doc_id", text_col="t
 
 def filter_rules(docs: DataFrame, model: RulesModel, text_col="text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
-    at = docs.columns.index(text_col)
-
     def run(it):
         for batch in it:
-            if batch.num_rows:
-                keep = verdicts([t or "" for t in batch.column(at).to_pylist()], model)["kept"]
-                yield batch.filter(pa.array(keep.astype(bool)))
+            for a, texts in text_blocks(batch, BLOCK, text_col):
+                yield batch.slice(a, len(texts)).filter(pa.array(verdicts(texts, model)["kept"].astype(bool)))
 
     return docs.mapInArrow(run, docs.schema)
