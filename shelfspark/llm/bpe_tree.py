@@ -24,11 +24,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, id_text, texts_of
+from .common import id_text, text_blocks, texts_of
 from .tokenizing import Codec, WordCache, as_bytes, codec, default_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -216,12 +215,9 @@ def encode(
     def short(it):
         file = path or default_path(VOCABULARY)
         for batch in it:
-            sizes = batch.column("_text").cast(pa.large_string())
-            lengths = pc.fill_null(pc.binary_length(sizes), 0).to_pylist()
-            for a, b in blocks(lengths, BATCH_BYTES):
-                part = batch.slice(a, b - a)
-                ids = [encode_text(file, t, leaf) for t in texts_of(part)]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), *columns(file, ids)], names)
+            for a, texts in text_blocks(batch, BATCH_BYTES):
+                ids = [encode_text(file, t, leaf) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, len(texts)), *columns(file, ids)], names)
 
     def pieces(it):
         file = path or default_path(VOCABULARY)

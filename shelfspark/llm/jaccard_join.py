@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byteblock import BLOCK, Block, mix
-from .common import blocks, cut, id_text, texts_of
+from .common import cut, id_text, text_blocks
 from .components import components
 
 WORDS = 5
@@ -99,16 +99,14 @@ def signatures(rows: DataFrame, id_kind: str, trees: int, depth: int, n: int) ->
 
     def sign(it):
         for batch in it:
-            texts = texts_of(batch)
-            pref: list = [None] * len(texts)
-            for a, e in blocks([len(t) for t in texts], BLOCK):
-                has, values = prefixes(*shingles(Block(texts[a:e]), n), e - a, trees, depth)
+            for a, texts in text_blocks(batch, BLOCK):
+                pref: list = [None] * len(texts)
+                has, values = prefixes(*shingles(Block(texts), n), len(texts), trees, depth)
                 for i, v in zip(has.tolist(), values):
-                    pref[a + i] = v
-            keys = [hashlib.md5(t.encode("utf-8"), usedforsecurity=False).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(keys, pa.binary()), pa.array(pref, pa.list_(pa.int64()))], ["_id", "key", "pref"]
-            )
+                    pref[i] = v
+                keys = [hashlib.md5(t.encode("utf-8"), usedforsecurity=False).digest() for t in texts]
+                ids = batch.column("_id").slice(a, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(pref, pa.list_(pa.int64()))], ["_id", "key", "pref"])
 
     return rows.mapInArrow(sign, f"_id {id_kind}, key binary, pref array<long>")
 

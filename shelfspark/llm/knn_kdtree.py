@@ -57,6 +57,11 @@ def regular(column: pa.Array) -> np.ndarray | None:
     return flat.reshape(n, width).astype(np.float64)
 
 
+def cap(score) -> int:
+    """As a 64-bit integer, the nearest end beyond its range."""
+    return max(-TOP - 1, min(TOP, int(score)))
+
+
 class Tree:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
         self.lo, self.hi, self.least, self.kids, self.range = [], [], [], [], []
@@ -99,9 +104,9 @@ class Tree:
             heap = [(-row[0], 0)]
             while heap:
                 bound, node = heapq.heappop(heap)
-                reach = (int(-bound), -self.least[node])
+                reach = (cap(-bound), -self.least[node])
                 if floor is not None and reach < floor or len(top) == k and reach < top[0]:
-                    if floor is not None and -bound < floor[0] or len(top) == k and -bound < top[0][0]:
+                    if floor is not None and reach[0] < floor[0] or len(top) == k and reach[0] < top[0][0]:
                         break
                     continue
                 if self.kids[node]:
@@ -112,7 +117,7 @@ class Tree:
                 scores = self.v[a:b] @ queries[i]
                 low = max(floor[0] if floor is not None else -np.inf, top[0][0] if len(top) == k else -np.inf)
                 for j in np.flatnonzero(scores >= low) if low > -np.inf else range(b - a):
-                    if (cand := (int(scores[j]), -int(self.ids[a + j])))[1] == -q or floor is not None and cand < floor:
+                    if (cand := (cap(scores[j]), -int(self.ids[a + j])))[1] == -q or floor is not None and cand < floor:
                         continue
                     if len(top) < k:
                         heapq.heappush(top, cand)
@@ -130,7 +135,7 @@ def seed_bounds(queries: np.ndarray, own: list[int], seed_ids: np.ndarray, seeds
     out = []
     for q, row in zip(own, scores):
         near = np.argpartition(-row, min(4 * k, len(row) - 1))[: 4 * k] if row.dtype != object and len(row) > 4 * k else range(len(row))
-        best = heapq.nlargest(k, ((int(row[j]), -int(seed_ids[j])) for j in near if seed_ids[j] != q))
+        best = heapq.nlargest(k, ((cap(row[j]), -int(seed_ids[j])) for j in near if seed_ids[j] != q))
         out.append(best[::-1])
     return out
 
@@ -194,7 +199,7 @@ def top_k(
                     got = got.astype(object) if got.dtype == object else np.vectorize(int, otypes=[object])(got)
                 own = ids[a:b].tolist()
                 found = tree.search(got, own, seed_bounds(got, own, seed_ids, seeds, k), k)
-                flat = [(q, -m, max(-TOP - 1, min(TOP, s))) for q, best in zip(own, found) for s, m in best]
+                flat = [(q, -m, s) for q, best in zip(own, found) for s, m in best]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f[c] for f in flat], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"]
                 )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, texts_of
+from .common import id_text, text_blocks
 
 #: Bytes of words (digits, letters, all beyond ASCII); A-Z are lowered.
 _WORD_BYTES = bytes(
@@ -232,13 +232,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(it):
         for batch in it:
-            found = [find(t, templates) for t in texts_of(batch)]
-            listed = [[{"label": templates[i].label, "base": templates[i].base, "start": s, "end": e} for s, e, i in p] for _, p in found]
-            score = np.array([_covered(p) / n if n else 0.0 for n, p in found])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array([n for n, _ in found], pa.int64()), pa.array(listed, place), pa.array(score, pa.float64())],
-                ["_id", "n_words", "places", "score"],
-            )
+            for a, texts in text_blocks(batch, 4 << 20):
+                found = [find(t, templates) for t in texts]
+                listed = [[{"label": templates[i].label, "base": templates[i].base, "start": s, "end": e} for s, e, i in p] for _, p in found]
+                score = np.array([_covered(p) / n if n else 0.0 for n, p in found])
+                ids = batch.column("_id").slice(a, len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([n for n, _ in found], pa.int64()), pa.array(listed, place), pa.array(score, pa.float64())],
+                    ["_id", "n_words", "places", "score"],
+                )
 
     schema = f"_id {kind}, n_words long, places array<struct<label:string,base:boolean,start:long,end:long>>, score double"
     return id_text(docs, id_col, text_col).mapInArrow(run, schema).withColumn("places", F.coalesce("places", F.array().cast("array<struct<label:string,base:boolean,start:bigint,end:bigint>>"))).withColumnRenamed("_id", id_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text, texts_of
+from .common import id_text, text_blocks
 from .tokenizing import as_bytes, default_path, encode_bytes
 
 VOCABULARY = "word_bpe_49k.json"
@@ -225,9 +225,10 @@ def pack_documents(
 
     def pieces(batch):
         file = path or default_path(VOCABULARY)
-        for doc, text in zip(batch.column("_id").to_pylist(), texts_of(batch)):
-            ids = encode_bytes(file, text) + end
-            yield Piece(doc, 0, ids, len(ids) // 4)
+        for a, texts in text_blocks(batch, 4 << 20):
+            for doc, text in zip(batch.column("_id").slice(a, len(texts)).to_pylist(), texts):
+                ids = encode_bytes(file, text) + end
+                yield Piece(doc, 0, ids, len(ids) // 4)
 
     out = pack_examples(id_text(docs, id_col, text_col), pieces, ["_id", "_text"], "_id", **limits)
     return out.withColumnRenamed("_id", id_col)

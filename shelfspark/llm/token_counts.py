@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, texts_of
+from .common import id_text, text_blocks
 from .tokenizing import UNCOMMON, Codec, WordCache, codec, default_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -241,9 +241,7 @@ def count_tokens(
     def run(it):
         file = path or default_path(VOCABULARY)
         for batch in it:
-            texts = texts_of(batch)
-            for a in range(0, len(texts), 256 if keep_table else len(texts) or 1):
-                some = texts[a : a + (256 if keep_table else len(texts))]
+            for a, some in text_blocks(batch, 1 << 20 if keep_table else 4 << 20):
                 fits = [fit(file, t, budget) for t in some]
                 cols = [
                     batch.column("_id").slice(a, len(some)),
@@ -269,8 +267,9 @@ def truncate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     def run(it):
         file = path or default_path(VOCABULARY)
         for batch in it:
-            cut = [t[: fit(file, t, budget)[1]] for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(cut, pa.string())], ["_id", "truncated"])
+            for a, texts in text_blocks(batch, 4 << 20):
+                cut = [t[: fit(file, t, budget)[1]] for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(a, len(texts)), pa.array(cut, pa.string())], ["_id", "truncated"])
 
     return rows.mapInArrow(run, f"_id {kind}, truncated string").select(
         F.col("_id").alias(id_col), F.col("truncated")
