@@ -30,7 +30,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _minima(both).withColumn("m", F.least("c", "m"))
+        # written, so that the join reads two plain shuffles and a hub's edges can be split
+        low = cut(_minima(both).withColumn("m", F.least("c", "m")))
         large = both.where("v > u").join(low, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         joined = large.join(_minima(large), F.col("u") == F.col("c"))
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -38,6 +39,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         new = cut(small)
         new_state = _state(new)
         drop_cut(now)
+        drop_cut(low)
         now, done = new, new_state == state
         state = new_state
         if done:
