@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def split_every(df: DataFrame, order: list, ratio: float | None = None, n: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Every n-th row (1-based, n = round half even of 1 / ratio, 2 at least) is ``val``."""
     step = n or max(2, round(1 / ratio))
-    i = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("split", F.when(i % step == 0, "val").otherwise("train"))
+    if keys:
+        rows = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        rows = numbered(df, order, "_i")
+    return rows.withColumn("split", F.when(F.col("_i") % step == 0, "val").otherwise("train")).drop("_i")
 
 
 def split_hashed(df: DataFrame, key: str, ratio: float, seed: str, groups: tuple[str, ...] = ()) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import falsy_null
+from .numbering import numbered
 
 #: Suffixes of images and videos.
 IMAGES = (".heic", ".jpeg", ".jpg", ".png", ".webp")
@@ -66,9 +67,8 @@ def observe(ev: DataFrame) -> DataFrame:
             F.when(review, a).when(F.col("zone_type") == "exact", b).when(F.col("zone_type") == "uncertain", c).when(falsy_null("store_name").isNotNull(), d).otherwise(e)
         )
 
-    n = F.row_number().over(Window.orderBy("path"))  # the numbering over all files is the feature
-    return ev.select(
-        F.format_string("obs_%06d", n).alias("observation_id"),
+    return numbered(ev, ["path"], "_n").select(
+        F.format_string("obs_%06d", "_n").alias("observation_id"),
         "path",
         "role",
         "zone_type",

@@ -34,21 +34,41 @@ def article_matches(texts: DataFrame, keys: DataFrame, candidates: str, least: i
     return _first_key(hits)
 
 
+#: Characters of the pieces that keys are looked up by; keys are at least so long.
+PIECE = 4
+
+
+def _pieces(c: str, n: int):
+    """All runs of ``n`` characters of a string, by their place from 0."""
+    last = F.greatest(F.char_length(c) - n, F.lit(-1))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.col(c).substr(i + 1, F.lit(n))))
+
+
 def substring_matches(texts: DataFrame, keys: DataFrame, haystacks: str, least: int = 0) -> DataFrame:
-    """Model keys inside any of a text's ``haystacks``: substrings of the lengths
-    that keys have meet keys in an equality join, instead of every text meeting
-    every key."""
-    models = keys.where((F.col("kind") == "model") & (F.col("key_len") >= least))
-    lengths = models.agg(F.sort_array(F.collect_set("key_len")).alias("lens"))  # one row, as wide as keys are long
+    """Model keys inside any of a text's ``haystacks``.
+
+    Each key is anchored at the piece of it that fewest keys share; a text's
+    pieces meet anchors in an equality join and the rest of the key is compared
+    in place, so neither texts and keys nor all substrings are paired."""
+    n = max(PIECE, least)
+    models = keys.where((F.col("kind") == "model") & (F.col("key_len") >= n))
+    pieces = models.select("key").distinct().select("key", F.posexplode(_pieces("key", n)).alias("off", "piece"))
+    shared = pieces.groupBy("piece").agg(F.countDistinct("key").alias("n_keys"))
+    anchors = (
+        pieces.join(shared, "piece")
+        .groupBy("key")
+        .agg(F.min(F.struct("n_keys", "off", "piece")).alias("a"))
+        .select("key", F.col("a.off").alias("off"), F.col("a.piece").alias("piece"))
+    )
     hay = texts.select("text_id", F.explode(haystacks).alias("hay")).distinct()
-    pieces = (
-        hay.crossJoin(F.broadcast(lengths))  # one row
-        .select("text_id", "hay", F.explode("lens").alias("n"))
-        .where(F.char_length("hay") >= F.col("n"))
-        .select("text_id", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("hay") - F.col("n") + 1), lambda i: F.col("hay").substr(i, F.col("n")))).alias("key"))
+    found = (
+        hay.select("text_id", "hay", F.posexplode(_pieces("hay", n)).alias("at", "piece"))
+        .join(anchors, "piece")
+        .where((F.col("at") >= F.col("off")) & (F.col("hay").substr(F.col("at") - F.col("off") + 1, F.char_length("key")) == F.col("key")))
+        .select("text_id", "key")
         .distinct()
     )
-    return _first_key(pieces.join(models, "key"))
+    return _first_key(found.join(models, "key"))
 
 
 def exact_brands(texts: DataFrame, brands: DataFrame) -> DataFrame:

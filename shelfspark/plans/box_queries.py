@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -204,7 +203,6 @@ def reid_components(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM documents", "split_every_n")
 def split_every_n(spark, sf_dir):
-    # numbered over all rows, as the rule has it; ids alone are sorted
     return datasets.split_every(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], ratio=0.2)
 
 

@@ -369,3 +369,22 @@ def test_entry_without_the_optional_package(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'sku_presence' in q and 'pipeline' not in q; print(len(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert out.returncode == 0, out.stderr[-800:]
+
+
+def test_command_line(spark, tmp_path):
+    from shelfspark import cli
+
+    for name in ("Store A/1.jpg", "Store A/overview.png", "sku_exact_areas/zone_1.jpg", "v.mov"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text("x")
+    cli.main(["audit-images", str(tmp_path / "in"), str(tmp_path / "out")])
+    s = spark.read.json(str(tmp_path / "out/summary")).first()
+    assert (s["total_evidence_files"], s["store_count"], s["exact_zone_files"], s["review_artifact_files"]) == (3, 1, 1, 1)
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "out/report")).collect())
+    assert "| Store A | 2 |" in text and "overview" not in text
+    cli.main(["create-job", str(tmp_path / "in"), str(tmp_path / "jobs"), "--store", "S"])
+    job = spark.read.json(str(tmp_path / "jobs")).first()
+    assert (job["total"], job["image"], job["video"], job["stores"]) == (4, 3, 1, "S,Store A") and job["notes"][-1] == "video_queued"
+    wanted = spark.createDataFrame([("v.mov",), ("none.mov",)], "video string")
+    got = {r["video"]: r["path"] for r in cli.find_videos(readers.media_files(spark, str(tmp_path / "in")), wanted).collect()}
+    assert got == {"v.mov": "v.mov", "none.mov": None}
