@@ -3,34 +3,61 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    ctx = df.sparkSession.sparkContext
-    if not ctx._jsc.sc().getCheckpointDir().isDefined():
-        ctx.setCheckpointDir(ctx.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfspark_graph_"))
-    return df.checkpoint()
+    """Written to the folder in ``spark.checkpoint.dir`` and read back, which cuts
+    lineage, statistics and constraints alike; only where that is unset (tests) a
+    temporary folder serves."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own_folder()
+    path = f"{folder}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="shelfspark_graph_")
 
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``nodes`` (``node``), ``edges`` (``a``, ``b``) to ``node``, ``root``, the
-    smallest node that it is linked to.  Labels shrink by neighbours' minima and
-    by following the label's own label, so long chains need few rounds."""
-    both = _checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _checkpoint(nodes.select("node", F.col("node").alias("root")).distinct())
+    smallest node that it is linked to.
+
+    Every round links each node's larger neighbours to its least neighbour, then
+    the smaller ones; this ends in stars around the roots after few rounds."""
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    now = _checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    was = state(now)
     for _ in range(most_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        new = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
-        jump = new.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        new = _checkpoint(new.join(jump, F.col("root") == F.col("n2")).select("node", F.least("root", "r2").alias("root")))
-        moved = new.join(labels.select("node", F.col("root").alias("old")), "node").where("root <> old").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
+        if not was[0]:
+            break
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = least(both).withColumn("m", F.least("c", "m"))
+        up = both.where("v > u").join(low, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = up.join(least(up), F.col("u") == F.col("c"))
+        pairs = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        now = _checkpoint(pairs.distinct())
+        new = state(now)
+        if new == was:
+            break
+        was = new
+    else:
+        raise RuntimeError("components did not settle")
+    roots = now.select(F.col("u").alias("_u"), F.col("v").alias("_r"))
+    return nodes.select("node").distinct().join(roots, F.col("node") == F.col("_u"), "left").select("node", F.coalesce("_r", "node").alias("root"))
 
 
 def reachable(seeds: DataFrame, links: DataFrame, most: int, depth: int = 20) -> DataFrame:

@@ -30,7 +30,9 @@ FEEDBACK_MS, FEEDBACK_MOST, FEEDBACK_RECENT_MS = 8000, 24, 1400
 
 def iou(a, b) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    both = max(0.0, w) * max(0.0, h)
+    if w <= 0 or h <= 0:
+        return 0.0
+    both = w * h
     sizes = [max(0.0, x[2] - x[0]) * max(0.0, x[3] - x[1]) for x in (a, b)]
     return both / (sum(sizes) - both + 1e-6)
 
@@ -79,9 +81,10 @@ class LiveTracker:
         pairs = []
         for i, d in enumerate(dets):
             for j, t in enumerate(self.tracks):
-                over, alike = iou(t.box, d["box"]), look(t.look, d["signature"])
-                if over >= MATCH_IOU or alike >= MATCH_LOOK:
-                    pairs.append((-(1 + over if over >= MATCH_IOU else alike), i, j))
+                if (over := iou(t.box, d["box"])) >= MATCH_IOU:
+                    pairs.append((-(1 + over), i, j))
+                elif (alike := look(t.look, d["signature"])) >= MATCH_LOOK:
+                    pairs.append((-alike, i, j))
         owner: dict[int, LiveTrack] = {}
         taken: set[int] = set()
         for _, i, j in sorted(pairs):
