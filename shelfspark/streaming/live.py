@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -123,10 +124,10 @@ FRAME_OUT = "session_id string, seq long, n_detections long, n_visible long, n_c
 
 def _frames(tracker: LiveTracker, g: pd.DataFrame):
     g = g.sort_values(["seq", "ord"], kind="stable")
-    for seq, rows in g.groupby("seq", sort=True):
+    for seq, rows in groupby(g.itertuples(index=False), key=lambda r: r.seq):
         dets = [
             {"box": [float(r.x1), float(r.y1), float(r.x2), float(r.y2)], "conf": float(r.conf), "recognized": bool(r.recognized), "signature": None if r.signature is None else [float(x) for x in r.signature]}
-            for r in rows.itertuples()
+            for r in rows
             if r.ord is not None and r.ord >= 0
         ]
         _, counts = tracker.frame(dets)
