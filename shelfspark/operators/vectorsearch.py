@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.geometry import repass_gap
 from ..functions.vectors import dot, unit
 
+#: Rows of the index that one task holds, and queries that meet them at once.
+SHARD_ROWS = 32768
+QUERY_ROWS = 128
+#: More than a matrix product of unit vectors can differ from the sum in order.
+SLACK = 1e-9
+
 
 def reference_search(queries: DataFrame, index: DataFrame, k: int = 5, prefetch: int = 8) -> DataFrame:
     """Per query (``query_id``, ``q``) the best photo of each product among the
     nearest ``prefetch * k`` photos of ``index`` (``row_id``, ``v``,
     ``product_key``), ranked, with the margin to the next product (0 from the last)."""
-    left = queries.select("query_id", unit("q").alias("q"))
-    right = index.select("row_id", "product_key", unit("v").alias("v"))
-    scored = left.crossJoin(right).withColumn("score", dot("q", "v"))  # the stated queries against all rows
+    found = _nearest(queries, index, k * prefetch)
     near = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    top = scored.select("query_id", "row_id", "product_key", "score").withColumn("n", F.row_number().over(near)).where(F.col("n") <= k * prefetch)
+    top = found.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k * prefetch)
     best = top.groupBy("query_id", "product_key").agg(F.max("score").alias("score"), F.min_by("row_id", "n").alias("row_id"))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     return (
@@ -28,6 +36,90 @@ def reference_search(queries: DataFrame, index: DataFrame, k: int = 5, prefetch:
     )
 
 
+def _nearest(queries: DataFrame, index: DataFrame, most: int) -> DataFrame:
+    """Each query's ``most`` nearest rows of every shard of the index, by score and
+    then ``row_id``: at least its nearest of all.
+
+    Both sides may grow: the index is dealt into shards of about ``SHARD_ROWS``, a
+    task holds one shard and the queries pass it in blocks of ``QUERY_ROWS``."""
+    shards = max(1, -(-index.count() // SHARD_ROWS))
+    row_kind, key_kind, query_kind = index.schema["row_id"].dataType, index.schema["product_key"].dataType, queries.schema["query_id"].dataType
+    rows = index.select(
+        F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), F.lit(None).cast(query_kind).alias("query_id"), "row_id", "product_key", unit("v").alias("v")
+    )
+    asked = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "query_id", F.lit(None).cast(row_kind).alias("row_id"), F.lit(None).cast(key_kind).alias("product_key"), unit("q").alias("v")
+    )
+
+    def search(it):
+        at, held, shard = None, [], None
+        for batch in it:
+            where, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "asks"))
+            cuts = np.flatnonzero((where[1:] != where[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(where)]):
+                part = batch.slice(a, b - a)
+                if where[a] != at:
+                    at, held, shard = where[a], [], None
+                if not asks[a]:
+                    held.append(part)
+                elif held:
+                    if shard is None:
+                        table = pa.Table.from_batches(held)
+                        shard = table.select(["row_id", "product_key"]).combine_chunks(), _matrix(table.column("v"))
+                        held = [held[0].slice(0, 1)]
+                    for c in range(0, len(part), QUERY_ROWS):
+                        block = part.slice(c, QUERY_ROWS)
+                        i, j, score = _best(_matrix(block.column("v")), shard[1], most)
+                        ids = shard[0].take(pa.array(j))
+                        columns = [block.column("query_id").take(pa.array(i)), *(x.combine_chunks() for x in ids.columns), score]
+                        yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in columns], ["query_id", "row_id", "product_key", "score"])
+
+    schema = StructType([StructField("query_id", query_kind), StructField("row_id", row_kind), StructField("product_key", key_kind), StructField("score", DoubleType())])
+    return rows.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "row_id").mapInArrow(search, schema)
+
+
+def _matrix(vectors) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows that end in zeros, and their lengths (-1: null, or with a null inside)."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = pa.concat_arrays(vectors.chunks)
+    n, flat = len(vectors), vectors.flatten()
+    length = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    kept = np.maximum(length, 0)
+    out = np.zeros((n, int(kept.max(initial=0))))
+    out[np.arange(out.shape[1]) < kept[:, None]] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        length[np.repeat(np.arange(n), kept)[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return out, length
+
+
+def _best(asked: tuple, rows: tuple, most: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(query, row, score) of each query's ``most`` best rows, the first of equals;
+    NaN is above all scores, null (unlike lengths, null elements) below.
+
+    A matrix product picks all rows that can be among them; their scores are then
+    summed in the order of ``dot``, so equal vectors have equal scores anywhere."""
+    (q, q_len), (v, v_len) = asked, rows
+    width = min(q.shape[1], v.shape[1])
+    q, v = q[:, :width], v[:, :width]
+    rough = q @ v.T
+    rough[np.isnan(rough)] = np.inf
+    if len(lengths := np.unique(np.concatenate([q_len, v_len]))) > 1 or lengths[0] < 0:
+        rough[(q_len[:, None] != v_len) | (q_len < 0)[:, None]] = -np.inf
+    if most < len(v):
+        least = np.partition(rough, len(v) - most, axis=1)[:, len(v) - most]
+        i, j = np.nonzero(rough >= least[:, None] - SLACK)
+    else:
+        i, j = np.nonzero(np.ones(rough.shape, bool))
+    score = np.zeros(len(i))
+    for d in range(width):
+        score += q[i, d] * v[j, d]
+    none = np.isneginf(rough[i, j])
+    order = np.lexsort((j, -np.where(none, -np.inf, np.where(np.isnan(score), np.inf, score)), i))
+    first = np.searchsorted(i, np.arange(len(q)))
+    order = order[np.arange(len(i)) - first[i] < most]
+    return i[order], j[order], pa.array(score[order], mask=none[order])
+
+
 def visual_recognition(matches: DataFrame, score: float = 0.78, margin: float = 0.035) -> DataFrame:
     """Best matches that are near and clear enough; they give brand and category, never a product."""
     good = (F.col("score") >= score) & (F.col("margin") >= margin)

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions import geometry as G
@@ -159,6 +160,42 @@ def test_reference_search_margin(spark):
     assert len(one) == 1 and one[0]["margin"] == one[0]["score"]
 
 
+def test_reference_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vectors = [rng.normal(size=3).tolist() for _ in range(300)]
+    vectors[40:90] = [vectors[0]] * 50  # equal scores go by row_id
+    vectors[90:95] = [None, [1.0, None, 0.0], [1.0, 2.0], [], [float("nan"), 1.0, 0.0]]
+    index = spark.createDataFrame([(i, v, f"p{i % 7}") for i, v in enumerate(vectors)], "row_id long, v array<double>, product_key string")
+    q = index.where("row_id % 2 = 0").select(F.col("row_id").alias("query_id"), F.col("v").alias("q"))
+    scored = q.select("query_id", V.unit("q").alias("q")).crossJoin(index.withColumn("v", V.unit("v"))).withColumn("score", V.dot("q", "v"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
+    plain = scored.withColumn("n", n).where("n <= 8").select("query_id", "row_id", "product_key", "score")
+    want = Counter(map(str, plain.collect()))
+    monkeypatch.setattr(vectorsearch, "SHARD_ROWS", 64)
+    got = vectorsearch._nearest(q, index, 8).withColumn("n", n).where("n <= 8").drop("n")
+    assert Counter(map(str, got.collect())) == want
+
+
+def test_every_twentieth_vector_is_asked(spark, small):
+    from shelfspark.plans import box_queries
+
+    e = spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").collect()
+    v = np.array([r["embedding"] for r in e], dtype=np.float64)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = {}
+    for i in range(len(e)):
+        if e[i]["vec_id"] % 20:
+            continue
+        s, best = v @ v[i], {}
+        for j in np.argsort(-s, kind="stable")[:40]:
+            best.setdefault(e[j]["label"], (e[j]["vec_id"], s[j]))
+        want |= {(e[i]["vec_id"], rank, label, row): x for rank, (label, (row, x)) in enumerate(list(best.items())[:5], 1)}
+    got = {(r["query_id"], r["rank"], r["product_key"], r["row_id"]): r["score"] for r in box_queries.vector_topk_margin(spark, small).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    asked = {r["vec_id"] for r in e if r["vec_id"] % 20 == 0}
+    assert {r["query_id"] for r in box_queries.visual_recognition(spark, small).collect()} == asked and max(asked) >= 20
+
+
 def test_presence_first_and_best(spark):
     rows = [
         ("v", 1, 1, "matched_sku", False, "b", "m", "c", None, None, 0.8, "x", "c1"),
