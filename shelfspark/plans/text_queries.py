@@ -196,12 +196,14 @@ _SEEN = """seen AS (SELECT l_orderkey * 10 + l_linenumber AS text_id, min('Art.
 
 
 def _seen(spark, sf_dir):
+    """The text of every line item; line items of one order, line and part have equal texts and are one."""
     k = F.col("p_partkey")
     size = F.col("p_size").cast("string")
     mod = (k % 97).cast("string")
     text = F.concat(F.lit("Art. "), size, F.lit(" / "), mod, F.lit("-"), k.cast("string"), F.lit(" ok "), size, mod, k.cast("string"))
     line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == k)
-    return line.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("text_id")).agg(F.min(text).alias("text"))
+    ident = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + k
+    return line.select(ident.alias("text_id"), text.alias("text")).distinct()
 
 
 _ART = "list_transform(regexp_extract_all({c}, '\\d+(?:\\s*[/\\\\-]\\s*\\d+){{2,}}'), lambda x: array_to_string(regexp_extract_all(x, '[0-9]+'), ''))"

@@ -379,6 +379,21 @@ def test_jobs_run_apart(spark, tmp_path):
 # --- the contract ------------------------------------------------------------------
 
 
+def test_every_line_item_is_matched(spark, small):
+    from shelfspark.plans import text_queries
+
+    line = spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").distinct().collect()
+    part = {r["p_partkey"]: r["p_size"] for r in spark.read.parquet(f"{small}/part.parquet").collect()}
+    keys = {k: f"{size}{k % 97}{k}" for k, size in part.items()}
+    first = {key: k for k, key in sorted(keys.items(), reverse=True)}
+    ident = {(r["l_orderkey"] * 10 + r["l_linenumber"]) * 1000000 + r["l_partkey"]: keys[r["l_partkey"]] for r in line}
+    assert len(ident) == len(line)
+    want = {(i, key, str(first[key])) for i, key in ident.items() if len(key) >= 4}
+    got = text_queries.article_exact_match(spark, small).collect()
+    assert len(got) == len(want) and {(r["text_id"], r["key"], r["sku_id"]) for r in got} == want
+    assert {r["text_id"] for r in text_queries.match_text(spark, small).collect()} == {*ident, *(-k - 1 for k in part)}
+
+
 def test_results_do_not_depend_on_partitions(spark, small):
     from shelfspark.plans import audit_queries, text_queries
 
