@@ -48,7 +48,14 @@ RULES = (
     Rule("hex", r"[0-9a-f]{16,}", 0, 16, True),  # maximal runs; shorter ones fail anyway
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # with its body: all up to the END line, or where that is missing the header and base64 lines
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+        r"(?:(?:[^-]+-{1,4}){0,40}[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----"
+        r"|(?:[\x20\t\r\n\\]+[A-Z][A-Za-z]{1,20}-[A-Z][A-Za-z]{1,20}:[^\r\n]{0,200}){0,4}"
+        r"(?:[\x20\t\r\n\\]+[A-Za-z0-9+/=]{16,}){1,1000}(?:[\x20\t\r\n\\]+[A-Za-z0-9+/]{1,15}={0,2}(?=[\x20\t]*(?:[\r\n]|$)))?)?",
+    ),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("basic", r"[a-z][a-z0-9+]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
 )
