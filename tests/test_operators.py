@@ -137,6 +137,12 @@ def test_components_and_reach(spark):
     assert [(r["url"], r["depth"]) for r in graph.reachable(seeds, links, 4).collect()] == [("a", 0), ("c", 1), ("b", 1), ("d", 2)]
 
 
+def test_reach_follows_long_chains(spark):
+    links = spark.createDataFrame([(str(i), str(i + 1), 0) for i in range(24)], "src string, dst string, ord int")
+    seeds = spark.createDataFrame([("0", 0)], "url string, ord int")
+    assert [(r["url"], r["depth"]) for r in graph.reachable(seeds, links, 350).collect()] == [(str(i), i) for i in range(25)]
+
+
 def test_repass_merges_only_after_a_gap(spark):
     v = [1.0, 0.0]
     rows = [("v", 0, 0, 10, v), ("v", 1, 5, 12, v), ("v", 2, 22, 30, v), ("v", 3, 21, 30, v), ("v", 4, 40, 50, [0.0, 1.0])]
