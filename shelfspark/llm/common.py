@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session leaves that unset (local tests) a temporary folder
-    is made and set as the session's checkpoint folder.
+    Where the session leaves that unset, a temporary folder is made and set as
+    the session's checkpoint folder, but only on a local master: on a cluster
+    each machine would write to a disk of its own.
     """
     ctx = spark.sparkContext
     path = ctx.getConf().get("spark.checkpoint.dir", None)
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = ctx._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not ctx.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="shelfspark_ckpt_")
         ctx.setCheckpointDir(path)
         return path
@@ -54,11 +57,26 @@ def drop_cut(df: DataFrame) -> None:
         parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
 
 
+def by_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named ``c0``, ``c1``, ... by their place, so that no
+    name (dotted, repeated but for case, or used by an operator) can clash;
+    ``toDF(*docs.columns)`` gives the names back."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """The name of column ``name`` in :func:`by_place`; case counts only where two names differ by it."""
+    at = [i for i, c in enumerate(docs.columns) if c == name] or [i for i, c in enumerate(docs.columns) if c.lower() == name.lower()]
+    if not at:
+        raise ValueError(f"no column {name!r} in {docs.columns}")
+    return f"c{at[0]}"
+
+
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``_id`` and ``_text`` (null text: empty), so no other column can clash."""
-    return docs.select(
-        F.col(id_col).alias("_id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
+    return by_place(docs).select(
+        F.col(place(docs, id_col)).alias("_id"),
+        F.coalesce(F.col(place(docs, text_col)).cast("string"), F.lit("")).alias("_text"),
     )
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byteblock import BLOCK, Block, mix
-from .common import cut, id_text, text_blocks
+from .common import by_place, cut, id_text, place, text_blocks
 from .components import components
 
 WORDS = 5
@@ -317,14 +317,13 @@ def jaccard_classes(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that name their class (smallest id), one for each;
     all columns as they were.  Rows without words all stay."""
-    classes = cut(jaccard_classes(docs, id_col, text_col, **options))
-    spare = classes.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_i"), F.col("_key").alias("_k")).distinct()
+    classes = cut(jaccard_classes(docs, id_col, text_col, **options)).toDF("_i", "class_id", "n_links", "_k")
+    rows, i, t = by_place(docs), place(docs, id_col), place(docs, text_col)
+    spare = classes.where(~F.col("_i").eqNullSafe(F.col("class_id"))).select("_i", "_k").distinct()
     few = spare.count() <= BROADCAST_ROWS
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    left = docs.join(
-        F.broadcast(spare) if few else spare.hint("merge"), (key == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_i")), "left_anti"
-    )
-    repeated = classes.where("n_links > 0").groupBy(id_col, "_key").count().where("count > 1")
-    if repeated.isEmpty():
-        return left
-    return left.withColumn("_shelfspark_key", key).dropDuplicates([id_col, "_shelfspark_key"]).drop("_shelfspark_key")
+    key = F.unhex(F.md5(F.coalesce(F.col(t).cast("string"), F.lit("")).cast("binary")))
+    left = rows.join(F.broadcast(spare) if few else spare.hint("merge"), (key == F.col("_k")) & F.col(i).eqNullSafe(F.col("_i")), "left_anti")
+    repeated = classes.where("n_links > 0").groupBy("_i", "_k").count().where("count > 1")
+    if not repeated.isEmpty():
+        left = left.withColumn("_key", key).dropDuplicates([i, "_key"]).drop("_key")
+    return left.toDF(*docs.columns)

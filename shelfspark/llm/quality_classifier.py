@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byteblock import BLOCK, SYMBOLS, Block, lut
-from .common import cut, id_text, text_blocks
+from .common import by_place, cut, id_text, place, text_blocks
 from .labelled import held_out, sample
 
 SAMPLE = 8000
@@ -200,13 +200,15 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col="doc_id", text_co
 
 def filter_quality(docs: DataFrame, model: QualityModel, text_col="text") -> DataFrame:
     """The rows of ``docs`` that are predicted 1, all columns as they were."""
+    rows, text = by_place(docs), place(docs, text_col)
+
     def run(it):
         for batch in it:
-            for a, texts in text_blocks(batch, BLOCK, text_col):
+            for a, texts in text_blocks(batch, BLOCK, text):
                 good = model.score(statistics(Block(texts))) >= 0.5
                 yield batch.slice(a, len(texts)).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 __all__ = ["QualityModel", "fit", "score_quality", "filter_quality", "held_out"]

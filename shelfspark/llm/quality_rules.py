@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .byteblock import BLOCK, SYMBOLS, Block
-from .common import id_text, text_blocks
+from .common import by_place, id_text, place, text_blocks
 from .labelled import sample
 
 SAMPLE = 2000
@@ -225,9 +225,11 @@ def apply_rules(docs: DataFrame, model: RulesModel, id_col="doc_id", text_col="t
 
 def filter_rules(docs: DataFrame, model: RulesModel, text_col="text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
+    rows, text = by_place(docs), place(docs, text_col)
+
     def run(it):
         for batch in it:
-            for a, texts in text_blocks(batch, BLOCK, text_col):
+            for a, texts in text_blocks(batch, BLOCK, text):
                 yield batch.slice(a, len(texts)).filter(pa.array(verdicts(texts, model)["kept"].astype(bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,9 +13,10 @@ from helpers import collect, frame, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from public_tokenizers import path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfspark.llm import bpe_tree, license_scan, packing, quality_rules, secret_scan, token_counts, tokenizing, trigrams
+from shelfspark.llm import bpe_tree, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, token_counts, tokenizing, trigrams
 from shelfspark.llm.byteblock import Block
 
 BYTE, WORD = path("byte_bpe_50k.json"), path("word_bpe_49k.json")
@@ -388,3 +390,52 @@ def test_digests_of_registered_queries(spark, small):
         spans = [f"{secret_scan.RULES[k].kind}:{s}:{e}" for s, k, e in plain_spans(texts[r["doc_id"]])]
         base = [f"{secret_scan.RULES[k].kind}:{s}:{e}" for s, k, e in plain_spans(texts[r["doc_id"]]) if k < 3]
         assert r["spans"] == ",".join(spans) and r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+
+
+def test_many_secrets_cost_no_more_than_their_length(spark):
+    """2 MB with 80,000 keys: places equal the plain version's, in seconds."""
+    rng = random.Random(7)
+    text = "".join(f"token={rng.getrandbits(60):015x}é\n" for _ in range(80000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = collect(secret_scan.scan_secrets(df))[0]["spans"]
+    clean = collect(secret_scan.redact(df))[0]["text"]
+    took = time.perf_counter() - start
+    want = plain_spans(text, secret_scan.RULES)
+    assert len(want) >= 80000 and [(s["start"], s["ord"], s["end"]) for s in got] == want
+    out, at = [], 0
+    for s, _, e in want:
+        if s >= at:
+            out.append(text[at:s])
+        at = max(at, e)
+    assert clean == "[secret]".join([*out, text[at:]])
+    assert took < 120
+
+
+def test_index_keeps_sorted_lists_by_trigram(spark):
+    data = [(i, f"{'token' if i % 3 else 'none'} {'AKIA' if i % 5 else ''} {i}") for i in range(300)]
+    named = secret_scan._named(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", "text")
+    hashes = {r["_id"]: r["_hash"] for r in collect(named)}
+    trigrams = secret_scan.wanted_trigrams()
+    found = defaultdict(list)
+    for r in collect(secret_scan.index(named, trigrams, segment_rows=50)):
+        assert r["rows"] == sorted(r["rows"]) and {h % 6 for h in r["rows"]} == {r["seg"]}
+        found[trigrams[r["tri"]]] += r["rows"]
+    for t, rows_ in found.items():
+        assert sorted(rows_) == sorted(hashes[i] for i, s in data if t in s.lower())
+    hits = collect(secret_scan.candidates(named, segment_rows=50))
+    assert {r["_hash"] for r in hits if r["hit_1"]} == {hashes[i] for i in range(300) if i % 5}
+
+
+NAMES = ["_cid", "_chash", "_spans", "_i", "_k", "a.b", "c0", "c1", "TEXT", "key", "_key", "_shelfspark_key", "count", "class_id", "`x`"]
+
+
+def test_filters_and_redaction_pass_on_any_column(spark):
+    """Names that operators use, dotted ones, and some that differ by case only."""
+    df = frame(spark, [*SECRETS, *DATA], extra=False)
+    df = df.select("*", *[F.lit(n).alias(n) for n in NAMES])
+    none = quality_rules.RulesModel(None)
+    for out in (secret_scan.redact(df), quality_rules.filter_rules(df, none), quality_classifier.filter_quality(df, quality_classifier.QualityModel(None, np.zeros(1), np.ones(1))), jaccard_join.keep_one(df)):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(tuple(r)[3:] == tuple(NAMES) for r in got)
