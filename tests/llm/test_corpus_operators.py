@@ -98,9 +98,64 @@ def test_keep_one_of_each_class(spark):
 
 
 def test_depth_reaches_the_recall():
-    d = jaccard_join.depth_for(0.8)
-    assert 1 - (1 - 0.8**d) ** jaccard_join.TREES >= jaccard_join.RECALL
-    assert d == 1 or 1 - (1 - 0.8 ** (d + 1)) ** jaccard_join.TREES < jaccard_join.RECALL
+    """At the shortest prefix hardly any pair at the threshold is lost, one value more would lose some."""
+    for similarity in (0.8, 0.5, 0.95):
+        d = jaccard_join.floor_depth(similarity)
+        assert d == 1 or jaccard_join.meets(similarity, d) >= jaccard_join.RECALL
+        assert d == jaccard_join.DEPTH or jaccard_join.meets(similarity, d + 1) < 0.999999
+
+
+def test_recall_is_estimated_from_the_links_found():
+    rng = np.random.default_rng(5)
+    edge = 0.8 + 0.2 * np.arange(jaccard_join.BINS) / jaccard_join.BINS
+    there = rng.integers(2000, 4000, jaccard_join.BINS)
+    for depth in (8, 6):
+        found = rng.binomial(there, jaccard_join.meets(edge, depth))
+        got = jaccard_join.recall_at(found, 0.8, depth)
+        assert abs(got - found.sum() / there.sum()) < 0.005
+        then = rng.binomial(there, jaccard_join.meets(edge, 5)).sum() / there.sum()
+        assert abs(jaccard_join.recall_at(found, 0.8, depth, 5) - then) < 0.005
+
+
+def depths_of(spark, data):
+    from shelfspark.llm.common import id_text
+
+    texts = id_text(frame(spark, data, extra=False), "doc_id", "text")
+    signed = jaccard_join.signatures(texts, "bigint", jaccard_join.TREES, 5).where("sig is not null")
+    distinct = signed.groupBy("key").agg(F.min("_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("size").alias("size"))
+    links, depths = jaccard_join.all_links(texts, distinct.cache(), "bigint", jaccard_join.SIMILARITY, 5, jaccard_join.TREES, jaccard_join.RECALL)
+    return depths, links.count()
+
+
+def test_prefixes_are_shortened_as_far_as_the_data_ask(spark):
+    rng = random.Random(8)
+    alike, edge = [], []
+    for f in range(700):
+        words = [f"v{rng.randrange(10**9)}" for _ in range(100)]
+        one = [*words, "tail"]  # an index of 96/97
+        alike += [(f, " ".join(words)), (10000 + f, " ".join(one))]
+        some = [*words[:90], *(f"n{rng.randrange(10**9)}" for _ in range(10))]  # about 0.81
+        edge += [(f, " ".join(words)), (10000 + f, " ".join(some))]
+    depths, links = depths_of(spark, alike)
+    assert depths[0] == jaccard_join.DEPTH and depths[-1] >= 5 and links == 1400
+    depths, links = depths_of(spark, edge)
+    assert depths[-1] < 5 and links == 1400
+
+
+def test_neighbours_in_sorted_tries(spark, monkeypatch):
+    """Every prefix that two documents share in a tree is seen from both of them."""
+    rng = np.random.default_rng(2)
+    sigs = [rng.integers(0, 3, (2, jaccard_join.DEPTH)).astype("<u2") for _ in range(200)]
+    rows_ = [(i.to_bytes(2, "big"), bytearray(s.tobytes()), 1) for i, s in enumerate(sigs)]
+    df = spark.createDataFrame(rows_, "key binary, sig binary, size long").repartition(3)
+    got = {(r["tree"], int.from_bytes(bytes(r["key"]), "big")): r["depth"] for r in collect(jaccard_join.trie(df, 2, 1))}
+    exact = 0
+    for t in range(2):
+        for i in range(200):
+            most = max(int(np.cumprod(sigs[i][t] == sigs[j][t]).sum()) for j in range(200) if j != i)
+            assert got.get((t, i), 0) >= most
+            exact += got.get((t, i), 0) == most
+    assert exact >= 400 - 20  # but for rows at the rims of partitions
 
 
 def test_recall_of_the_forest():
@@ -116,10 +171,25 @@ def test_recall_of_the_forest():
         a, b = (shingles(t) for t in texts)
         assert 0.76 < len(a & b) / len(a | b) < 0.86
         blk = Block(texts)
-        _, p = jaccard_join.prefixes(*jaccard_join.shingles(blk), 2, jaccard_join.TREES, jaccard_join.depth_for(0.8))
+        _, sig = jaccard_join.minima(*jaccard_join.shingles(blk), jaccard_join.TREES)
+        p = jaccard_join.prefix_codes(sig, jaccard_join.floor_depth(0.8))
         met += bool((p[0] == p[1]).any())
         total += 1
-    assert met / total >= 0.9
+    assert met / total >= 0.99
+
+
+def test_links_of_a_hub(spark, monkeypatch):
+    """A hub of near copies in many blocks: every pair is looked at once."""
+    rng = random.Random(6)
+    words = [f"h{i}" for i in range(120)]
+    data = []
+    for i in range(400):
+        w = list(words)
+        w[rng.randrange(120)] = f"e{i}"
+        data.append((i, " ".join(w)))
+    want = plain_classes(data)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 40 * 116 * 8)  # blocks by bytes: ten of forty
+    assert got_classes(frame(spark, data, extra=False)) == want
 
 
 @settings(max_examples=5, deadline=None)
