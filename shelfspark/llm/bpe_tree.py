@@ -10,7 +10,9 @@ agreement at both rims makes the two pairs at the rims ones already seen.
 
 The same is done one level up: a long document is cut into rows, encoded by
 tasks in parallel, and the pre-tokens at each seam are scanned again in growing
-windows until both sides' boundaries agree.
+windows until both sides' boundaries agree.  A pre-token that stands open on both
+sides of a seam, however many rows it takes, keeps the codes of its parts: they
+are joined by windows of tokens as above, and only those windows are encoded.
 
 Defined results: null text is the empty text, which has no tokens; repeated
 rows each give their own row; other columns are not read.
@@ -61,6 +63,21 @@ def join(model, s: str, left, right):
         k *= 2
 
 
+def join_codes(path: str, left: bytes, right: bytes) -> tuple[bytes, int]:
+    """Codes of an unsplit string from those of its two parts, and how many symbols
+    were encoded again."""
+    model, tokens = codec(path).model, _token_texts(path)
+    li, ri, k, again = memoryview(left).cast("I"), memoryview(right).cast("I"), 1, 0
+    while True:
+        kl, kr = min(k, len(li)), min(k, len(ri))
+        window = "".join(map(tokens.__getitem__, [*li[len(li) - kl :], *ri[:kr]]))
+        new = [t.id for t in model.tokenize(window)]
+        again += len(window)
+        if (kl == len(li) or new[0] == li[-kl]) and (kr == len(ri) or new[-1] == ri[kr - 1]):
+            return left[: 4 * (len(li) - kl)] + as_bytes(new) + right[4 * kr :], again
+        k *= 2
+
+
 def tree_encode(model, s: str, leaf: int = LEAF):
     """(ids, symbols in each) of one unsplit string by tree concatenation."""
     level = [_encode(model, s[i : i + leaf]) for i in range(0, len(s), leaf)]
@@ -158,7 +175,7 @@ def join_scans(path: str, leaf: int, left: Scanned, right: Scanned) -> Scanned:
         if stop is None and kr < len(right):
             continue
         i, j = stop or (len(window), kr)  # the window reaches the end: it is right as a whole
-        new = codes(path, leaf, window[:i])
+        new = _window_codes(path, leaf, window[:i], first - seam, left, right)
         head, at_id = len(left) - kl, right.start(j)[1]
         ends = _sums(map(len, window[:i])) + first
         cuts = _sums(len(x) // 4 for x in new) + first_id
@@ -171,10 +188,36 @@ def join_scans(path: str, leaf: int, left: Scanned, right: Scanned) -> Scanned:
         )
 
 
+def _window_codes(path: str, leaf: int, words: list[str], at: int, left: Scanned, right: Scanned) -> list[bytes]:
+    """Codes of the pre-tokens of a window that begins at ``at``, counted from the seam.
+
+    One over the seam whose parts are the last pre-token of the left scan and the
+    first of the right one is joined from their codes."""
+    ends = _sums(map(len, words)) + at
+    i = int(np.searchsorted(ends, 0, side="right"))  # the first word that ends beyond the seam
+    if i == len(words) or len(words[i]) <= leaf:
+        return codes(path, leaf, words)
+    begin, begin_id = left.start(len(left) - 1)
+    if int(ends[i]) - len(words[i]) != begin - len(left.text) or int(ends[i]) != int(right.ends[0]):
+        return codes(path, leaf, words)
+    joined, _ = join_codes(path, left.ids[4 * begin_id :], right.ids[: 4 * int(right.cuts[0])])
+    return [*codes(path, leaf, words[:i]), joined, *codes(path, leaf, words[i + 1 :])]
+
+
 def encode_text(path: str, text: str, leaf: int = LEAF) -> bytes:
     return b"".join(codes(path, leaf, scan(codec(path), text)))
 
 
+@lru_cache(maxsize=4)
+def _token_texts(path: str) -> list[str]:
+    """Each token by its id, in the vocabulary's own alphabet."""
+    vocab = codec(path).spec["model"]["vocab"]
+    table = [""] * (max(vocab.values(), default=-1) + 1)
+    for token, i in vocab.items():
+        table[i] = token
+    return table
+
+
 @lru_cache(maxsize=4)
 def _token_bytes(path: str) -> list[bytes]:
     """The bytes of each token by its id."""

@@ -77,6 +77,41 @@ def test_seams_between_scanned_pieces(text, size):
     assert (level[0].ids if level else b"") == want
 
 
+@pytest.mark.parametrize("alphabet, many", [("etaoinshrdlu", 4), ("a", 3), ("ab", 2), ("日本語テキスト文", 3), ("é", 2)])
+def test_seams_of_unbroken_text_encode_only_windows(monkeypatch, alphabet, many):
+    """Rows of the production size that are parts of one pre-token: their codes are joined."""
+    rng = random.Random(9)
+    text = "".join(rng.choice(alphabet) for _ in range(many * bpe_tree.ROW_CHARS - 77))
+    level = [bpe_tree.Scanned.of(BYTE, bpe_tree.LEAF, text[i : i + bpe_tree.ROW_CHARS]) for i in range(0, len(text), bpe_tree.ROW_CHARS)]
+    again, real = [], bpe_tree.join_codes
+
+    def spy(*a):
+        out = real(*a)
+        again.append(out[1])
+        return out
+
+    monkeypatch.setattr(bpe_tree, "join_codes", spy)
+    monkeypatch.setattr(bpe_tree, "tree_encode", None)  # nothing long is encoded anew
+    while len(level) > 1:
+        level = [bpe_tree.join_scans(BYTE, bpe_tree.LEAF, *level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    assert level[0].ids == tokenizing.as_bytes(_tok(BYTE).encode(text, add_special_tokens=False).ids)
+    assert len(again) == many - 1
+    if len(alphabet) > 2:
+        assert max(again) < 2000
+
+
+def test_joins_of_unbroken_text_cost_less_than_its_leaves():
+    rng = random.Random(10)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 19))
+    start = time.perf_counter()
+    level = [bpe_tree.Scanned.of(BYTE, bpe_tree.LEAF, text[i : i + bpe_tree.ROW_CHARS]) for i in range(0, len(text), bpe_tree.ROW_CHARS)]
+    leaves = time.perf_counter() - start
+    while len(level) > 1:
+        level = [bpe_tree.join_scans(BYTE, bpe_tree.LEAF, *level[i : i + 2]) for i in range(0, len(level), 2)]
+    assert time.perf_counter() - start - leaves < leaves
+    assert len(level[0]) == 1
+
+
 def test_encode_and_decode_documents(docs, empty):
     want = Counter()
     for i, t in DATA:
