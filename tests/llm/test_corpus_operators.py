@@ -334,10 +334,45 @@ def test_top_k_equals_all_scores(spark, scale, seed):
     vectors += [(1000 + i, vectors[7][1]) for i in range(60)] + [(7, vectors[7][1]), (None, vectors[0][1]), (2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 6), (2003, [float("inf")])]
     vectors += [(2050, [0.5, 0.25]), (2100, [])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("shard", F.lit("y"))
-    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in collect(knn_kdtree.top_k(df, shard_rows=64)))
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in collect(knn_kdtree.top_k(df, shard_rows=64, cells=8)))
     assert got == plain_top([(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in vectors])
 
 
+def test_queries_go_only_to_cells_that_can_hold_an_answer(spark):
+    """Far clusters: after the first visit hardly a box reaches the k-th score, and
+    the other cells are asked only where one does."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 30, (16, 3))
+    points = [(i, (centres[i % 16] + rng.normal(0, 0.2, 3)).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    asked = []
+    real = knn_kdtree.visits
+
+    def spy(*a):
+        out = real(*a)
+        asked.append(out)
+        return out
+
+    knn_kdtree.visits = spy
+    try:
+        got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in collect(knn_kdtree.top_k(df, shard_rows=50, cells=16)))
+        first, others = (x.count() for x in asked)
+    finally:
+        knn_kdtree.visits = real
+    assert got == plain_top(points)
+    queries_ = 1600 // 50
+    assert first <= 4 * queries_  # the shards of one cell
+    assert others <= 4 * queries_  # of fifteen other cells with two shards or more each
+
+
+def test_cells_split_ties_and_skew():
+    rows_ = np.repeat([[0.0, 1.0], [0.0, 2.0], [5.0, 1.0]], [50, 3, 3], axis=0)
+    cuts = knn_kdtree.Cuts.of(rows_, 8)
+    cell = cuts.cells_of(rows_)
+    assert len(set(cell.tolist())) == 3 and len({(c, *r) for c, r in zip(cell.tolist(), rows_.tolist())}) == 3
+    assert knn_kdtree.Cuts.of(np.zeros((0, 2)), 4).cells_of(rows_).tolist() == [0] * 56
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (50, [2.0])], "vec_id long, embedding array<float>")
     assert Counter((r["query_id"], r["rank"], r["vec_id"]) for r in collect(knn_kdtree.top_k(df))) == Counter([(0, 1, 50), (50, 1, 0)])
