@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .written import dropped, written
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the folder in ``spark.checkpoint.dir`` and read back, which cuts
-    lineage, statistics and constraints alike; only where that is unset (tests) a
-    temporary folder serves."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own_folder()
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="shelfspark_graph_")
 
-
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` (``node``), ``edges`` (``a``, ``b``) to ``node``, ``root``, the
     smallest node that it is linked to.
 
     Every round links each node's larger neighbours to its least neighbour, then
-    the smaller ones; this ends in stars around the roots after few rounds."""
+    the smaller ones; this ends in stars around the roots after few rounds, and
+    goes on until a round changes nothing."""
 
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
@@ -39,23 +22,20 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Dat
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    now = _checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     was = state(now)
-    for _ in range(most_rounds):
-        if not was[0]:
-            break
+    while was[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = least(both).withColumn("m", F.least("c", "m"))
         up = both.where("v > u").join(low, F.col("u") == F.col("c")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = up.join(least(up), F.col("u") == F.col("c"))
         pairs = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        now = _checkpoint(pairs.distinct())
+        old, now = now, written(pairs.distinct())
         new = state(now)
+        dropped(old)
         if new == was:
             break
         was = new
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("u").alias("_u"), F.col("v").alias("_r"))
     return nodes.select("node").distinct().join(roots, F.col("node") == F.col("_u"), "left").select("node", F.coalesce("_r", "node").alias("root"))
 
@@ -64,16 +44,16 @@ def reachable(seeds: DataFrame, links: DataFrame, most: int) -> DataFrame:
     """Pages by breadth from ``seeds`` (``url``, ``ord``) along ``links`` (``src``,
     ``dst``, ``ord``), each once at its least depth, the first ``most`` by depth and order; it goes on
     until no page is new or ``most`` are seen."""
-    seen = _checkpoint(seeds.groupBy("url").agg(F.min("ord").alias("ord")).withColumn("depth", F.lit(0)))
+    seen = written(seeds.groupBy("url").agg(F.min("ord").alias("ord")).withColumn("depth", F.lit(0)))
     edge, d, n = seen, 0, seen.count()
     while n < most:
         d += 1
         step = edge.select(F.col("url").alias("src"), F.col("ord").alias("po")).join(links, "src")
         new = step.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("po", "ord")).alias("o")).join(seen, "url", "left_anti")
         w = Window.orderBy("o.po", "o.ord", "url")  # the order of a crawl's queue: at most ``most`` pages matter
-        edge = _checkpoint(new.orderBy("o.po", "o.ord", "url").limit(most).select("url", F.row_number().over(w).alias("ord"), F.lit(d).alias("depth")))
+        edge = written(new.orderBy("o.po", "o.ord", "url").limit(most).select("url", F.row_number().over(w).alias("ord"), F.lit(d).alias("depth")))
         if not (found := edge.count()):
             break
         n += found
-        seen = _checkpoint(seen.unionByName(edge))
+        seen = written(seen.unionByName(edge))
     return seen.orderBy("depth", "ord", "url").limit(most)

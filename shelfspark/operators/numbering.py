@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import _checkpoint
+from .written import written
 
 
 def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
@@ -13,7 +13,7 @@ def numbered(df: DataFrame, order: list, name: str = "n") -> DataFrame:
     and numbered in each; sizes of earlier ranges are added.  The ranges are
     sampled, so they are written once before anything is counted."""
     pid, inner = "_shelfspark_range", "_shelfspark_row"
-    ranged = _checkpoint(df.repartitionByRange(*order).withColumn(pid, F.spark_partition_id()))
+    ranged = written(df.repartitionByRange(*order).withColumn(pid, F.spark_partition_id()))
     upto = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     starts = ranged.groupBy(F.col(pid).alias("p")).agg(F.count(F.lit(1)).alias("c")).select("p", F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("start"))
     within = ranged.withColumn(inner, F.row_number().over(Window.partitionBy(pid).orderBy(*order)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .written import written
 
 STRONG_KEY = 5
 FUZZY = 0.78
@@ -44,31 +45,35 @@ def _pieces(c: str, n: int):
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.col(c).substr(i + 1, F.lit(n))))
 
 
-def substring_matches(texts: DataFrame, keys: DataFrame, haystacks: str, least: int = 0) -> DataFrame:
-    """Model keys inside any of a text's ``haystacks``.
+def keys_inside(hay: DataFrame, keys: DataFrame, n: int = PIECE, keep: tuple[str, ...] = ("text_id",)) -> DataFrame:
+    """Model keys of ``n`` characters or more inside ``hay``: ``keep`` columns and the key's.
 
     Each key is anchored at the piece of it that fewest keys share; a text's
     pieces meet anchors in an equality join and the rest of the key is compared
     in place, so neither texts and keys nor all substrings are paired."""
-    n = max(PIECE, least)
     models = keys.where((F.col("kind") == "model") & (F.col("key_len") >= n))
     pieces = models.select("key").distinct().select("key", F.posexplode(_pieces("key", n)).alias("off", "piece"))
-    shared = pieces.groupBy("piece").agg(F.countDistinct("key").alias("n_keys"))
+    shared = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n_keys"))
     anchors = (
         pieces.join(shared, "piece")
         .groupBy("key")
         .agg(F.min(F.struct("n_keys", "off", "piece")).alias("a"))
         .select("key", F.col("a.off").alias("off"), F.col("a.piece").alias("piece"))
     )
-    hay = texts.select("text_id", F.explode(haystacks).alias("hay")).distinct()
     found = (
-        hay.select("text_id", "hay", F.posexplode(_pieces("hay", n)).alias("at", "piece"))
+        hay.select(*keep, "hay", F.posexplode(_pieces("hay", n)).alias("at", "piece"))
         .join(anchors, "piece")
         .where((F.col("at") >= F.col("off")) & (F.col("hay").substr(F.col("at") - F.col("off") + 1, F.char_length("key")) == F.col("key")))
-        .select("text_id", "key")
+        .select(*keep, "key")
         .distinct()
     )
-    return _first_key(found.join(models, "key"))
+    return found.join(models.drop("kind"), "key")
+
+
+def substring_matches(texts: DataFrame, keys: DataFrame, haystacks: str, least: int = 0) -> DataFrame:
+    """The longest model key inside any of a text's ``haystacks``."""
+    hay = texts.select("text_id", F.explode(haystacks).alias("hay")).distinct()
+    return _first_key(keys_inside(hay, keys, max(PIECE, least)))
 
 
 def exact_brands(texts: DataFrame, brands: DataFrame) -> DataFrame:
@@ -82,14 +87,28 @@ def fuzzy_brands(texts: DataFrame, brands: DataFrame, least: float = FUZZY, keep
     """The most similar brand of each text's tokens (five letters and up on both
     sides); of equals the longest, then the first of the catalog.
 
-    Distinct tokens meet brands of a length that can reach the ratio, since it is
-    at most twice the shorter length over the sum."""
+    Of strings of lengths a and b whose ratio reaches ``least``, at most
+    u = (1 - least) (a + b) letters are in no matching block, so there are u + 1
+    blocks at most and, from 0.75 on, one of them has two letters; it is moved by
+    no more than u.  So distinct tokens meet the brands that share a pair of
+    letters at such places, and only those pairs are compared."""
+    if least < 0.75:
+        raise ValueError("pairs of letters are enough from a ratio of 0.75 on")
     tok = texts.select(*keep, F.explode("tokens").alias("token")).where(F.char_length("token") >= 5)
     words = tok.select("token").distinct().withColumn("n", F.char_length("token"))
-    low, high = least / (2 - least), (2 - least) / least
     names = brands.where(F.char_length("brand_canon") >= 5).withColumn("m", F.char_length("brand_canon"))
-    near = names.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") * low).cast("int"), F.floor(F.col("m") * high).cast("int"))))
-    scored = words.join(near, "n").withColumn("ratio", ratio_udf("token", "brand_canon")).where(F.col("ratio") >= least)
+    high = (2 - least) / least  # the ratio is at most twice the shorter length over the sum
+    moved = F.floor((1 - least) * (1 + high) * F.col("m")).cast("int")
+    pairs = names.select("brand", "brand_canon", "ord", "m", moved.alias("u"), F.posexplode(_pieces("brand_canon", 2)).alias("p", "pair"))
+    placed = pairs.select("brand", "brand_canon", "ord", "m", "pair", F.explode(F.sequence(F.greatest(F.col("p") - F.col("u"), F.lit(0)), F.col("p") + F.col("u"))).alias("at"))
+    met = (
+        words.select("token", "n", F.posexplode(_pieces("token", 2)).alias("at", "pair"))
+        .join(placed, ["pair", "at"])
+        .where(F.least("n", "m") * 2 >= least * (F.col("n") + F.col("m")))
+        .select("token", "brand", "brand_canon", "ord", "m")
+        .distinct()
+    )
+    scored = met.withColumn("ratio", ratio_udf("token", "brand_canon")).where(F.col("ratio") >= least)
     hits = tok.join(scored, "token")
     best = F.min(F.struct((-F.col("ratio")).alias("r"), (-F.col("m")).alias("m"), "ord", "brand", "brand_canon"))
     return hits.groupBy(*keep).agg(best.alias("b")).select(*keep, "b.brand", "b.brand_canon", (-F.col("b.r")).alias("ratio"))
@@ -104,8 +123,12 @@ def category_matches(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def match_text(texts: DataFrame, catalog: DataFrame, keys: DataFrame, brands: DataFrame, vocabulary: DataFrame, fuzzy: bool = True) -> DataFrame:
     """``text_id``, ``text`` to a decision: a product on strong evidence, else
-    brand and category from printed words and weak codes, else unknown."""
-    t = texts.select("text_id", "text").withColumns(
+    brand and category from printed words and weak codes, else unknown.
+
+    Each distinct text is decided once, however many rows hold it."""
+    # by number, so that few bytes but much work are not put into one task
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = texts.select("text").distinct().repartition(parts, F.xxhash64("text")).select(F.xxhash64("text").alias("text_id"), "text").withColumns(
         {
             "comp": X.compact("text"),
             "tokens": X.tokens("text"),
@@ -118,17 +141,27 @@ def match_text(texts: DataFrame, catalog: DataFrame, keys: DataFrame, brands: Da
             "confused": F.when(F.col("comp") != "", X.confusion_variants("comp")).otherwise(F.array().cast("array<string>")),
         }
     )
+    t = written(t)  # read by every branch below
+    keys = written(keys.repartition(parts, "key"))
     n = F.char_length("key")
+
+    def told(hits: DataFrame, p: int, method: str, conf) -> DataFrame:
+        return _first_key(hits).select("text_id", F.lit(p).alias("p"), "key", "sku_id", F.lit(method).alias("method"), conf.alias("conf"))
+
+    # the literal forms are among the confused ones, so all meet the keys once
+    hay = t.select("text_id", "literal", F.explode("confused").alias("hay"))
+    inside = written(keys_inside(hay.select("text_id", "hay", F.array_contains("literal", F.col("hay")).alias("sure")), keys, keep=("text_id", "sure")))
+    coded = written(t.select("text_id", F.explode("tokens").alias("key")).join(keys.where("kind = 'article'").drop("kind"), "key"))
     strong = (
         article_matches(t, keys, "articles").select("text_id", F.lit(1).alias("p"), "key", "sku_id", F.lit("article_code").alias("method"), F.when(n >= 6, 0.9).otherwise(0.78).alias("conf"))
-        .unionByName(substring_matches(t, keys, "literal", STRONG_KEY).select("text_id", F.lit(2).alias("p"), "key", "sku_id", F.lit("model_code").alias("method"), F.when(n >= 6, 0.9).otherwise(0.8).alias("conf")))
-        .unionByName(article_matches(t, keys, "tokens", 6).select("text_id", F.lit(3).alias("p"), "key", "sku_id", F.lit("article_code").alias("method"), F.lit(0.9).alias("conf")))
+        .unionByName(told(inside.where(F.col("sure") & (F.col("key_len") >= STRONG_KEY)), 2, "model_code", F.when(n >= 6, 0.9).otherwise(0.8)))
+        .unionByName(told(coded.where("key_len >= 6"), 3, "article_code", F.lit(0.9)))
         .groupBy("text_id")
         .agg(F.min_by(F.struct("key", "sku_id", "method", "conf"), "p").alias("strong"))
     )
     weak = (
-        substring_matches(t, keys, "confused").select("text_id", F.lit(1).alias("p"), "key", "sku_id")
-        .unionByName(article_matches(t, keys, "tokens").select("text_id", F.lit(2).alias("p"), "key", "sku_id"))
+        _first_key(inside).select("text_id", F.lit(1).alias("p"), "key", "sku_id")
+        .unionByName(_first_key(coded).select("text_id", F.lit(2).alias("p"), "key", "sku_id"))
         .groupBy("text_id")
         .agg(F.min_by(F.struct("key", "sku_id"), "p").alias("weak"))
     )
@@ -152,9 +185,8 @@ def match_text(texts: DataFrame, catalog: DataFrame, keys: DataFrame, brands: Da
         return F.when(sure, a).when(branded, b).when(cat.isNotNull(), c).otherwise(d)
 
     null = F.lit(None).cast("string")
-    return out.select(
-        "text_id",
-        "text",
+    decided = out.select(
+        F.col("text").alias("_text"),
         pick(F.lit("matched_sku"), F.lit("brand_only"), F.lit("category_only"), F.lit("unknown")).alias("status"),
         pick(F.col("s.is_own_brand"), F.when(by_code, F.col("w.is_own_brand")).otherwise(F.lit(True)), F.lit(False), F.lit(False)).alias("is_own"),
         pick(F.col("s.brand_name"), found, null, null).alias("brand"),
@@ -171,6 +203,8 @@ def match_text(texts: DataFrame, catalog: DataFrame, keys: DataFrame, brands: Da
         ).alias("method"),
         pick(F.col("strong.key"), found_canon, F.col("keyword"), null).alias("matched_key"),
     )
+    rows = texts.select("text_id", "text")
+    return rows.join(decided, F.col("text").eqNullSafe(F.col("_text")), "left").drop("_text")
 
 
 def vote_winner(reads: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import audit, evaluate, recognize, sequence, tracks
 from ..sources import reports
-from . import views
+from . import folds, views
 from .registry import query, table
 
 CONF = 0.75
@@ -230,14 +230,20 @@ boxes AS (SELECT l_orderkey AS image_id, (l_orderkey * 10 + l_linenumber) * 1000
   l_returnflag = 'A' AS is_truth, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS cls FROM lineitem)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {folds.matches_sql(BOXES_SQL, 0.3)} SELECT * FROM m")
 def detector_match(spark, sf_dir):
     return sequence.match_counts(boxes(spark, sf_dir), "image_id", 0.3)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {folds.matches_sql(BOXES_SQL, 0.3)},
+s AS (SELECT count(*) AS images, CAST(sum(gt) AS BIGINT) AS gt, CAST(sum(pred) AS BIGINT) AS pred, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn,
+  avg(CASE WHEN gt > 0 THEN abs(pred - gt) / gt WHEN pred > 0 THEN 1 ELSE 0 END) AS e FROM m)
+SELECT images, gt, pred, tp, fp, fn, round(e, 6) AS mean_image_count_error, round(CASE WHEN gt > 0 THEN abs(pred - gt) / gt WHEN pred > 0 THEN 1 ELSE 0 END, 6) AS count_error,
+  round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall FROM s"""
+)
 def detector_summary(spark, sf_dir):
-    return evaluate.detector_summary(sequence.match_counts(boxes(spark, sf_dir), "image_id", 0.3))
+    return _rounded(evaluate.detector_summary(sequence.match_counts(boxes(spark, sf_dir), "image_id", 0.3)), "mean_image_count_error", "count_error", "precision", "recall")
 
 
 def _reads(spark, sf_dir):
@@ -332,7 +338,18 @@ def summary_with_total(spark, sf_dir):
     return reports.with_total(audit.totals(views.items(spark, sf_dir), CONF, ("video",)), "video", ["unique_skus", "candidate_objects"])
 
 
-@query()
+def _table_sql(rows: str, columns: dict[str, str], order: str, title: str) -> str:
+    line = "'| ' || " + " || ' | ' || ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns) + " || ' |'"
+    head = "| " + " | ".join(columns.values()) + " |\n|" + "---|" * len(columns) + "\n"
+    return f"(SELECT '## {title}\n\n' || CASE WHEN count(*) > 0 THEN '{head}' || string_agg({line}, '\n' ORDER BY {order}, {line}) ELSE 'None.' END FROM {rows})"
+
+
+@query(
+    f"""WITH {views.ITEMS_SQL}, p AS ({_presence_sql()}), b AS ({_PARTIAL.format(k='')})
+SELECT '# Audit\n\n' || (SELECT '## Totals\n\n- unique_skus: ' || count(*) || '\n- unique_own_skus: ' || count(*) FILTER (WHERE is_own) FROM p) || (SELECT '\n- candidate_objects: ' || count(*) FROM items) || '\n\n' ||
+  {_table_sql('p', {"brand": "Brand", "model": "Model", "article_codes": "Article", "evidence_objects": "Objects"}, "coalesce(brand, ''), coalesce(model, ''), coalesce(article_codes, '')", "Products")} || '\n\n' ||
+  {_table_sql('b', {"brand": "Brand", "category": "Category", "evidence_objects": "Objects"}, "coalesce(brand, ''), coalesce(category, '')", "Partly read")} || '\n' AS text""".replace("\\n", "\n")
+)
 def audit_report(spark, sf_dir):
     """The whole report of the flagship audit as one text."""
     items = views.items(spark, sf_dir)

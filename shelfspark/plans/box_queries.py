@@ -10,6 +10,7 @@ from ..functions import vectors as V
 from ..operators import datasets, folder, graph, sequence, tracks, vectorsearch
 from ..streaming import live
 from .audit_queries import _FRAMES, BOXES_SQL, _rounded, boxes, frames
+from . import folds
 from .registry import query, table
 
 W, H = 1200.0, 900.0
@@ -95,17 +96,17 @@ def _kept(df):
     return df.select("image_id", "ord", "x1", "y1", "x2", "y2", "score")
 
 
-@query()
+@query(folds.nms_sql(BOXES_SQL, 0.55))
 def nms(spark, sf_dir):
     return _kept(sequence.nms(boxes(spark, sf_dir), ["image_id"], 0.55))
 
 
-@query()
+@query(folds.contain_sql(BOXES_SQL))
 def contain_suppress(spark, sf_dir):
     return _kept(sequence.contain_suppress(boxes(spark, sf_dir), ["image_id"]))
 
 
-@query()
+@query(folds.package_sql(BOXES_SQL, _filter_sql(G.PACKAGE), _filter_sql(G.UNBOXED), f"{_IN.format(g=0)} AND (i.x2 - i.x1) * (i.y2 - i.y1) < (o.x2 - o.x1) * (o.y2 - o.y1) * 0.55"))
 def package_merge(spark, sf_dir):
     """Packages and unboxed goods filtered, suppressed, unnested, united and suppressed again."""
     b = boxes(spark, sf_dir).withColumns({"w": F.lit(W), "h": F.lit(H)})
@@ -118,13 +119,13 @@ def package_merge(spark, sf_dir):
     return _kept(sequence.nms(packages.unionByName(sequence.nms(free, ["image_id"], 0.55)), ["image_id"], 0.75))
 
 
-@query()
+@query(folds.override_sql(BOXES_SQL))
 def override_merge(spark, sf_dir):
     b = boxes(spark, sf_dir).withColumn("manual", F.col("is_truth"))
     return sequence.override_merge(b, "image_id").select("image_id", "ord", "cls", "manual")
 
 
-@query()
+@query(folds.anchors_sql(BOXES_SQL))
 def text_anchors(spark, sf_dir):
     b = boxes(spark, sf_dir).withColumn("anchor", ~F.col("is_truth"))
     return sequence.text_anchors(b, "image_id").select("image_id", "ord")
@@ -142,25 +143,32 @@ def label_roundtrip(spark, sf_dir):
     return lines.select("image_id", "ord", G.parse_label("line").alias("b")).select("image_id", "ord", "b.*")
 
 
-@query()
+@query(
+    f"""WITH {BOXES_SQL}, t AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, greatest(70, least(220, (x2 - x1) * CAST(1.8 AS DOUBLE))) AS bw, greatest(60, least(180, (y2 - y1) * CAST(3.4 AS DOUBLE))) AS bh FROM boxes)
+SELECT image_id, ord, printf('%.6f %.6f %.6f %.6f', (x1 + x2) / 2 / {W}, (y1 + y2) / 2 / {H}, (x2 - x1) / {W}, (y2 - y1) / {H}) AS line,
+  x2 - x1 >= 18 AND y2 - y1 >= 10 AND least(greatest(cx + bw / 2, 0), {W}) - least(greatest(cx - bw / 2, 0), {W}) >= 50
+    AND least(greatest(cy + bh * 0.55, 0), {H}) - least(greatest(cy - bh * 0.45, 0), {H}) >= 50 AS has_anchor,
+  CASE WHEN greatest(x1 / {W}, x2 / {W}, y1 / {H}, y2 / {H}) <= 1 AND abs(x2 - x1) >= 5 AND abs(y2 - y1) >= 5 THEN round(least(greatest(x1, x2), {W}), 4) END AS manual_x2 FROM t"""
+)
 def box_converters(spark, sf_dir):
     """Centre-and-size labels, whole pixels, text anchors and manual boxes of every box."""
     b = boxes(spark, sf_dir).withColumns({"w": F.lit(W), "h": F.lit(H)})
     share = F.array(*[F.col(c) / s for c, s in (("x1", W), ("y1", H), ("x2", W), ("y2", H))])
     return b.select(
-        "image_id", "ord", F.array_join(F.transform(G.centre_size("w", "h"), lambda x: F.format_string("%.4f", x)), " ").alias("line"),
+        "image_id", "ord", F.array_join(F.transform(G.centre_size("w", "h"), lambda x: F.format_string("%.6f", x)), " ").alias("line"),
         G.text_anchor("w", "h").isNotNull().alias("has_anchor"), F.round(G.override_box(share, "w", "h")["x2"], 4).alias("manual_x2"),
     )
 
 
-@query(
-    """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, i.vec_id AS row_id, i.label AS product_key, list_cosine_similarity(q.e, i.e) AS score FROM v q, v i WHERE q.vec_id < 20),
+_TOPK = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, i.vec_id AS row_id, i.label AS product_key, list_cosine_similarity(q.e, i.e) AS score FROM v q, v i WHERE q.vec_id % 20 = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS n FROM s QUALIFY n <= 40),
 b AS (SELECT query_id, product_key, max(score) AS score, arg_min(row_id, n) AS row_id FROM t GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER w AS rank, score - coalesce(lead(score) OVER w, 0) AS margin FROM b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, row_id))
-SELECT query_id, CAST(rank AS INTEGER) AS rank, product_key, row_id, round(score, 6) AS score, round(margin, 6) AS margin FROM r WHERE rank <= 5"""
-)
+r AS (SELECT *, row_number() OVER w AS rank, score - coalesce(lead(score) OVER w, 0) AS margin FROM b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, row_id)),
+top AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, product_key, row_id, round(score, 6) AS score, round(margin, 6) AS margin FROM r WHERE rank <= 5)"""
+
+
+@query(f"WITH {_TOPK} SELECT * FROM top")
 def vector_topk_margin(spark, sf_dir):
     """Every row whose id is divisible by 20, the fixed query set, against all rows."""
     e = table(spark, sf_dir, "embeddings")
@@ -169,7 +177,7 @@ def vector_topk_margin(spark, sf_dir):
     return _rounded(vectorsearch.reference_search(q, index), "score", "margin")
 
 
-@query()
+@query(f"WITH {_TOPK} SELECT *, CASE WHEN score >= 0.3 AND margin >= 0.02 THEN 'brand_only' ELSE 'unknown' END AS status FROM top WHERE rank = 1")
 def visual_recognition(spark, sf_dir):
     return vectorsearch.visual_recognition(vector_topk_margin(spark, sf_dir), 0.3, 0.02)
 
@@ -190,11 +198,12 @@ def repass_edges(spark, sf_dir):
     return _rounded(vectorsearch.repass_edges(_tracks(spark, sf_dir), "video", 0.3, 12), "sim")
 
 
-@query(
-    f"""WITH RECURSIVE {_EDGES}, u AS (SELECT a_ord AS a, b_ord AS b FROM e UNION ALL SELECT b_ord, a_ord FROM e),
-reach(a, b) AS (SELECT ord, ord FROM v UNION SELECT r.a, u.b FROM reach r JOIN u ON u.a = r.b)
-SELECT a AS node, min(b) AS root FROM reach GROUP BY a"""
-)
+_ROOTS = f"""{_EDGES}, u AS (SELECT a_ord AS a, b_ord AS b FROM e UNION ALL SELECT b_ord, a_ord FROM e),
+reach(a, b) AS (SELECT ord, ord FROM v UNION SELECT r.a, u.b FROM reach r JOIN u ON u.a = r.b),
+roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a)"""
+
+
+@query(f"WITH RECURSIVE {_ROOTS} SELECT * FROM roots")
 def reid_components(spark, sf_dir):
     t = _tracks(spark, sf_dir)
     e = vectorsearch.repass_edges(t, "video", 0.3, 12)
@@ -253,7 +262,7 @@ def frame_sampling(spark, sf_dir):
     return n.select("user_id", "n", F.array_join(G.sample_indexes("n", 7, 0.05, 0.95), ",").alias("idx"), F.array_join(mid, ",").alias("mid"))
 
 
-@query()
+@query(folds.changed_sql(_FRAMES, 15.0))
 def keep_if_changed(spark, sf_dir):
     f = frames(spark, sf_dir).withColumn("ord", F.col("seq")).withColumn("v", F.array("value", F.col("k").cast("double")))
     return sequence.keep_if_changed(f, "session_id", "v", 15.0).select("session_id", "seq")
@@ -391,7 +400,10 @@ def feedback_events(spark, sf_dir):
     return e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("ident"), F.floor(ms / 60).alias("at_ms"), F.round(F.col("value"), 2).alias("rank"), label.alias("label"))
 
 
-@query()
+_FEEDBACK = folds.feedback_sql(live.FEEDBACK_MS, live.FEEDBACK_MOST, live.FEEDBACK_RECENT_MS)
+
+
+@query(_FEEDBACK)
 def feedback_replay(spark, sf_dir):
     return live.feedback_batch(feedback_events(spark, sf_dir))
 
@@ -472,7 +484,11 @@ def media_summary(spark, sf_dir):
     return folder.media_summary(_media(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_ROOTS}, t AS (SELECT video, root, ord, (ord % 13) / CAST(13 AS DOUBLE) AS c FROM v JOIN roots ON node = ord),
+o AS (SELECT video, root, arg_min(ord, struct_pack(a := -c, b := ord)) AS rep_track_id, max(c) AS peak_conf, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY c DESC, ord) AS track_ids FROM t GROUP BY 1, 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY video ORDER BY root) AS INTEGER) AS object_id FROM o"""
+)
 def merged_objects(spark, sf_dir):
     t = _tracks(spark, sf_dir)
     roots = graph.components(

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming import live
-from .box_queries import _GRID, _views, feedback_events, live_detections
+from .box_queries import _FEEDBACK, _GRID, _views, feedback_events, live_detections
+from ..operators.written import shared_dir
 from .registry import query
 
 
@@ -20,9 +21,7 @@ def _staged(spark: SparkSession, rows: DataFrame, key: str) -> tuple[DataFrame,
 
 
 def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shelfspark_stream_")
+    return shared_dir(spark)
 
 
 def _finish(stream: DataFrame, base: str, mode: str = "append") -> DataFrame:
@@ -53,7 +52,7 @@ def stream_sessions(spark, sf_dir):
     return _finish(live.track_stream(stream), base)
 
 
-@query()
+@query(_FEEDBACK)
 def stream_feedback(spark, sf_dir):
     stream, base = _staged(spark, feedback_events(spark, sf_dir), "session_id")
     return _finish(live.feedback_stream(stream), base)

@@ -191,8 +191,8 @@ def keyed_catalog(spark, sf_dir):
     )
 
 
-_SEEN = """seen AS (SELECT l_orderkey * 10 + l_linenumber AS text_id, min('Art. ' || p_size || ' / ' || p_partkey % 97 || '-' || p_partkey || ' ok ' || p_size || p_partkey % 97 || p_partkey) AS text
-  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)"""
+_SEEN = """seen AS (SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS text_id, 'Art. ' || p_size || ' / ' || p_partkey % 97 || '-' || p_partkey || ' ok ' || p_size || p_partkey % 97 || p_partkey AS text
+  FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
 def _seen(spark, sf_dir):
@@ -239,13 +239,67 @@ def fuzzy_brand(spark, sf_dir):
     return recognize.fuzzy_brands(words, C.brand_dictionary(names))
 
 
+def _shelf_texts(spark, sf_dir):
+    """The texts of line items, and one of brand, noun and name for each part."""
+    names = table(spark, sf_dir, "part").select((-F.col("p_partkey") - 1).alias("text_id"), F.concat(F.translate("p_brand", "#", ""), F.lit(" drill "), "p_name").alias("text"))
+    return _seen(spark, sf_dir).unionByName(names)
+
+
 @query()
 def match_text(spark, sf_dir):
     cat = keyed_catalog(spark, sf_dir)
-    texts = _seen(spark, sf_dir).unionByName(
-        table(spark, sf_dir, "part").select((-F.col("p_partkey") - 1).alias("text_id"), F.concat(F.translate("p_brand", "#", ""), F.lit(" drill "), F.substring("p_name", 1, 5)).alias("text"))
-    )
-    return recognize.match_text(texts, cat, C.catalog_keys(cat), C.brand_dictionary(cat), C.category_vocabulary(cat))
+    return recognize.match_text(_shelf_texts(spark, sf_dir), cat, C.catalog_keys(cat), C.brand_dictionary(cat), C.category_vocabulary(cat))
+
+
+_TOKENS = "list_distinct(regexp_extract_all({c}, '[0-9A-ZА-ЯЁ]+'))"
+_BEST_KEY = "QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY length(key) DESC, ord, key, sku_id) = 1"
+#: Decisions for distinct texts, by the order of the evidence.
+_MATCHED = f"""WITH {_SEEN},
+texts AS (SELECT * FROM seen UNION ALL SELECT -p_partkey - 1, translate(p_brand, '#', '') || ' drill ' || p_name FROM part),
+t AS (SELECT text, {canon_sql('text')} AS c, {compact_sql('text')} AS comp FROM (SELECT DISTINCT text FROM texts)),
+tok AS (SELECT text, unnest({_TOKENS.format(c='c')}) AS key FROM t),
+art AS (SELECT DISTINCT text, unnest({_ART.format(c='c')}) AS key FROM t),
+entry AS (SELECT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS sku_id, translate(p_brand, '#', '') AS brand_name, {MODEL} AS model_name, p_type || ' DRILL' AS category, p_partkey % 2 = 0 AS is_own,
+  p_size || '/' || p_partkey % 97 || '/' || p_partkey AS codes, upper(translate(p_brand, '#', '')) AS canon FROM part),
+ak AS (SELECT ord, sku_id, replace(codes, '/', '') AS key FROM entry WHERE length(replace(codes, '/', '')) >= 4),
+{_MODEL_KEYS},
+mk AS (SELECT DISTINCT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS sku_id, key FROM keys),
+hay AS (SELECT text, false AS confused, unnest({variants_sql('comp')}) AS h FROM t WHERE comp <> '' UNION ALL SELECT text, true, unnest({confusions_sql('comp')}) FROM t WHERE comp <> ''),
+inside AS (SELECT text, confused, key, sku_id, ord FROM hay JOIN mk ON contains(h, key)),
+found AS (
+  SELECT text, 1 AS p, key, sku_id, ord, 'article_code' AS method, CASE WHEN length(key) >= 6 THEN 0.9 ELSE 0.78 END AS conf FROM art JOIN ak USING (key)
+  UNION ALL SELECT text, 2, key, sku_id, ord, 'model_code', CASE WHEN length(key) >= 6 THEN 0.9 ELSE 0.8 END FROM inside WHERE NOT confused AND length(key) >= 5
+  UNION ALL SELECT text, 3, key, sku_id, ord, 'article_code', 0.9 FROM tok JOIN ak USING (key) WHERE length(key) >= 6),
+strong AS (SELECT text, key, sku_id, method, CAST(conf AS DOUBLE) AS conf FROM found QUALIFY row_number() OVER (PARTITION BY text ORDER BY p, length(key) DESC, ord, key, sku_id) = 1),
+weaker AS (SELECT text, 1 AS p, key, sku_id, ord FROM inside WHERE confused UNION ALL SELECT text, 2, key, sku_id, ord FROM tok JOIN ak USING (key)),
+weak AS (SELECT text, key, sku_id FROM weaker QUALIFY row_number() OVER (PARTITION BY text ORDER BY p, length(key) DESC, ord, key, sku_id) = 1),
+brands AS (SELECT canon, arg_min(brand_name, ord) AS brand, min(ord) AS ord FROM entry GROUP BY 1),
+brand AS (SELECT text, brand, canon AS brand_canon FROM tok JOIN brands ON key = canon QUALIFY row_number() OVER (PARTITION BY text ORDER BY length(canon) DESC, ord) = 1),
+voc AS (SELECT w AS keyword, min(ord * 1000 + i) AS first FROM (SELECT ord, w[i] AS w, i FROM (SELECT ord, w, unnest(range(1, len(w) + 1)) AS i FROM
+  (SELECT ord, list_filter(regexp_extract_all(upper(category), '[A-ZА-ЯЁ0-9]+'), lambda x: length(x) >= 5) AS w FROM entry))) GROUP BY 1),
+cat AS (SELECT text, keyword, keyword[1] || lower(keyword[2:]) AS category FROM tok JOIN voc ON key = keyword QUALIFY row_number() OVER (PARTITION BY text ORDER BY length(keyword) DESC, first) = 1),
+j AS (SELECT t.text, len({_TOKENS.format(c='c')}) AS n_tokens, strong.key AS s_key, strong.conf, strong.method AS s_method, s, weak.key AS w_key, w, brand.brand, brand_canon, keyword, cat.category,
+    brand.brand IS NULL AND w IS NOT NULL AND length(weak.key) >= 5 AS by_code
+  FROM t LEFT JOIN strong USING (text) LEFT JOIN weak USING (text) LEFT JOIN brand USING (text) LEFT JOIN cat USING (text)
+  LEFT JOIN entry s ON s.sku_id = strong.sku_id LEFT JOIN entry w ON w.sku_id = weak.sku_id),
+k AS (SELECT *, CASE WHEN by_code THEN w.brand_name ELSE brand END AS found, CASE WHEN by_code THEN w.canon ELSE brand_canon END AS found_canon FROM j),
+told AS (SELECT *, coalesce(category, CASE WHEN found_canon = w.canon THEN nullif(w.category, '') END) AS cat,
+  CASE WHEN s_key IS NOT NULL THEN 1 WHEN found IS NOT NULL THEN 2 WHEN coalesce(category, CASE WHEN found_canon = w.canon THEN nullif(w.category, '') END) IS NOT NULL THEN 3 ELSE 4 END AS kind FROM k)
+SELECT text_id, text, CASE kind WHEN 1 THEN 'matched_sku' WHEN 2 THEN 'brand_only' WHEN 3 THEN 'category_only' ELSE 'unknown' END AS status,
+  CASE kind WHEN 1 THEN s.is_own WHEN 2 THEN CASE WHEN by_code THEN w.is_own ELSE true END ELSE false END AS is_own,
+  CASE kind WHEN 1 THEN s.brand_name WHEN 2 THEN found END AS brand, CASE kind WHEN 1 THEN s.model_name END AS model, CASE kind WHEN 1 THEN s.category ELSE cat END AS category,
+  CASE kind WHEN 1 THEN s.sku_id END AS sku_id, CASE kind WHEN 1 THEN s.codes END AS article_codes,
+  CAST(CASE kind WHEN 1 THEN conf WHEN 2 THEN CASE WHEN cat IS NOT NULL THEN 0.62 ELSE 0.6 END WHEN 3 THEN 0.45 ELSE CASE WHEN n_tokens > 0 THEN 0.3 ELSE 0.15 END END AS DOUBLE) AS confidence,
+  CASE kind WHEN 1 THEN s_method WHEN 2 THEN CASE WHEN cat IS NOT NULL THEN 'brand+category' WHEN by_code THEN 'brand_from_code' ELSE 'brand_text' END WHEN 3 THEN 'category_text' ELSE 'no_match' END AS method,
+  CASE kind WHEN 1 THEN s_key WHEN 2 THEN found_canon WHEN 3 THEN keyword END AS matched_key
+FROM texts JOIN told USING (text)"""
+
+
+@query(_MATCHED)
+def match_text_exact(spark, sf_dir):
+    """The same without similar brands, which SQL has no words for."""
+    cat = keyed_catalog(spark, sf_dir)
+    return recognize.match_text(_shelf_texts(spark, sf_dir), cat, C.catalog_keys(cat), C.brand_dictionary(cat), C.category_vocabulary(cat), fuzzy=False)
 
 
 @query(
@@ -374,7 +428,15 @@ def link_extract(spark, sf_dir):
     return p.select("page_id", F.size("l").cast("long").alias("n_links"), F.md5(F.array_join("l", " ").cast("binary")).alias("links_md5"))
 
 
-@query()
+_PAGE_TEXT = "regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&amp;", "&")):
+    _PAGE_TEXT = f"replace({_PAGE_TEXT}, '{_entity}', '{_char}')"
+
+
+@query(
+    f"""SELECT page_id, trim(regexp_replace({_PAGE_TEXT}, '\\s+', ' ', 'g')) AS name, regexp_extract(html, '(?i)itemprop="sku"[^>]*content="([^"]*)"', 1) AS sku, regexp_extract(html, '(?s)"brand"\\s*:\\s*"([^"]*)"', 1) AS brand,
+  regexp_extract(html, '(?is)class="[^"]*breadcrumb[^"]*"[^>]*>([^<]*)<', 1) AS category, CAST(len(list_distinct(regexp_extract_all(html, '(?i)<img[^>]*src="([^"]+)"', 1))) AS INTEGER) AS n_images FROM pages"""
+)
 def page_products(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", web.page_fields_udf("url", "html").alias("f"))
     return p.select("page_id", "f.name", "f.sku", "f.brand", "f.category", F.size("f.images").alias("n_images"))
