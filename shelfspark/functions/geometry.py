@@ -193,3 +193,41 @@ def repass_gap(a: str, b: str) -> Column:
     return F.when(col(f"{a}last") < col(f"{b}first"), col(f"{b}first") - col(f"{a}last")).when(
         col(f"{b}last") < col(f"{a}first"), col(f"{a}first") - col(f"{b}last")
     )
+
+
+#: Side of the model's square input, and limits of its candidates.
+INPUT, LEAST_CONF, GREEN_CONF, LEAST_SIDE = 320, 0.55, 0.70, 0.01
+CANDIDATE_AREA = (0.004, 0.60)
+
+
+def from_letterbox(width, height, size: int = INPUT) -> Column:
+    """A box (``cx cy bw bh``, shares or pixels of a padded square input) as shares of the frame."""
+    w, h = col(width).cast("double"), col(height).cast("double")
+    scale = F.least(size / w, size / h)
+    pad_x = F.floor((size - F.floor(w * scale + 0.5)) / 2)
+    pad_y = F.floor((size - F.floor(h * scale + 0.5)) / 2)
+    k = F.when(col("cx") <= 1.5, F.lit(float(size))).otherwise(F.lit(1.0))
+
+    def at(centre: str, side: str, sign: int, pad, full) -> Column:
+        return clip((col(centre) * k + sign * col(side) * k / 2 - pad) / scale / full, 0.0, 1.0)
+
+    return F.struct(
+        at("cx", "bw", -1, pad_x, w).alias("x1"), at("cy", "bh", -1, pad_y, h).alias("y1"), at("cx", "bw", 1, pad_x, w).alias("x2"), at("cy", "bh", 1, pad_y, h).alias("y2")
+    )
+
+
+def is_candidate(p: str = "", conf="conf") -> Column:
+    """Sure enough, and neither noise nor furniture; shares of the frame."""
+    w, h = col(f"{p}x2") - col(f"{p}x1"), col(f"{p}y2") - col(f"{p}y1")
+    return (col(conf) >= LEAST_CONF) & (w >= LEAST_SIDE) & (h >= LEAST_SIDE) & (w * h).between(*map(F.lit, CANDIDATE_AREA))
+
+
+def camera_roi(width, height) -> Column:
+    """The preview's part of a screen record, by its orientation."""
+    w, h = col(width), col(height)
+    tall = h > w * 1.15
+
+    def share(a: float, b: float) -> Column:
+        return F.floor(h * F.when(tall, a).otherwise(b)).cast("int")
+
+    return F.struct(F.lit(0).alias("x1"), share(0.18, 0.14).alias("y1"), w.cast("int").alias("x2"), share(0.60, 0.50).alias("y2"))

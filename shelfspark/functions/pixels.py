@@ -4,6 +4,8 @@ kind was meant."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -126,3 +128,89 @@ def measures_udf(image: pd.DataFrame) -> pd.DataFrame:
         sig = signature(luma)
         rows.append((*quality(luma), sharp_score(luma), edge_density(luma), chroma(rgb), None if sig is None else sig.tolist(), plain_background(rgb)))
     return pd.DataFrame(rows, columns=[f.name for f in MEASURES])
+
+
+def area_shrink(a: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Means over equal cells, with shares of the pixels at their rims."""
+
+    def weights(n: int, m: int) -> np.ndarray:
+        edge = np.arange(m + 1) * n / m
+        lo, hi = np.maximum(edge[:-1, None], np.arange(n)[None]), np.minimum(edge[1:, None], np.arange(1, n + 1)[None])
+        return np.maximum(hi - lo, 0) * m / n
+
+    return np.tensordot(np.tensordot(weights(a.shape[0], h), a.astype(float), 1), weights(a.shape[1], w), ((1,), (1,))) if a.ndim == 2 else np.stack(
+        [area_shrink(a[:, :, i], h, w) for i in range(a.shape[2])], axis=2
+    )
+
+
+def digest(rgb: np.ndarray, side: int = 24, length: int = 12) -> str:
+    """Of a small grey version, so that equal crops have equal digests."""
+    small = np.floor(area_shrink(rgb, side, side) + 0.5).astype(np.uint8)
+    return hashlib.sha1(grey(small).tobytes()).hexdigest()[:length]
+
+
+def components(mask: np.ndarray) -> np.ndarray:
+    """(height, width, area) of the 8-connected parts of a mask, by joining runs of rows."""
+    root: list[int] = []
+    boxes: list[list[int]] = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    above: list[tuple[int, int, int]] = []
+    for y, row in enumerate(mask):
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], row.astype(np.int8), [0]])))
+        here = []
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            me = len(root)
+            root.append(me)
+            boxes.append([y, y, a, b - 1, b - a])
+            for pa, pb, other in above:
+                if pa <= b and a <= pb:
+                    root[find(me)] = find(other)
+            here.append((a, b, me))
+        above = here
+    merged: dict[int, list[int]] = {}
+    for i, (y1, y2, x1, x2, n) in enumerate(boxes):
+        m = merged.setdefault(find(i), [y1, y2, x1, x2, 0])
+        m[:] = [min(m[0], y1), max(m[1], y2), min(m[2], x1), max(m[3], x2), m[4] + n]
+    return np.array([[m[1] - m[0] + 1, m[3] - m[2] + 1, m[4]] for m in merged.values()]).reshape(-1, 3)
+
+
+def reading_score(luma: np.ndarray) -> float:
+    """How well a crop may read: structure, edges and letter-like parts.  Edges and
+    the local threshold (a mean over 31 pixels, less 7) are approximations."""
+    x = luma.astype(float)
+    if min(x.shape) < 3:
+        return 0.0
+    lap = 4 * x[1:-1, 1:-1] - x[:-2, 1:-1] - x[2:, 1:-1] - x[1:-1, :-2] - x[1:-1, 2:]
+    small = area_shrink(x, x.shape[0] // 2, x.shape[1] // 2) if min(x.shape) > 80 else x
+    padded = np.pad(small, 15, mode="edge")
+    sums = np.cumsum(np.cumsum(np.pad(padded, ((1, 0), (1, 0))), axis=0), axis=1)
+    mean = (sums[31:, 31:] - sums[:-31, 31:] - sums[31:, :-31] + sums[:-31, :-31]) / 961
+    h, w = small.shape
+    parts = components(small < mean - 7)
+    letters = (parts[:, 1] >= 3) & (parts[:, 1] <= w * 0.35) & (parts[:, 0] >= 3) & (parts[:, 0] <= h * 0.25) & (parts[:, 2] >= 4) & (parts[:, 2] <= w * h * 0.08)
+    return float(lap.var() + edge_density(luma, 160) * 3000 + int(letters.sum()) * 4)
+
+
+@F.pandas_udf(T.StructType([T.StructField("digest", T.StringType()), T.StructField("reading", T.DoubleType())]))
+def crop_udf(image: pd.DataFrame) -> pd.DataFrame:
+    """Digest and reading score of an ``image`` struct."""
+    rows = [decode(h, w, c, d) for h, w, c, d in zip(image["height"], image["width"], image["nChannels"], image["data"])]
+    return pd.DataFrame([(digest(r), reading_score(grey(r))) for r in rows], columns=["digest", "reading"])
+
+
+@F.pandas_udf(T.StructType([T.StructField("dx", T.IntegerType()), T.StructField("dy", T.IntegerType()), T.StructField("sure", T.DoubleType())]))
+def motion_udf(now: pd.Series, prev: pd.Series, height: pd.Series, width: pd.Series) -> pd.DataFrame:
+    """Shift of a frame's luma against the one before; none without one."""
+    out = []
+    for n, p, h, w in zip(now, prev, height, width):
+        if p is None or n is None or len(p) != len(n):
+            out.append((0, 0, -1.0))
+            continue
+        out.append(block_match(*(np.frombuffer(x, np.uint8).reshape(int(h), int(w)) for x in (p, n))))
+    return pd.DataFrame(out, columns=["dx", "dy", "sure"])

@@ -103,9 +103,27 @@ def slugify(c) -> Column:
     return F.coalesce(falsy_null(slug), F.lit("unknown"))
 
 
-def class_slug(c) -> Column:
-    """Per character: transliterated, anything else an underscore, none collapsed."""
-    return F.regexp_replace(transliterate(F.lower(col(c))), "[^a-z0-9]", "_")
+#: Folder names of brands that have one of their own.
+BRAND_SLUGS = {
+    "Вихрь": "vihr",
+    "Ресанта": "resanta",
+    "Huter": "huter",
+    "ЗУБР": "zubr",
+    "FUBAG": "fubag",
+    "Интерскол": "interskol",
+    "PATRIOT": "patriot",
+    "TEK": "tek",
+}
+
+
+def class_slug(c, own: dict[str, str] | None = None) -> Column:
+    """A brand's own folder name (``BRAND_SLUGS``, or ``own``); else by character:
+    transliterated, anything else an underscore, none collapsed, ends trimmed."""
+    letters = F.regexp_replace(F.regexp_replace(transliterate(F.lower(col(c))), "[^a-z0-9]", "_"), "^_+|_+$", "")
+    out = F.coalesce(falsy_null(letters), F.lit("unknown"))
+    for name, slug in (BRAND_SLUGS if own is None else own).items():
+        out = F.when(col(c) == name, slug).otherwise(out)
+    return out
 
 
 def sku_id(brand, article, model) -> Column:
@@ -299,3 +317,24 @@ def relative_path(root: str, path) -> Column:
     root = root.rstrip("/") + "/"
     path = col(path)
     return F.when(path.startswith(root), F.substring(path, len(root) + 1, 1 << 30)).otherwise(path)
+
+
+def video_span(raw) -> Column:
+    """``path:start-end`` in parts; without a span in the last part it is all path."""
+    pattern = r"(?s)^(.*):([^:-]*)-([^:]*)$"
+    raw = col(raw)
+    spanned = raw.rlike(pattern)
+
+    def second(i: int) -> Column:
+        part = F.regexp_extract(raw, pattern, i)
+        return F.when(spanned, F.when(part == "", F.lit(0.0)).otherwise(part.try_cast("double")))
+
+    return F.struct(F.when(spanned, F.regexp_extract(raw, pattern, 1)).otherwise(raw).alias("path"), second(2).alias("start"), second(3).alias("end"))
+
+
+def has_any(c, words: tuple[str, ...]) -> Column:
+    """Some word is a part of the text."""
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(or_empty(c), F.lit(w))
+    return found

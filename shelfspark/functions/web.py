@@ -257,3 +257,33 @@ def page_fields(url: str, html: str) -> dict:
 def page_fields_udf(url: pd.Series, html: pd.Series) -> pd.DataFrame:
     """Fields of a product page, JSON-LD before markup."""
     return pd.DataFrame([page_fields(u, h) for u, h in zip(url, html)], columns=[f.name for f in PAGE])
+
+
+def path_depth(url) -> Column:
+    """Slashes in the path."""
+    return F.char_length(F.regexp_replace(url_path(url), "[^/]", ""))
+
+
+#: File suffixes by content type, and those that stay as they are.
+IMAGE_SUFFIX = {"image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".png", "image/webp": ".webp"}
+SUFFIXES = (".jpg", ".jpeg", ".png", ".webp")
+
+
+def image_suffix(content_type, url) -> Column:
+    """By content type, else the URL's own, else ``.jpg``."""
+    kind = F.lower(F.trim(F.split_part(or_empty(content_type), F.lit(";"), F.lit(1))))
+    by_type = F.create_map(*[F.lit(x) for kv in IMAGE_SUFFIX.items() for x in kv])[kind]
+    own = F.lower(F.regexp_extract(url_path(url), r"(\.[^./]+)$", 1))
+    out = F.coalesce(by_type, own)
+    return F.when(out.isin(*SUFFIXES), out).otherwise(".jpg")
+
+
+def download_status(http_status, width, height, least: int = 120) -> Column:
+    """What became of an image: ``http_<code>``, ``invalid_image`` (no size), ``too_small`` or ``ok``."""
+    http, w, h = col(http_status), col(width), col(height)
+    return (
+        F.when(http != 200, F.concat(F.lit("http_"), http.cast("string")))
+        .when(w.isNull() | h.isNull(), "invalid_image")
+        .when((w < least) | (h < least), "too_small")
+        .otherwise("ok")
+    )

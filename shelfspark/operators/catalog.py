@@ -121,3 +121,31 @@ def export_rows(products: DataFrame) -> DataFrame:
     """Catalog file rows: lists joined by bars, flags as words."""
     lists = {c: F.array_join(c, "|") for c in ("article_codes", "barcodes", "aliases", "reference_images")}
     return products.withColumns(lists).withColumn("is_own_brand", F.when(F.col("is_own_brand"), "true").otherwise("false"))
+
+
+def source_counters(pages: DataFrame, images: DataFrame, source: str = "source") -> DataFrame:
+    """Counters of a crawl by source: candidate ``pages`` (``state``: product,
+    skipped_non_product or error; ``catalog_sku_id``), and their ``images``."""
+    n = F.count_if
+    found = pages.groupBy(source).agg(
+        F.count(F.lit(1)).alias("candidate_urls"),
+        n(F.col("state") == "product").alias("parsed_products"),
+        n((F.col("state") == "product") & (X.or_empty("catalog_sku_id") != "")).alias("matched_own_catalog"),
+        n(F.col("state") == "skipped_non_product").alias("skipped_non_product"),
+        n(F.col("state") == "error").alias("errors"),
+    )
+    seen = images.groupBy(source).agg(F.count(F.lit(1)).alias("images"), n(F.col("download_status") == "ok").alias("downloaded"))
+    return found.join(seen, source, "left").na.fill(0, ["images", "downloaded"])
+
+
+def crawl_totals(products: DataFrame, images: DataFrame) -> DataFrame:
+    """Totals of a crawl's report, one row."""
+    n = F.count_if
+    a = products.agg(
+        F.count(F.lit(1)).alias("products"),
+        n(F.coalesce(F.col("image_count").try_cast("long"), F.lit(0)) > 0).alias("products_with_images"),
+        n(F.col("dataset_role") == "own_target").alias("own_products"),
+        n(F.col("dataset_role") == "competitor").alias("competitor_products"),
+    )
+    b = images.agg(F.count(F.lit(1)).alias("image_rows"), n(F.col("download_status") == "ok").alias("downloaded_images"))
+    return a.crossJoin(b)  # one row each

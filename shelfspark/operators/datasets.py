@@ -90,3 +90,39 @@ def by_category_sets(members: DataFrame, wanted: list[str], avoided: list[str],
     """Keys that have a wanted category and none of the avoided ones."""
     good = members.where(F.col(cat).isin(*wanted)).select(key).distinct()
     return good.join(members.where(F.col(cat).isin(*avoided)).select(key).distinct(), key, "left_anti")
+
+
+def scan_capped(df: DataFrame, order: list, wanted: Column, most_scanned: int, target: int) -> DataFrame:
+    """The first ``target`` wanted rows among the first ``most_scanned`` in order: both caps are the feature."""
+    return df.orderBy(*order).limit(most_scanned).where(wanted).orderBy(*order).limit(target)
+
+
+def tasks_with_manifest(tasks: DataFrame, manifest: DataFrame, key: str = "image_id") -> tuple[DataFrame, DataFrame]:
+    """Tasks with their manifest row, and (one row) how many were written and missed."""
+    rows = manifest.dropDuplicates([key])
+    named = tasks.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+    found = named.join(rows, key)
+    counts = tasks.join(rows.select(key, F.lit(True).alias("_known")), key, "left").agg(
+        F.count_if(F.col("_known")).alias("written"), F.count_if(F.col("_known").isNull()).alias("missing")
+    )
+    return found, counts
+
+
+def label_counters(images: DataFrame, labels: DataFrame, key: str = "image_id", cls: str = "cls", manual: str = "manual", own: int = 0) -> DataFrame:
+    """Counters of a labelling run, one row: images with and without labels, labels by class."""
+    per = labels.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(cls) == own).alias("own"), F.count_if(F.col(manual)).alias("manual")
+    )
+    return images.select(key).join(per, key, "left").na.fill(0, ["n", "own", "manual"]).agg(
+        F.count(F.lit(1)).alias("images"),
+        F.count_if(F.col("n") > 0).alias("images_with_labels"),
+        F.coalesce(F.sum("own"), F.lit(0)).alias("own_product"),
+        F.coalesce(F.sum(F.col("n") - F.col("own")), F.lit(0)).alias("competitor_or_unknown"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_labels"),
+        F.coalesce(F.sum("manual"), F.lit(0)).alias("manual_overrides"),
+        F.count_if(F.col("n") == 0).alias("empty_images"),
+    )
+
+
+def mean_or_zero(c) -> Column:
+    return F.coalesce(F.avg(c), F.lit(0.0))

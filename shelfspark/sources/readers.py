@@ -158,3 +158,34 @@ def probe_rows(probes: DataFrame, raw: str = "probe") -> DataFrame:
         s["height"].try_cast("int").alias("height"),
         F.coalesce(s["duration"].try_cast("double"), F.col("_p.format.duration").try_cast("double")).alias("duration_seconds"),
     )
+
+
+TRACKS = (
+    "video string, raw_tracks long, kept_tracks long, tracks array<struct<track_id:long,crop:string,"
+    "crop_candidates:array<struct<crop:string,score:double,frame:long,box:array<long>>>,n_frames:long,peak_conf:double,best_frame:long,"
+    "first_frame:long,last_frame:long,box:array<long>>>"
+)
+
+
+def tracks(spark: SparkSession, path: str) -> DataFrame:
+    """Tracks of track manifests, one row each, with their video."""
+    return spark.read.schema(TRACKS).json(path, multiLine=True).select("video", F.explode("tracks").alias("t")).select("video", "t.*")
+
+
+def reference_index(spark: SparkSession, path: str) -> DataFrame:
+    """A written index: vectors of unit length; all must have one dimension."""
+    from ..functions.vectors import unit
+
+    rows = spark.read.parquet(path)
+    sizes = rows.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"{path}: vectors of {sizes[0]} and of {sizes[1]} dimensions")
+    return rows.withColumn("embedding", unit("embedding"))
+
+
+def dataset_root(text: str, at: str) -> str:
+    """The folder that a data.yaml in folder ``at`` names: its ``path``, below ``at`` unless absolute."""
+    found = [x.split(":", 1)[1].strip().strip("'\"") for x in text.splitlines() if x.startswith("path:")]
+    if not found or not found[0] or found[0] == ".":
+        return at
+    return found[0] if found[0].startswith("/") or "://" in found[0] else f"{at.rstrip('/')}/{found[0]}"

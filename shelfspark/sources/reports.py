@@ -92,3 +92,21 @@ def write_index(df: DataFrame, path: str) -> None:
 
 def write_versioned(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("version").parquet(path)
+
+
+def track_manifests(tracks: DataFrame, key: str = "video") -> DataFrame:
+    """One JSON document ``doc`` for each video: its tracks in order of their ids."""
+    fields = "track_id crop crop_candidates n_frames peak_conf best_frame first_frame last_frame box".split()
+    rows = F.sort_array(F.collect_list(F.struct(*[f for f in fields if f in tracks.columns])))
+    return tracks.groupBy(key).agg(rows.alias("tracks")).select(key, F.to_json(F.struct(key, F.size("tracks").alias("kept_tracks"), "tracks")).alias("doc"))
+
+
+def data_yaml(classes: list[str], root: str = ".") -> str:
+    """The text of a dataset's data.yaml."""
+    names = "".join(f"  {i}: {c}\n" for i, c in enumerate(classes))
+    return f"path: {root}\ntrain: images/train\nval: images/val\nnames:\n{names}"
+
+
+def write_documents(df: DataFrame, doc: str, path: str) -> None:
+    """One file for each row's text."""
+    df.select(F.col(doc).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import grid_cells
+from ..functions.pixels import motion_udf
 from ..functions.vectors import feedback_rank
 from ..operators.tracks import cell_state
 
@@ -194,6 +195,33 @@ def camera_offset(frames: DataFrame, key: str = "session_id", order: str = "seq"
     )
 
 
+#: The camera's angles, and the least confidence in a match of pictures.
+H_ANGLE, V_ANGLE, LEAST_MATCH = 1.10, 0.85, 0.25
+
+
+def motion(frames: DataFrame, key: str = "session_id", order: str = "seq") -> DataFrame:
+    """Shift of every frame against the one before (``luma``, ``h``, ``w``, ``rotation``)
+    with ``cx``, ``cy`` and ``speed``: by matching blocks, or where that is too unsure
+    by the turn (``dyaw``, ``dpitch``); a first frame, or one of another size, has none."""
+    w = Window.partitionBy(key).orderBy(order)
+    same = (F.lag("h").over(w) == F.col("h")) & (F.lag("w").over(w) == F.col("w"))
+    f = frames.withColumn("_prev", F.when(same, F.lag("luma").over(w)))
+    f = f.withColumn("_m", motion_udf("luma", "_prev", "h", "w"))
+    sx, sy = -F.col("_m.dx") / F.col("w"), -F.col("_m.dy") / F.col("h")
+    turned = F.pmod(F.col("rotation"), F.lit(360))
+    x = F.when(turned == 90, sy).when(turned == 180, -sx).when(turned == 270, -sy).otherwise(sx)
+    y = F.when(turned == 90, -sx).when(turned == 180, -sy).when(turned == 270, sx).otherwise(sy)
+    none, sure = F.col("_m.sure") < 0, F.col("_m.sure") >= LEAST_MATCH
+    shifts = f.withColumns(
+        {
+            "dx": F.when(none, 0.0).when(sure, x).otherwise(F.col("dyaw") / H_ANGLE),
+            "dy": F.when(none, 0.0).when(sure, y).otherwise(-F.col("dpitch") / V_ANGLE),
+            "confidence": F.greatest(F.col("_m.sure"), F.lit(0.0)),
+        }
+    )
+    return camera_offset(shifts.drop("_prev", "_m"), key, order)
+
+
 def wrapped_delta(angle, key: str = "session_id", order: str = "seq") -> Column:
     """Change of an angle since the frame before, within half a turn either way."""
     d = F.col(angle) - F.lag(angle).over(Window.partitionBy(key).orderBy(order))
