@@ -357,6 +357,86 @@ def test_license_templates():
         license_scan.Automaton(license_scan.Template("x", "word <<beginOptional>> open"))
 
 
+MARK = re.compile(r"<<([^<>]*)>>")
+
+
+def parsed(markup):
+    """Template as nested lists: words, ("optional", part), ("any", low, high), ("one", wordings)."""
+    stack, at = [[]], 0
+    for m in [*MARK.finditer(markup), None]:
+        stack[-1] += license_scan.words_of(markup[at : m.start() if m else len(markup)])
+        if m is None:
+            return stack[0]
+        at = m.end()
+        if m[1] == "beginOptional":
+            stack.append([])
+        elif m[1] == "endOptional":
+            part = stack.pop()
+            stack[-1].append(("optional", part))
+        elif m[1].startswith("var;words="):
+            stack[-1].append(("any", *map(int, m[1][10:].split(".."))))
+        else:
+            stack[-1].append(("one", [license_scan.words_of(x) for x in m[1][10:].split("|")]))
+
+
+def naive_ends(part, words, starts):
+    """All ends of a parsed template from some starts, item by item."""
+    for item in part:
+        if isinstance(item, bytes):
+            starts = {i + 1 for i in starts if i < len(words) and words[i] == item}
+        elif item[0] == "optional":
+            starts = starts | naive_ends(item[1], words, starts)
+        elif item[0] == "any":
+            starts = {i + k for i in starts for k in range(item[1], item[2] + 1) if i + k <= len(words)}
+        else:
+            starts = {i + len(w) for i in starts for w in item[1] if words[i : i + len(w)] == w}
+    return starts
+
+
+def instance(part, rng):
+    out = []
+    for item in part:
+        if isinstance(item, bytes):
+            out.append(item)
+        elif item[0] == "optional":
+            out += instance(item[1], rng) if rng.random() < 0.5 else []
+        elif item[0] == "any":
+            out += [rng.choice([b"the", b"acme", b"holders", b"of"]) for _ in range(rng.randint(item[1], item[2]))]
+        else:
+            out += rng.choice(item[1])
+    return out
+
+
+@pytest.mark.parametrize("template", license_scan.TEMPLATES, ids=lambda t: t.label)
+def test_templates_equal_a_naive_matcher(template):
+    """Instances are accepted whole, and places of broken ones equal the naive matcher's."""
+    rng, part, automaton = random.Random(template.markup), parsed(template.markup), license_scan.Automaton(template)
+    for _ in range(60):
+        words = instance(part, rng)
+        assert automaton.match(words, 0) == max(naive_ends(part, words, {0})) == len(words)
+        text = [b"before", *words, b"after", *instance(part, rng)]
+        if rng.random() < 0.7:
+            i = rng.randrange(len(text))
+            text[i : i + 1] = rng.choice([[], [b"other"], [text[i], text[i]]])
+        for at in range(len(text)):
+            ends = naive_ends(part, text, {at})
+            assert (automaton.match(text, at) if text[at] in automaton.first else None) == (max(ends) if ends else None)
+
+
+def test_whole_licenses_and_their_variants():
+    texts = {t.label: b" ".join(instance(parsed(t.markup), random.Random(1))).decode() for t in license_scan.TEMPLATES}
+
+    def labels(t):
+        return {license_scan.TEMPLATES[i].label for _, _, i in license_scan.find(t)[1]}
+
+    assert {"bsd", "bsd-2-clause"} <= labels(texts["bsd-2-clause"]) and "bsd-3-clause" not in labels(texts["bsd-2-clause"])
+    assert {"bsd", "bsd-3-clause"} <= labels(texts["bsd-3-clause"]) and "bsd-2-clause" not in labels(texts["bsd-3-clause"])
+    assert {"mit-permission", "mit-text"} <= labels(texts["mit-text"])
+    assert labels(texts["mit-text"].replace("noninfringement", "infringement")) == {"mit-permission"}  # all mandatory wording counts
+    assert "mit-text" in labels(re.sub("in no event shall [a-z ]*? be liable", "in no event shall the authors be liable", texts["mit-text"]))
+    assert "mit-text" not in labels(re.sub("in no event shall [a-z ]*? be liable", "in no event shall some people be liable", texts["mit-text"]))
+
+
 # --- 8: counted rules -----------------------------------------------------------------------
 
 
