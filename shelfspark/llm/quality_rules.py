@@ -7,7 +7,8 @@ on folds that did not see the row, and Arrow batches are scored against fixed
 thresholds beside counted rules (words, repetition).
 
 The fit takes at most ``SAMPLE`` labelled rows, a documented bound; held-out
-documents (see :mod:`labelled`) are never among them.
+documents (see :mod:`labelled`) are never among them.  Three tasks fit at once: on
+all of them, and without each of two folds for the calibration.
 Defined results: null is no text (0 words, so it fails the base rules); repeated
 rows each get a row; without labels of both classes only the base rules decide;
 an empty table gives no rows.
@@ -20,9 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .byteblock import BLOCK, SYMBOLS, Block
-from .common import by_place, id_text, place, text_blocks
+from .common import by_place, cut, id_text, place, text_blocks
 from .labelled import sample
 
 SAMPLE = 2000
@@ -151,31 +153,44 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col="doc_id",
                 ["label", "fold", "slots", "shares", "ord"],
             )
 
-    from pyspark.sql import functions as F
-
     rows = sample(docs, labels, most, "rules", id_col, text_col, label_col).withColumn("_order", F.xxhash64(F.col("_id").cast("string")))
     # ``most`` rows of at most 2**BITS slots each; texts without any say nothing
     found = rows.mapInArrow(features, "label double, fold int, slots binary, shares binary, ord long").where("octet_length(slots) > 0")
-    got = sorted(found.toLocalIterator(), key=lambda r: r["ord"])
-    y = np.array([r["label"] for r in got])
-    if len(set(y.tolist())) < 2:
+    rows = cut(found)
+    seen = rows.agg(F.countDistinct("label"), *[F.countDistinct(F.when(F.col("fold") % 2 == k, F.col("label"))) for k in (0, 1)]).first()
+    if seen[0] < 2:
         return RulesModel(None)
-    cols = [np.frombuffer(r["slots"], np.int32) for r in got]
-    vals = [np.frombuffer(r["shares"], np.float32) for r in got]
-    fold = np.array([r["fold"] % 2 for r in got])
-
-    def train(keep):
-        i = np.flatnonzero(keep)
-        return _descend([cols[k] for k in i], [vals[k] for k in i], y[i], STEPS)
-
-    w, b = train(np.ones(len(y), bool))
-    z = np.zeros(len(y))
-    both = all(len(set(y[fold == k].tolist())) == 2 for k in (0, 1))
-    for k in (0, 1):
-        wk, bk = train(fold != k) if both else (w, b)
-        for i in np.flatnonzero(fold == k):
-            z[i] = SCALE * float(vals[i] @ wk[cols[i]]) + bk
-    return RulesModel(w.astype(np.float32), b, *_platt(z, y))
+    both = seen[1] == 2 and seen[2] == 2
+
+    def train(t: pa.Table) -> pa.Table:
+        """The fit without fold ``part`` (2: with all rows), and the margins of that fold's rows."""
+        t = t.sort_by("ord")
+        part = t.column("part")[0].as_py()
+        cols = [np.frombuffer(x, np.int32) for x in t.column("slots").to_pylist()]
+        vals = [np.frombuffer(x, np.float32) for x in t.column("shares").to_pylist()]
+        y, out = np.array(t.column("label").to_pylist()), np.array(t.column("fold").to_pylist()) % 2 == part
+        i = np.flatnonzero(~out if both else np.ones(len(y), bool))
+        w, b = _descend([cols[k] for k in i], [vals[k] for k in i], y[i], STEPS)
+        z = [SCALE * float(vals[k] @ w[cols[k]]) + b for k in np.flatnonzero(out)]
+        return pa.table(
+            {
+                "part": pa.array([part], pa.int32()),
+                "weights": pa.array([w.astype(np.float32).tobytes() if part == 2 else b""], pa.binary()),
+                "bias": pa.array([float(b)], pa.float64()),
+                "z": pa.array([z], pa.list_(pa.float64())),
+                "y": pa.array([y[out].tolist()], pa.list_(pa.float64())),
+            }
+        )
+
+    # three tasks of ``most`` rows each: all rows, and without either half
+    parts = rows.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).repartition(3, "part").groupBy("part").applyInArrow(
+        train, "part int, weights binary, bias double, z array<double>, y array<double>"
+    )
+    got = {r["part"]: r for r in parts.collect()}  # three rows, ``most`` numbers in two of them
+    w, b = np.frombuffer(got[2]["weights"], np.float32), got[2]["bias"]
+    held = [got[k] for k in (0, 1) if k in got]
+    z, y = np.array([x for r in held for x in r["z"]]), np.array([x for r in held for x in r["y"]])
+    return RulesModel(w, b, *_platt(z, y))
 
 
 def counts(b: Block) -> dict[str, np.ndarray]:
