@@ -17,6 +17,7 @@ rewritten text.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate, islice
@@ -106,7 +107,7 @@ class PrefixCounter:
     def ended(self, s: str) -> int:
         """Count of a whole word; symbols are byte stand-ins."""
         if len(s) > self.states.longest:
-            return self.long_prefixes(s)[-1]
+            return self.long_prefixes(s, only_whole=True)[-1]
         return self._last(s, self.final, self.end_sizes, True)[1]
 
     def prefixes(self, s: str) -> list[int]:
@@ -115,22 +116,26 @@ class PrefixCounter:
             return self.long_prefixes(s)
         return [self.ended(s[:i]) for i in range(1, len(s) + 1)]
 
-    def long_prefixes(self, s: str) -> list[int]:
-        """The same for strings too long to keep."""
+    def long_prefixes(self, s: str, only_whole: bool = False) -> list[int]:
+        """The same for strings too long to keep (or just that of ``s`` itself)."""
         n = len(s)
         tail, count, out = [""] * (n + 1), [0] * (n + 1), []
+        known = self.pairs.get
+
+        def best(i: int, vocabulary: set[str], sizes: dict, last: bool) -> tuple[str, int]:
+            for size in sizes.get(s[max(i - 2, 0) : i], ONE):
+                j = i - size
+                if j >= 0 and (t := s[j:i]) in vocabulary:
+                    fits = known((tail[j], t, last))
+                    if fits or fits is None and self.fits(tail[j], t, last):
+                        return t, count[j] + 1
+            raise ValueError(f"no token ends {s[:i]!r}: the vocabulary lacks a byte")
+
         for i in range(1, n + 1):
-            for vocabulary, last in ((self.inner, False), (self.final, True)):
-                for j in range(max(0, i - self.longest), i):
-                    t = s[j:i]
-                    if t in vocabulary and self.fits(tail[j], t, last):
-                        if last:
-                            out.append(count[j] + 1)
-                        else:
-                            tail[i], count[i] = t, count[j] + 1
-                        break
-                else:
-                    raise ValueError(f"no token ends {s[:i]!r}: the vocabulary lacks a byte")
+            if not only_whole or i == n:
+                out.append(best(i, self.final, self.end_sizes, True)[1])
+            if i < n:
+                tail[i], count[i] = best(i, self.inner, self.open_sizes, False)
         return out
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -183,12 +188,12 @@ def _pieces(p: PrefixCounter, text: str):
 
 def prefix_table(path: str, text: str) -> np.ndarray:
     """Exact token counts of the first 0, 1, 2, ... characters of a text."""
-    total, out = 0, [0]
+    total, out = 0, array("i", [0])
     for gap, _, counts in _pieces(counter(path), text):
         out.extend([total] * gap)
         out.extend(total + k for k in counts)
         total = out[-1]
-    return np.array(out, dtype=np.int32)
+    return np.frombuffer(out, dtype=np.intc).astype(np.int32)
 
 
 def total(path: str, text: str) -> tuple[int, list[int] | None]:
@@ -215,8 +220,16 @@ def fit(path: str, text: str, budget: int) -> tuple[int, int]:
         return n, len(text)
     p = counter(path)
     if ends is None:
-        table = prefix_table(path, text)
-        return n, int(np.flatnonzero(table <= budget)[-1])
+        # word by word; a special string can change no more than the word before it
+        done = at = before = last = 0
+        for gap, _, counts in _pieces(p, text):
+            if before > budget:
+                break
+            at += gap
+            last = at if done <= budget else last
+            last = max([last, *(at + i + 1 for i, k in enumerate(counts) if done + k <= budget)])
+            at, before, done = at + len(counts), done, done + (counts[-1] if counts else 0)
+        return n, last
     sums = list(accumulate(ends))
     j = bisect_right(sums, budget)  # the first word that ends beyond the budget
     word = next(islice(p.codec.scan.finditer(text.lower()), j, None))
