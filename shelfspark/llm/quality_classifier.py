@@ -94,11 +94,13 @@ def lift(x: np.ndarray, basis) -> np.ndarray:
 
 
 def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of a nondecreasing curve: pooled adjacent violators, by block centre."""
-    order = np.argsort(score, kind="stable")
-    pools: list[list[float]] = []  # sum of labels, rows, sum of scores
-    for s, y in zip(score[order].tolist(), label[order].tolist()):
-        pools.append([y, 1.0, s])
+    """Mean scores and labels of the pools of the best monotone step curve; equal
+    scores are one point."""
+    points, at = np.unique(score, return_inverse=True)
+    number = np.bincount(at)
+    pools: list[list[float]] = []
+    for s, y, n in zip((points * number).tolist(), np.bincount(at, label).tolist(), number.tolist()):
+        pools.append([y, n, s])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             y2, n2, s2 = pools.pop()
             pools[-1][0] += y2
