@@ -21,14 +21,13 @@ def _state(e: DataFrame):
     return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges`` (``u``, ``v``), in any direction, to ``node``, ``root``: the
-    smallest node of its component, for every node but the roots."""
+    smallest node of its component, for every node but the roots.  Rounds go on
+    until one changes nothing."""
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(now)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join reads two plain shuffles and a hub's edges can be split
         low = cut(_minima(both).withColumn("m", F.least("c", "m")))
@@ -44,6 +43,4 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         state = new_state
         if done:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -151,9 +151,9 @@ class Packer:
 
 
 SCHEMA = (
-    "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, n_loss long"
 )
-NAMES = ["_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+NAMES = ["_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "n_loss"]
 
 
 def _rows(sequences, base: int, id_type: pa.DataType, most: int = 4 << 20):
@@ -163,7 +163,7 @@ def _rows(sequences, base: int, id_type: pa.DataType, most: int = 4 << 20):
     for sequence in sequences:
         at = 0
         for p in sequence:
-            for col, v in zip(cols, (p.doc, p.start, len(p), p.ids, p.doc_tokens, seq, at)):
+            for col, v in zip(cols, (p.doc, p.start, len(p), p.ids, p.doc_tokens, seq, at, p.n_loss)):
                 col.append(v)
             at += len(p)
             size += len(p.ids)
@@ -176,7 +176,7 @@ def _rows(sequences, base: int, id_type: pa.DataType, most: int = 4 << 20):
 
 
 def _batch(cols, id_type) -> pa.RecordBatch:
-    kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], NAMES)
 
 

@@ -59,6 +59,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: tokens, segments and loss-bearing tokens all limit a sequence."""
+    packed = packing.pack_conversations(table(spark, sf_dir, "conversations"), max_tokens=2048, max_segments=16, max_loss=768)
+    return packed.select("conv_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "n_loss", "sequence_id", "offset")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     base = F.filter("places", lambda p: p["base"])
@@ -122,6 +128,7 @@ def queries():
             op2_jaccard_join,
             op3_quality_classifier,
             op4_packing,
+            packed_conversations,
             op5_license_scan,
             op6_sharding,
             op7_bpe_tree,

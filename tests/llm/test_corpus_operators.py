@@ -1,6 +1,7 @@
 """Operators 2, 3, 6 and 10 and the pipeline against plain versions."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfspark.llm import jaccard_join, knn_kdtree, quality_classifier, quality_rules, queries, sharding
+from shelfspark.llm import byteblock, jaccard_join, knn_kdtree, quality_classifier, quality_rules, queries, sharding
 from shelfspark.llm.byteblock import Block
 from shelfspark.llm.components import components
 
@@ -258,11 +259,113 @@ def test_models_without_labels(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(h):
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> 33)) * m & M64
+    return h ^ (h >> 33)
+
+
+def plain_slots(text):
+    """Slots of word runs of one and two and of byte runs of three and four."""
+    data = text.encode()
+    words = [plain_mix(sum((c + 1) * pow(byteblock.PRIME, i, 1 << 64) for i, c in enumerate(w)) & M64) for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    for n in (1, 2):
+        for i in range(len(words) - n + 1):
+            h = 0
+            for w in words[i : i + n]:
+                h = (h * byteblock.PRIME + w) & M64
+            yield (plain_mix(h) * (2 * n + 1) & M64) >> 32 & ((1 << quality_rules.BITS) - 1)
+    for n in (3, 4):
+        for i in range(len(data) - n + 1):
+            h = 0
+            for k in range(n):
+                h = (h ^ data[i + k]) * quality_rules.ODD[k] & 0xFFFFFFFF
+                h ^= h >> 15
+            yield h >> (32 - quality_rules.BITS)
+
+
+TEXTS = ["", " ", "a", "one two three", "one two three one two three one two three", "x\ny\nx\n\nx", "The cat, THE CAT! 12 [a]", "éclair würde 日本語 𝔘 $$ <b>", "ab " * 300]
+
+
+def test_margins_and_shares_equal_plain_ones():
+    rng = np.random.default_rng(0)
+    weights = rng.normal(0, 1, 1 << quality_rules.BITS).astype(np.float32)
+    got = quality_rules.margins(Block(TEXTS), weights)
+    for t, m, (slots, shares) in zip(TEXTS, got, quality_rules.sparse(Block(TEXTS))):
+        want = list(plain_slots(t))
+        assert abs(m - (quality_rules.SCALE * float(weights[want].astype(float).mean()) if want else 0)) < 1e-4
+        c = Counter(want)
+        assert slots.tolist() == sorted(c) and np.allclose(shares, [c[k] / len(want) for k in sorted(c)])
+
+
+def test_descent_lowers_the_loss_and_calibration_is_its_optimum():
+    rng = np.random.default_rng(1)
+    cols = [np.sort(rng.choice(50, 12, replace=False)).astype(np.int32) for _ in range(200)]
+    vals = [np.full(12, 1 / 12, np.float32) for _ in range(200)]
+    true = rng.normal(0, 3, 50)
+    z = np.array([true[c].sum() / 2 for c in cols])
+    y = (rng.random(200) < 1 / (1 + np.exp(-z))).astype(float)
+
+    def loss(w, b):
+        m = np.array([quality_rules.SCALE * (w[c] * v).sum() + b for c, v in zip(cols, vals)])
+        return np.mean(np.logaddexp(0, m) - y * m) + 5e-5 * (w**2).sum()
+
+    before = loss(np.zeros(1 << quality_rules.BITS), 0.0)
+    w, b = quality_rules._descend(cols, vals, y, 80)
+    assert loss(w, b) < 0.75 * before and loss(w, b) <= loss(w, b + 0.5) and loss(w, b) <= loss(w * 0.5, b)
+    a, c = quality_rules._platt(z, y)
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (200 - y.sum() + 2))
+
+    def cost(a, c):
+        m = a * z + c
+        return np.sum(np.logaddexp(0, m) - target * m) + 5e-4 * ((a - 1) ** 2 + c**2)
+
+    assert all(cost(a, c) <= cost(a + da, c + dc) for da, dc in ((0.02, 0), (-0.02, 0), (0, 0.02), (0, -0.02)))
+
+
+def plain_statistics(t):
+    data, n = t.encode(), max(len(t.encode()), 1)
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    m = max(len(words), 1)
+    kinds = [rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[#*$%&|<>]", rb"[.,;:?]", rb"!", rb"[-_/\\=+~^@\"'()\[\]{}]", rb"\n"]
+    out = [len(re.findall(k, data)) / n for k in kinds]
+    out[7] = min(out[7] * 20, 3)
+    size = [min(len(w), 64) for w in words]
+    mean = sum(size) / m
+    out += [mean / 8, max(sum(x * x for x in size) / m - mean**2, 0) ** 0.5 / 6]
+    out.append((len(words) - len(set(words))) / m)
+    out.append(sum(a == b for a, b in zip(words, words[1:])) / m * 2)
+    grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {j for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+    out.append(len(covered) / m * 2)
+    out.append(sum(bool(re.search(rb"[#*$%&|<>]", w)) for w in words) / m * 2)
+    out.append(sum(65 <= w[0] <= 90 for w in words) / m)
+    seen, twice, lines = set(), 0, data.split(b"\n")
+    for line in lines:
+        if re.search(rb"[^\x20\x09-\x0D]", line):
+            twice += line in seen
+            seen.add(line)
+    return [*out, twice / len(lines), np.log1p(len(words)) / 8]
+
+
+def test_statistics_equal_plain_ones():
+    texts = [*TEXTS, *[t or "" for _, t in rows(n=10)]]
+    assert np.allclose(quality_classifier.statistics(Block(texts)), [plain_statistics(t) for t in texts], atol=1e-9)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(-5, 5), st.integers(0, 1)), min_size=1, max_size=40))
 def test_isotonic_curve_is_the_best_monotone_one(points):
     s, y = np.array([p[0] for p in points], float), np.array([p[1] for p in points], float)
     xs, ys = quality_classifier.isotonic(s, y)
+    # the best monotone fit of the means of equal scores, by its max-min formula
+    u = np.unique(s)
+    total, n = np.array([y[s == v].sum() for v in u]), np.array([(s == v).sum() for v in u])
+    best = [max(min(total[a : e + 1].sum() / n[a : e + 1].sum() for e in range(i, len(u))) for a in range(i + 1)) for i in range(len(u))]
+    assert np.allclose(ys, np.unique(np.round(best, 12)))
     assert (np.diff(ys) > 0).all() and (np.diff(xs) >= 0).all()
     assert abs((ys * 1).sum()) <= len(ys) and ys.min() >= 0 and ys.max() <= 1
 
@@ -384,9 +487,16 @@ def test_top_k_of_few_and_none(spark):
 
 def test_pipeline_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
+    # what the models keep of the whole table, by the operators' own scores
+    kept_by = {
+        "quality_classifier": {r["doc_id"] for r in collect(queries.op3_quality_classifier(spark, small)) if r["predicted"]},
+        "quality_rules": {r["doc_id"] for r in collect(queries.op8_quality_rules(spark, small)) if r["kept"]},
+    }
     for name, stage in corpus_pipeline.STAGES:
         before = {r["doc_id"]: r["text"] for r in collect(docs)}
         out = stage(spark, docs, small)
+        if name in kept_by:
+            assert {r["doc_id"] for r in collect(out)} == kept_by[name] & set(before)
         if name == corpus_pipeline.STAGES[-1][0]:
             got = collect(out)
             assert {r["doc_id"] for r in got} == set(before)

@@ -125,6 +125,24 @@ def test_encode_and_decode_documents(docs, empty):
     assert bpe_tree.encode(empty).count() == 0
 
 
+def test_counts_of_long_words_and_of_rare_characters():
+    rng = random.Random(11)
+    for alphabet, n in (("etaoinshrdlu", 20000), ("ab", 5000), ("a", 3000), ("日本語テキスト", 3000)):
+        word = "".join(rng.choice(alphabet) for _ in range(n))
+        start = time.perf_counter()
+        assert token_counts.total(WORD, word)[0] == len(_tok(WORD).encode(word, add_special_tokens=False).ids)
+        assert time.perf_counter() - start < 5
+    pool = ["the", "“quoted”", "naïve", "текст", "日本", "<|endoftext|>", "it's", "…", "a—b", "x" * 70]
+    for _ in range(60):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(1, 40)))
+        for budget in (0, 1, 5, 17, 60):
+            table = token_counts.prefix_table(WORD, text)
+            n, chars = token_counts.fit(WORD, text, budget)
+            assert n == table[-1]
+            if n > budget and token_counts.total(WORD, text)[1] is None:
+                assert chars == int(np.flatnonzero(table <= budget)[-1])
+
+
 def test_token_counts_of_documents(docs, empty):
     got = collect(token_counts.count_tokens(docs, budget=50, keep_table=True))
     assert len(got) == len(DATA)
@@ -199,8 +217,32 @@ def test_packing_conversations(spark):
         "conv_id long, turn long, role string, text string",
     )
     got = collect(packing.pack_conversations(turns, max_tokens=128, max_loss=40, max_segments=6))
-    check_sequences(got, 128)
+    by = check_sequences(got, 128)
     assert {r["conv_id"] for r in got} == {*range(30), 99}
+    assert all(len(p) <= 6 and sum(r["n_loss"] for r in p) <= 40 for p in by.values())
+
+
+def test_packed_conversations_meet_all_three_limits(spark, medium):
+    from shelfspark.llm import queries
+
+    turns = collect(spark.read.parquet(f"{medium}/conversations.parquet"))
+    want, loss = defaultdict(list), Counter()
+    for r in sorted(turns, key=lambda r: (r["conv_id"], r["turn"])):
+        ids = [*_tok(WORD).encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        want[r["conv_id"]] += ids
+        loss[r["conv_id"]] += len(ids) * (r["role"] == "assistant")
+    got = collect(queries.packed_conversations(spark, medium))
+    by = check_sequences(got, 2048)
+    assert all(len(p) <= 16 and sum(r["n_loss"] for r in p) <= 768 for p in by.values())
+    assert any(len(p) == 16 for p in by.values()) or any(sum(r["n_loss"] for r in p) > 700 for p in by.values())
+    have = Counter()
+    for r in got:
+        ids = want[r["conv_id"]]
+        assert r["doc_tokens"] == len(ids)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        have[r["conv_id"]] += r["length"]
+        loss[r["conv_id"]] -= r["n_loss"]
+    assert have == Counter({k: len(v) for k, v in want.items()}) and not any(loss.values())
 
 
 # --- 1: secrets ---------------------------------------------------------------------
@@ -255,7 +297,13 @@ def test_redaction(spark):
             assert r["text"] is None
         if r["doc_id"] == 3:
             assert r["text"] == "[secret] deadbeef ABCDEF0123456789 [secret]"
-        assert not [s for s in plain_spans(r["text"]) if s[1] < 3] or "[secret]" in r["text"]
+        text = dict((i, t) for i, t in SECRETS)[r["doc_id"]]
+        out, at = [], 0
+        for a, _, e in plain_spans(text):
+            if a >= at:
+                out.append((text or "")[at:a])
+            at = max(at, e)
+        assert (r["text"] or "") == "[secret]".join([*out, (text or "")[at:]])
 
 
 def test_redaction_leaves_no_key_material(spark):
