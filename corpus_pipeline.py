@@ -36,7 +36,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(docs)
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "n_loss")
 
 
 STAGES = [
