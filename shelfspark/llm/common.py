@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -80,6 +82,21 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library, which gives memory back by itself
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system: the same worker goes on with
+    other operators, and its executor has a bound."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "_text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byteblock import BLOCK, Block, mix
-from .common import by_place, cut, id_text, place, text_blocks
+from .common import by_place, cut, give_back, id_text, place, text_blocks
 from .components import components
 
 WORDS = 5
@@ -52,8 +52,8 @@ ASSUMED = 10
 #: Bins of the Jaccard index from the threshold to 1.
 BINS = 20
 #: Documents and bytes of shingle sets in one block of a node, about.
-BLOCK_DOCS = 1024
-BLOCK_BYTES = 8 << 20
+BLOCK_DOCS = 512
+BLOCK_BYTES = 4 << 20
 #: Rows (a key and an id) that may be broadcast to fetch texts; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 SEED = 77
@@ -138,6 +138,7 @@ def signatures(rows: DataFrame, id_kind: str, trees: int, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(keys, pa.binary()), pa.array(sig, pa.binary()), pa.array(size, pa.int64())], ["_id", "key", "sig", "size"]
                 )
+        give_back()
 
     return rows.mapInArrow(sign, f"_id {id_kind}, key binary, sig binary, size long")
 
@@ -185,6 +186,7 @@ def trie(distinct: DataFrame, trees: int, floor: int) -> DataFrame:
             last, before = rows.slice(len(shares)), left[-1]
         if last is not None:
             yield told(last, np.array([DEPTH]))
+        give_back()
 
     return (
         entries.repartitionByRange("tree", "sig", "key")
@@ -207,6 +209,7 @@ def shingle_sets(keyed: DataFrame, n: int) -> DataFrame:
                 at = np.searchsorted(text, np.arange(len(texts) + 1))
                 sets = [h[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, len(texts)), pa.array(sets, pa.binary())], ["key", "grams"])
+        give_back()
 
     return keyed.select("key", "_text").mapInArrow(run, "key binary, grams binary")
 
@@ -223,9 +226,9 @@ def jaccard(sets: list[np.ndarray], eligible: np.ndarray) -> tuple[np.ndarray, n
     """Sizes of the intersections and of the unions of all pairs of some sets of
     distinct hashes (only the upper triangle and eligible pairs are of use)."""
     m = len(sets)
-    size = np.fromiter(map(len, sets), np.int64, count=m)
+    size = np.fromiter(map(len, sets), np.int32, count=m)
     if m == 2:
-        both = np.zeros((2, 2), np.int64)
+        both = np.zeros((2, 2), np.int32)
         both[0, 1] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return both, size[:, None] + size[None, :] - both
     value, doc = np.concatenate(sets), np.repeat(np.arange(m), size)
@@ -237,13 +240,13 @@ def jaccard(sets: list[np.ndarray], eligible: np.ndarray) -> tuple[np.ndarray, n
     common = np.zeros((m, m), np.float32)
     if len(column):
         column = np.cumsum(np.concatenate([[True], column[1:] != column[:-1]])) - 1
-        step = 4096
+        step = 2048
         edges = np.searchsorted(column, np.arange(0, column[-1] + 1 + step, step))
         for k, (a, e) in enumerate(zip(edges[:-1], edges[1:])):
             part = np.zeros((m, min(step, int(column[-1]) + 1 - k * step)), np.float32)
             part[doc[a:e], column[a:e] - k * step] = 1
             common += part @ part.T
-    both = common.astype(np.int64)
+    both = common.astype(np.int32)
     return both, size[:, None] + size[None, :] - both
 
 
@@ -295,6 +298,7 @@ def verify(placed: DataFrame, id_kind: str, similarity: Fraction, depth: int, de
         ok, once = ok[np.ix_(used, used)], once[used]
         grams = rows.column("grams")
         both, union = jaccard([np.frombuffer(grams[int(i)].as_py(), np.uint64) for i in once], ok)
+        # below 2**31, as a set of more than 2**28 hashes is no row
         link = ok & (both * similarity.denominator >= union * similarity.numerator) & (union > 0)
         if not link.any():
             return
@@ -337,6 +341,8 @@ def verify(placed: DataFrame, id_kind: str, similarity: Fraction, depth: int, de
                 yield batch_of()
                 out = []
         flush()
+        parts = []
+        give_back()
         if id_type is not None:
             out.append((None, None, None, None, 0, found.tolist()))
             yield batch_of()

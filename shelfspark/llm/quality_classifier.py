@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byteblock import BLOCK, SYMBOLS, Block, lut
-from .common import by_place, cut, id_text, place, text_blocks
+from .common import by_place, cut, give_back, id_text, place, text_blocks
 from .labelled import held_out, sample
 
 SAMPLE = 8000
@@ -209,6 +209,7 @@ def filter_quality(docs: DataFrame, model: QualityModel, text_col="text") -> Dat
             for a, texts in text_blocks(batch, BLOCK, text):
                 good = model.score(statistics(Block(texts))) >= 0.5
                 yield batch.slice(a, len(texts)).filter(pa.array(good))
+        give_back()
 
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byteblock import BLOCK, SYMBOLS, Block
-from .common import by_place, cut, id_text, place, text_blocks
+from .common import blocks, by_place, cut, give_back, id_text, place, text_blocks
 from .labelled import sample
 
 SAMPLE = 2000
@@ -98,22 +98,30 @@ class RulesModel:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+#: Shares that one step of the descent works on at once.
+DESCENT_BLOCK = 1 << 19
+
+
 def _descend(cols: list[np.ndarray], vals: list[np.ndarray], y: np.ndarray, steps: int, l2: float = 1e-4):
-    """Logistic regression by full-batch Adam on sparse rows (none empty)."""
-    sizes = np.fromiter(map(len, cols), dtype=np.int64, count=len(cols))
-    at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    col, val = np.concatenate(cols), np.concatenate(vals)
+    """Logistic regression by full-batch Adam on sparse rows (none empty), whose
+    gradients are summed block by block."""
+    rows = []
+    for a, e in blocks(list(map(len, cols)), DESCENT_BLOCK):
+        sizes = np.fromiter(map(len, cols[a:e]), dtype=np.int64, count=e - a)
+        rows.append((np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, np.concatenate(cols[a:e]), np.concatenate(vals[a:e]), y[a:e]))
     w, b, n = np.zeros(1 << BITS), 0.0, len(y)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        part = w.astype(np.float32)[col]
-        part *= val
-        z = SCALE * np.add.reduceat(part, at) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / n
-        part = np.repeat(g.astype(np.float32), sizes)
-        part *= val
-        gw = SCALE * np.bincount(col, part, minlength=len(w)) + l2 * w
-        gb = g.sum()
+        gw, gb, w32 = l2 * w, 0.0, w.astype(np.float32)
+        for at, sizes, col, val, label in rows:
+            part = w32[col]
+            part *= val
+            z = SCALE * np.add.reduceat(part, at) + b
+            g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - label) / n
+            part = np.repeat(g.astype(np.float32), sizes)
+            part *= val
+            gw += SCALE * np.bincount(col, part, minlength=len(w))
+            gb += g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
@@ -164,14 +172,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col="doc_id",
 
     def train(t: pa.Table) -> pa.Table:
         """The fit without fold ``part`` (2: with all rows), and the margins of that fold's rows."""
-        t = t.sort_by("ord")
+        order = np.argsort(t.column("ord").to_numpy(), kind="stable")
         part = t.column("part")[0].as_py()
-        cols = [np.frombuffer(x, np.int32) for x in t.column("slots").to_pylist()]
-        vals = [np.frombuffer(x, np.float32) for x in t.column("shares").to_pylist()]
+        cols = [np.frombuffer(t.column("slots")[int(k)].as_buffer(), np.int32) for k in order]
+        vals = [np.frombuffer(t.column("shares")[int(k)].as_buffer(), np.float32) for k in order]
+        t = t.select(["label", "fold"]).take(pa.array(order))
         y, out = np.array(t.column("label").to_pylist()), np.array(t.column("fold").to_pylist()) % 2 == part
         i = np.flatnonzero(~out if both else np.ones(len(y), bool))
         w, b = _descend([cols[k] for k in i], [vals[k] for k in i], y[i], STEPS)
         z = [SCALE * float(vals[k] @ w[cols[k]]) + b for k in np.flatnonzero(out)]
+        del cols, vals
+        give_back()
         return pa.table(
             {
                 "part": pa.array([part], pa.int32()),
@@ -246,5 +257,6 @@ def filter_rules(docs: DataFrame, model: RulesModel, text_col="text") -> DataFra
         for batch in it:
             for a, texts in text_blocks(batch, BLOCK, text):
                 yield batch.slice(a, len(texts)).filter(pa.array(verdicts(texts, model)["kept"].astype(bool)))
+        give_back()
 
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
