@@ -34,15 +34,22 @@ def in_groups(df: DataFrame, keys: list[str], order: list[Column], work: Callabl
     """``work(rows, starts)`` on whole groups, several at a time, each in order."""
 
     def run(it):
-        carry = None
+        open_: list[pd.DataFrame] = []  # parts of the group that may go on, put together once
         for pdf in it:
-            pdf = pdf if carry is None else pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
             at = _starts(pdf, keys)
-            if len(at) > 1:
-                yield work(pdf.iloc[: at[-1]].reset_index(drop=True), at[:-1])
-            carry = pdf.iloc[at[-1] :].reset_index(drop=True) if len(at) else None
-        if carry is not None and len(carry):
-            yield work(carry, np.zeros(1, dtype=int))
+            if open_ and len(_starts(pd.concat([open_[-1].iloc[-1:], pdf.iloc[:1]], ignore_index=True), keys)) > 1:
+                yield work(pd.concat(open_, ignore_index=True), np.zeros(1, dtype=int))
+                open_ = []
+            if len(at) == 1:
+                open_.append(pdf)
+                continue
+            head = pd.concat([*open_, pdf.iloc[: at[-1]]], ignore_index=True)
+            yield work(head, _starts(head, keys))
+            open_ = [pdf.iloc[at[-1] :]]
+        if open_:
+            yield work(pd.concat(open_, ignore_index=True), np.zeros(1, dtype=int))
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 

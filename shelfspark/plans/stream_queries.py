@@ -48,8 +48,10 @@ def stream_grid(spark, sf_dir):
 
 @query()
 def stream_sessions(spark, sf_dir):
-    stream, base = _staged(spark, live_detections(spark, sf_dir), "session_id")
-    return _finish(live.track_stream(stream), base)
+    rows = live_detections(spark, sf_dir)
+    timed = rows.withColumn("ts", F.timestamp_seconds(F.col("seq")))  # a frame a second
+    stream, base = _staged(spark, timed, "session_id")
+    return _finish(live.track_stream(stream, "ts"), base)
 
 
 @query(_FEEDBACK)

@@ -144,21 +144,44 @@ def track_batch(detections: DataFrame) -> DataFrame:
     return detections.groupBy("session_id").applyInPandas(run, FRAME_OUT)
 
 
-def track_stream(detections: DataFrame) -> DataFrame:
-    """The same over a stream whose batches keep each session's order; a row of
-    ``ord`` -2 resets its session."""
+#: How long a session may rest before its state is dropped.
+IDLE_MS = 30 * 60 * 1000
+
+
+def track_stream(detections: DataFrame, ts: str | None = None, idle_ms: int = IDLE_MS, watermark: str = "10 seconds") -> DataFrame:
+    """The same over a stream; a row of ``ord`` -2 resets its session.
+
+    Frames of one batch are taken in order; a frame that comes after a later one
+    of its session was counted is late and left out.  A session's state goes when
+    it has rested for ``idle_ms`` of event time, which column ``ts`` has; without
+    one it stays (a timeout by the clock would keep a finite run from ending)."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key, parts, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         g = pd.concat(list(parts))
-        tracker = LiveTracker.load(state.get[0]) if state.exists else LiveTracker()
+        tracker, last = LiveTracker(), None
+        if state.exists:
+            text, last = state.get
+            tracker = LiveTracker.load(text)
+        newest = max(int(g["seq"].max()), -1 if last is None else last)
+        if last is not None:
+            g = g[g["seq"] > last]
         if (g["ord"] == -2).any():
             tracker, g = LiveTracker(), g[g["seq"] > g[g["ord"] == -2]["seq"].max()]
         if len(g):
             yield pd.DataFrame(list(_frames(tracker, g)))
-        state.update((tracker.dump(),))
+        state.update((tracker.dump(), newest))
+        if ts is not None:
+            now = state.getCurrentWatermarkMs()
+            at = int(pd.Timestamp(g[ts].max()).timestamp() * 1000) if len(g) else now
+            state.setTimeoutTimestamp(max(at + idle_ms, now + 1))
 
-    return detections.groupBy("session_id").applyInPandasWithState(run, FRAME_OUT, "tracker string", "append", GroupStateTimeout.NoTimeout)
+    timed = detections.withWatermark(ts, watermark) if ts else detections
+    kind = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    return timed.groupBy("session_id").applyInPandasWithState(run, FRAME_OUT, "tracker string, last long", "append", kind)
 
 
 def mark_cells(frames: DataFrame, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
@@ -324,19 +347,23 @@ def job_states(events: DataFrame) -> DataFrame:
 
 
 def run_jobs(events: DataFrame, work, sink: str, checkpoint: str):
-    """Run ``work(job_id)`` for pending jobs of each batch; one job's failure is its
-    own state and stops no other."""
+    """Run ``work(job_id)`` for pending jobs of each batch, on the executors; one
+    job's failure is its own state and stops no other."""
+
+    def done(parts):
+        for part in parts:
+            rows = []
+            for job in part["job_id"]:
+                try:
+                    rows.append((job, "done", str(work(job)), None))
+                except Exception as e:  # a failed job is a result
+                    rows.append((job, "failed", None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["job_id", "sku_status", "sku_report", "note"])
 
     def each(batch: DataFrame, _: int) -> None:
-        done = []
-        for r in batch.where("sku_status = 'pending'").select("job_id").distinct().toLocalIterator():
-            try:
-                done.append((r["job_id"], "done", str(work(r["job_id"])), None))
-            except Exception as e:  # a failed job is a result
-                done.append((r["job_id"], "failed", None, f"{type(e).__name__}: {e}"))
-        if done:
-            out = batch.sparkSession.createDataFrame(done, "job_id string, sku_status string, sku_report string, note string")
-            out.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(sink)
+        pending = batch.where("sku_status = 'pending'").select(F.col("job_id").cast("string").alias("job_id")).distinct()
+        out = pending.mapInPandas(done, "job_id string, sku_status string, sku_report string, note string")
+        out.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(sink)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

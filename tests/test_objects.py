@@ -181,3 +181,20 @@ def test_similar_brands_equal_all_pairs(spark):
         if rated and -min(rated)[0] >= recognize.FUZZY:
             want[i] = (min(rated)[3], -min(rated)[0])
     assert got == want
+
+
+def test_groups_over_many_batches(spark):
+    """A group that Arrow hands over in parts is worked on as a whole."""
+    from shelfspark.operators import sequence
+
+    rng = random.Random(9)
+    rows = [(g, i, *(float(x) for x in (a, b, a + rng.randint(5, 40), b + rng.randint(5, 40))), rng.random()) for g, n in ((1, 1), (2, 40), (3, 2), (4, 33)) for i in range(n) for a, b in [(rng.randint(0, 60), rng.randint(0, 60))]]
+    df = spark.createDataFrame(rows, "image_id int, ord int, x1 double, y1 double, x2 double, y2 double, score double")
+    want = {(r["image_id"], r["ord"]) for r in sequence.nms(df, ["image_id"], 0.4).collect()}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for most in ("1", "3", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+        try:
+            assert {(r["image_id"], r["ord"]) for r in sequence.nms(df.coalesce(1), ["image_id"], 0.4).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
