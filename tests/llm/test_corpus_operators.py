@@ -397,6 +397,19 @@ def test_shards_of_awkward_rows(spark):
     assert sharding.interleave(frame(spark, [], extra=False)).count() == 0
 
 
+def test_shards_do_not_depend_on_the_ranges(spark, monkeypatch):
+    data = [(i, f"t{i}", "hot" if i % 3 else f"s{i % 5}") for i in range(2000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("a.b", F.lit(1)).select("*", F.lit(1).alias("TEXT"))
+    want = {(r["doc_id"], r["shard"], r["slot"]) for r in collect(sharding.interleave(df))}
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 1)
+    monkeypatch.setattr(sharding, "HASH_BITS", 1)
+    assert sharding.range_bits(2000, 1) == 11
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in collect(sharding.interleave(df))} == want
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 1 << 30)
+    monkeypatch.setattr(sharding, "RANGE_BITS", 0)
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in collect(sharding.interleave(df))} == want
+
+
 def test_every_shard_has_the_mixture(spark):
     data = [(i, f"t{i}", "hot" if i % 3 else f"s{i % 5}") for i in range(3000)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
