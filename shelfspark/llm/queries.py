@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe_tree,
+    exact_dedup,
+    filter_audit,
     jaccard_join,
     knn_kdtree,
     license_scan,
@@ -17,6 +19,7 @@ from . import (
     quality_rules,
     secret_scan,
     sharding,
+    source_audit,
     token_counts,
 )
 from .common import table
@@ -120,6 +123,19 @@ def op10_knn_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def queries():
     return {
         f.__name__: f
@@ -135,6 +151,9 @@ def queries():
             op8_quality_rules,
             op9_token_counts,
             op10_knn_kdtree,
+            op11_source_divergence,
+            op12_filter_interaction,
+            op13_exact_dedup,
         )
     }
 
@@ -209,5 +228,88 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT rid) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, CAST(sum(c) AS BIGINT) AS c FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*) AS v, CAST(sum(c) AS BIGINT) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (
+  SELECT g.lang, g.source, coalesce(sum(c.c) FILTER (WHERE k.term IS NOT NULL), 0) AS n
+  FROM g LEFT JOIN c USING (lang, source) LEFT JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL),
+p AS (
+  SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c,
+    1 + CAST(1000000000 * CAST(coalesce(c.c, 0) + 2 AS BIGINT) // CAST(n.n + 2 * v.v AS BIGINT) AS BIGINT) AS p,
+    1 + CAST(1000000000 * CAST(k.c + 2 AS BIGINT) // CAST(v.n + 2 * v.v AS BIGINT) AS BIGINT) AS q
+  FROM n JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p WHERE c > 0 AND p > q),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10"""
+
+FILTERS_SQL = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+  FROM documents),
+m AS (
+  SELECT t.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN t.doc_id > t.least THEN 16 ELSE 0 END AS mask
+  FROM t LEFT JOIN l USING (doc_id)),
+v AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS f(letter, bit)),
+o(filter_order, used, step) AS (
+  SELECT letter, bit, 1 FROM f
+  UNION ALL SELECT o.filter_order || f.letter, o.used + f.bit, o.step + 1 FROM o JOIN f ON o.used & f.bit = 0),
+s AS (
+  SELECT a.filter_order, b.step, b.used, f.bit
+  FROM o a JOIN o b ON a.step = 5 AND a.filter_order LIKE b.filter_order || '%' JOIN f ON f.letter = substr(a.filter_order, CAST(b.step AS INTEGER), 1)),
+r AS (
+  SELECT v.part, s.filter_order, s.step, s.bit,
+    sum(CASE WHEN v.mask & s.used = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN v.mask & s.used = s.bit THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN v.mask & s.bit <> 0 AND v.mask & s.used <> s.bit THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN v.mask = s.bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN v.mask & s.used = s.bit THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN v.mask & s.used = s.bit THEN toxic ELSE 0 END) AS toxic_lost
+  FROM v CROSS JOIN s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r"""
+
+DEDUP_SQL = r"""
+WITH t AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
+FROM t"""
+
+
 def oracle_sql():
-    return {"op1_secret_scan": _secret_sql(), "op2_jaccard_join": JACCARD_SQL, "op10_knn_kdtree": KNN_SQL}
+    return {
+        "op1_secret_scan": _secret_sql(),
+        "op2_jaccard_join": JACCARD_SQL,
+        "op10_knn_kdtree": KNN_SQL,
+        "op11_source_divergence": DIVERGENCE_SQL,
+        "op12_filter_interaction": FILTERS_SQL,
+        "op13_exact_dedup": DEDUP_SQL,
+    }
