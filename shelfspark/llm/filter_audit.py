@@ -32,8 +32,8 @@ FILTERS = "ABCDE"
 SYMBOLS = b"#$%&*|"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 REPEAT = 1 << FILTERS.index("E")
-#: Bytes of text that a task holds to combine copies before they are routed.
-HELD = 1 << 24
+#: Bytes of text that a task holds to combine copies before they are routed, and of a partition that they are routed to.
+HELD, ROUTED = 1 << 24, 1 << 25
 
 
 def text_mask(text: str) -> int:
@@ -137,8 +137,9 @@ def failure_masks(docs: DataFrame, id_col="doc_id", text_col="text", source_col=
     source = F.coalesce(F.col(place(docs, source_col)).cast("string"), F.lit(""))
     d = by_place(docs)
     id_type = d.schema[place(docs, id_col)].dataType
+    size = d.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(size // ROUTED + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     read = d.select(F.xxhash64(text).alias("fp"), F.col(place(docs, id_col)).alias("id"), text.alias("text"), source.alias("source")).rdd
-    parts = max(read.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = read.mapPartitions(route).repartitionAndSortWithinPartitions(parts, partitionFunc=int)
     schema = T.StructType(
         [T.StructField("id", id_type), T.StructField("source", T.StringType()), T.StructField("mask", T.IntegerType()), T.StructField("n", T.LongType())]
