@@ -1,8 +1,8 @@
-"""Connected components and reachability over edge tables."""
+"""Connected components over edge tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .written import dropped, written
@@ -38,22 +38,3 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         was = new
     roots = now.select(F.col("u").alias("_u"), F.col("v").alias("_r"))
     return nodes.select("node").distinct().join(roots, F.col("node") == F.col("_u"), "left").select("node", F.coalesce("_r", "node").alias("root"))
-
-
-def reachable(seeds: DataFrame, links: DataFrame, most: int) -> DataFrame:
-    """Pages by breadth from ``seeds`` (``url``, ``ord``) along ``links`` (``src``,
-    ``dst``, ``ord``), each once at its least depth, the first ``most`` by depth and order; it goes on
-    until no page is new or ``most`` are seen."""
-    seen = written(seeds.groupBy("url").agg(F.min("ord").alias("ord")).withColumn("depth", F.lit(0)))
-    edge, d, n = seen, 0, seen.count()
-    while n < most:
-        d += 1
-        step = edge.select(F.col("url").alias("src"), F.col("ord").alias("po")).join(links, "src")
-        new = step.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("po", "ord")).alias("o")).join(seen, "url", "left_anti")
-        w = Window.orderBy("o.po", "o.ord", "url")  # the order of a crawl's queue: at most ``most`` pages matter
-        edge = written(new.orderBy("o.po", "o.ord", "url").limit(most).select("url", F.row_number().over(w).alias("ord"), F.lit(d).alias("depth")))
-        if not (found := edge.count()):
-            break
-        n += found
-        seen = written(seen.unionByName(edge))
-    return seen.orderBy("depth", "ord", "url").limit(most)

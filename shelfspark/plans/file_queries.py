@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import web
 from ..operators import catalog as C
-from ..operators import datasets
+from ..operators import crawl, datasets
+from ..operators.numbering import numbered
 from ..operators.written import shared_dir
 from ..sources import readers, reports
 from .audit_queries import _DETS, _detections
@@ -178,15 +180,17 @@ def overrides_file(spark, sf_dir):
     return rows.select("image_id", "ord", "class", F.get("box", F.lit(0)).alias("x1"), "reason")
 
 
-@query("SELECT DISTINCT url FROM pages")
+@query("WITH p AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) SELECT url, CAST(row_number() OVER (ORDER BY page_id) AS BIGINT) AS n FROM p")
 def sitemap_file(spark, sf_dir):
     path = _at(spark, "sitemap")
     p = table(spark, sf_dir, "pages")
     loc = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    both = p.select("page_id", F.concat(F.lit("<url><loc> "), loc, F.lit(" </loc></url>")).alias("item"))
-    docs = _buckets(both.unionByName(both), "page_id", F.col("item"), 100)
-    reports.write_documents(docs.select(F.concat(F.lit("<urlset>"), F.array_join("items", "\n"), F.lit("</urlset>")).alias("doc")), "doc", path)
-    return readers.sitemap(spark, path).select("url")
+    item = F.concat(F.lit("<url><loc> "), loc, F.lit(" </loc></url>"))
+    docs = p.groupBy(F.floor(F.col("page_id") / 100).alias("no")).agg(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item")))).alias("items"))
+    body = F.concat(F.lit("<urlset>"), F.array_join(F.transform("items", lambda i: F.concat(i["item"], i["item"])), "\n"), F.lit("</urlset>"))
+    docs.select(body.alias("value")).repartitionByRange(docs.count(), docs["no"]).sortWithinPartitions(docs["no"]).write.text(path, lineSep="\0")
+    found = readers.sitemap(spark, path)
+    return numbered(found, ["file", "ord"]).select("url", "n")
 
 
 @query("SELECT DISTINCT 'https://maps.example/' || source || '.xml' AS url FROM documents")
@@ -358,3 +362,52 @@ def scan_capped(spark, sf_dir):
     return datasets.scan_capped(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"], F.col("lang") == "en", 400, 50).select("doc_id")
 
 
+
+
+# --- crawls ------------------------------------------------------------------------
+
+_LINKS = """v AS (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS refs FROM pages),
+h AS (SELECT page_id, url, unnest(refs) AS ref FROM v),
+links AS (SELECT DISTINCT url AS src, ref AS dst FROM h UNION SELECT DISTINCT ref, url FROM h)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_LINKS},
+reach(url, depth) AS (
+  SELECT url, 0 FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)
+  UNION SELECT l.dst, r.depth + 1 FROM reach r JOIN links l ON l.src = r.url WHERE r.depth < 16)
+SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY url"""
+)
+def crawl_depths(spark, sf_dir):
+    """A crawl from the first page: a page leads to the sections that it links, a section to the pages that show it."""
+    p = table(spark, sf_dir, "pages")
+    refs = p.select("page_id", "url", F.posexplode(web.links("html")).alias("place", "ref"))
+    down = refs.groupBy(F.col("url").alias("src"), F.col("ref").alias("dst")).agg(F.min("place").cast("long").alias("ord"))
+    up = refs.groupBy(F.col("ref").alias("src"), F.col("url").alias("dst")).agg(F.min("page_id").cast("long").alias("ord"))
+    seed = p.agg(F.min_by("url", "page_id").alias("url")).select("url", F.lit(0).alias("ord"))
+    return crawl.crawl(seed, down.unionAll(up)).select("url", "depth")
+
+
+@query("WITH u AS (SELECT url, min(page_id) AS k FROM pages GROUP BY url) SELECT url, CAST(row_number() OVER (ORDER BY k) AS BIGINT) AS n FROM u")
+def sitemap_tree(spark, sf_dir):
+    """URLs of nested sitemaps in the order of a reader that goes down each in turn:
+    a root names books, a book names sheets and the root again, a sheet ten pages."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.floor(F.col("page_id") / 10).alias("sheet"), F.floor(F.col("page_id") / 1000).alias("book"), "url")
+    text = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    def body(rows, key: str, order: str, item, tag: str, root: str, more=""):
+        ordered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, item.alias("loc")))).alias("a"))
+        one = F.transform("a", lambda x: F.concat(F.lit(f"<{tag}><loc>"), x["loc"], F.lit(f"</loc></{tag}>")))
+        return ordered.select(F.col(key), F.concat(F.lit(f"<{root}>"), F.array_join(one, ""), F.lit(more), F.lit(f"</{root}>")).alias("body"))
+
+    def named(kind: str, column: str):
+        return F.concat(F.lit(f"{kind}-"), F.col(column).cast("string"))
+
+    back = "<sitemap><loc>root</loc></sitemap><sitemap><loc>gone</loc></sitemap>"
+    sheets = body(p, "sheet", "page_id", text, "url", "urlset").select(named("sheet", "sheet").alias("url"), "body")
+    books = body(p.select("book", "sheet").distinct(), "book", "sheet", named("sheet", "sheet"), "sitemap", "sitemapindex", back)
+    listed = p.select("book").distinct().withColumn("one", F.lit(0))  # a root names at most 50,000 books, by the protocol
+    root = body(listed, "one", "book", named("book", "book"), "sitemap", "sitemapindex")
+    files = sheets.unionAll(books.select(named("book", "book").alias("url"), "body")).unionAll(root.select(F.lit("root").alias("url"), "body"))
+    seed = spark.range(1).select(F.lit("root").alias("url"), F.lit(0).alias("ord"))
+    return crawl.sitemap_urls(seed, files)

@@ -120,9 +120,10 @@ def overrides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """(url, ord) of sitemap files, each URL once, the first place."""
-    rows = spark.read.format("xml").option("rowTag", "url").schema("loc string").load(path)
-    return rows.select(F.trim("loc").alias("url"), F.monotonically_increasing_id().alias("ord")).where("url <> ''").groupBy("url").agg(F.min("ord").alias("ord"))
+    """(url, file, ord) of sitemap files, each URL once, at its first place: by file, then in it."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_xml("value", "url array<struct<loc:string>>").alias("x"))
+    rows = files.select("file", F.posexplode("x.url").alias("ord", "u")).select(F.trim("u.loc").alias("url"), "file", "ord")
+    return rows.where("url <> ''").groupBy("url").agg(F.min(F.struct("file", "ord")).alias("o")).select("url", "o.file", "o.ord")
 
 
 def sitemap_index(spark: SparkSession, path: str) -> DataFrame:

@@ -14,14 +14,17 @@ from dataclasses import asdict, dataclass, field
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.geometry import grid_cells
 from ..functions.pixels import motion_udf
 from ..functions.vectors import feedback_rank
 from ..operators.tracks import cell_state
+from ..sources.ledger import Ledger, write_batches
 
+JOB_OUT = "job_id string, sku_status string, sku_report string, note string"
 #: Matching, capture, expiry and smoothing of live tracks.
 MATCH_IOU, MATCH_LOOK = 0.28, 0.62
 CAPTURE_AT, DROP_AFTER, DROP_CAPTURED_AFTER, MOST_TRACKS = 8, 40, 600, 240
@@ -348,7 +351,8 @@ def job_states(events: DataFrame) -> DataFrame:
 
 def run_jobs(events: DataFrame, work, sink: str, checkpoint: str):
     """Run ``work(job_id)`` for pending jobs of each batch, on the executors; one
-    job's failure is its own state and stops no other."""
+    job's failure is its own state and stops no other.  Results go to a ledger,
+    once for each batch, even if the batch is run again: see :func:`job_results`."""
 
     def done(parts):
         for part in parts:
@@ -360,18 +364,18 @@ def run_jobs(events: DataFrame, work, sink: str, checkpoint: str):
                     rows.append((job, "failed", None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["job_id", "sku_status", "sku_report", "note"])
 
-    def each(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame) -> DataFrame:
         pending = batch.where("sku_status = 'pending'").select(F.col("job_id").cast("string").alias("job_id")).distinct()
-        out = pending.mapInPandas(done, "job_id string, sku_status string, sku_report string, note string")
-        out.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(sink)
+        return pending.mapInPandas(done, JOB_OUT).withColumn("ts", F.current_timestamp())
 
-    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return write_batches(events, sink, checkpoint, run)
 
 
-def save_feedback(stream: DataFrame, path: str, checkpoint: str):
-    """Append saved feedback by label, exactly once for each batch."""
+def job_results(spark: SparkSession, sink: str) -> DataFrame:
+    """What :func:`run_jobs` has committed."""
+    return Ledger(spark, sink).read(StructType.fromDDL(f"{JOB_OUT}, ts timestamp"))
 
-    def each(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").partitionBy("label").parquet(f"{path}/batch={n}")
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def save_feedback(stream: DataFrame, path: str, checkpoint: str):
+    """Saved feedback in a ledger, exactly once for each batch; readers find it by ``label``."""
+    return write_batches(stream, path, checkpoint)

@@ -127,20 +127,11 @@ def test_keep_if_changed_compares_with_the_last_kept(spark):
     assert {o for _, o in kept(sequence.keep_if_changed(df, "image_id", "v", 5.0))} == {0, 2, 4, 6}
 
 
-def test_components_and_reach(spark):
+def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in range(1, 10)], "node long")
     got = {r["node"]: r["root"] for r in graph.components(nodes, edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 9}
-    links = spark.createDataFrame([("a", "b", 1), ("a", "c", 0), ("b", "d", 0), ("c", "a", 0), ("d", "e", 0)], "src string, dst string, ord int")
-    seeds = spark.createDataFrame([("a", 0)], "url string, ord int")
-    assert [(r["url"], r["depth"]) for r in graph.reachable(seeds, links, 4).collect()] == [("a", 0), ("c", 1), ("b", 1), ("d", 2)]
-
-
-def test_reach_follows_long_chains(spark):
-    links = spark.createDataFrame([(str(i), str(i + 1), 0) for i in range(24)], "src string, dst string, ord int")
-    seeds = spark.createDataFrame([("0", 0)], "url string, ord int")
-    assert [(r["url"], r["depth"]) for r in graph.reachable(seeds, links, 350).collect()] == [(str(i), i) for i in range(25)]
 
 
 def test_repass_merges_only_after_a_gap(spark):
@@ -378,7 +369,7 @@ def test_jobs_run_apart(spark, tmp_path):
         return 1 // (job == "good")
 
     live.run_jobs(stream, work, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = {r["job_id"]: r["sku_status"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {r["job_id"]: r["sku_status"] for r in live.job_results(spark, str(tmp_path / "out")).collect()}
     assert got == {"good": "done", "bad": "failed"}
 
 
