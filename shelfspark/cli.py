@@ -26,7 +26,7 @@ class AuditConfig:
 
 
 def audit_images(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(observations, summary, report text) of an image folder."""
+    """(observations, summary, lines of the report) of an image folder."""
     paths = readers.media_files(spark, root, exclude_first=(), exclude_any=("reports",)).select("path")
     obs = folder.observe(folder.evidence(paths))
     summary = folder.audit_summary(obs)
@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None) -> None:
         obs, summary, text = audit_images(spark, a.root)
         reports.write_json(obs, f"{a.out}/observations")
         reports.write_json(summary, f"{a.out}/summary")
-        text.write.mode("overwrite").text(f"{a.out}/report")
+        reports.write_document(text, f"{a.out}/report")
     elif a.verb == "import-docx-catalog":
         from .operators.catalog import export_rows, unique_ids
 

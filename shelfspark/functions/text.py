@@ -288,12 +288,6 @@ def stable_id(path, length: int = 10) -> Column:
     return F.substring(F.sha1(col(path)), 1, length)
 
 
-def report_digest(root, paths) -> Column:
-    """Of the root and the sorted relative paths, run together."""
-    joined = F.concat(col(root), F.array_join(F.sort_array(col(paths)), ""))
-    return F.concat(F.lit("report_"), F.substring(F.sha2(joined, 256), 1, 12))
-
-
 def file_key(path, modified, size) -> Column:
     return F.substring(F.sha2(F.concat(col(path), col(modified).cast("string"), col(size).cast("string")), 256), 1, 20)
 

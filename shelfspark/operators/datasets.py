@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.ledger import Ledger
 from .numbering import numbered
+from .written import dropped, written
 
 
 def split_every(df: DataFrame, order: list, ratio: float | None = None, n: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -97,6 +101,47 @@ def scan_capped(df: DataFrame, order: list, wanted: Column, most_scanned: int, t
     return df.orderBy(*order).limit(most_scanned).where(wanted).orderBy(*order).limit(target)
 
 
+class _Enough(Exception):
+    """Ends a scan whose caps are reached."""
+
+
+def scan_files(files: DataFrame, wanted: Column, most_scanned: int, target: int, folder: str) -> DataFrame:
+    """The first ``target`` wanted rows of a stream of files among its first
+    ``most_scanned`` rows, in the order in which it reads them.
+
+    Each micro-batch is written to a ledger with the rows that were scanned for it;
+    once a cap is reached the query ends before the next batch is read, so later
+    files stay unopened.  A scan that is started again in its ``folder`` goes on."""
+    spark = files.sparkSession
+    taken, scanned = Ledger(spark, f"{folder}/taken"), Ledger(spark, f"{folder}/scanned")
+    taken.drop_staged()
+    scanned.drop_staged()
+    place = T.StructType().add("_place", T.LongType())
+
+    def counted(ledger: Ledger, schema: T.StructType) -> int:
+        return ledger.read(schema).count()
+
+    def each(batch: DataFrame, n: int) -> None:
+        name = f"batch-{n:09d}"
+        if name in scanned.committed():
+            return
+        left, missing = most_scanned - counted(scanned, place), target - counted(taken, batch.schema)
+        if left <= 0 or missing <= 0:
+            raise _Enough
+        rows = written(batch.withColumn("_place", F.monotonically_increasing_id()).orderBy("_place").limit(left))
+        taken.put(rows.where(wanted).orderBy("_place").limit(missing).drop("_place"), name)
+        scanned.put(rows.select("_place"), name)
+        dropped(rows)
+
+    query = files.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if "_Enough" not in str(e):
+            raise
+    return taken.read(files.schema)
+
+
 def tasks_with_manifest(tasks: DataFrame, manifest: DataFrame, key: str = "image_id") -> tuple[DataFrame, DataFrame]:
     """Tasks with their manifest row, and (one row) how many were written and missed."""
     rows = manifest.dropDuplicates([key])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,3 +153,30 @@ def job_notes(retake: Column, videos: Column) -> Column:
     return F.filter(
         F.array(F.lit("received"), F.lit("recognition_queued"), F.when(retake > 0, "retake_needed"), F.when(videos > 0, "video_queued")), lambda x: x.isNotNull()
     )
+
+
+def report_digests(listing: DataFrame, root: str, path: str) -> DataFrame:
+    """``report_id`` of each ``root``: a digest of the root and its sorted paths, run together.
+
+    Paths pass through one running hash in order, so a long listing is sorted (and
+    spilled) but never held; null paths are left out, a null root has a null id."""
+
+    def fold(it):
+        now, digest = None, None
+
+        def ended():
+            name = None if now is None else "report_" + digest.hexdigest()[:12]
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([name], pa.string())], [root, "report_id"])
+
+        for batch in it:
+            for r, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if digest is None or r != now:
+                    if digest is not None:
+                        yield ended()
+                    now, digest = r, hashlib.sha256((r or "").encode())
+                digest.update((p or "").encode())
+        if digest is not None:
+            yield ended()
+
+    rows = listing.select(F.col(root).cast("string").alias(root), F.col(path).cast("string").alias("_path"))
+    return rows.repartition(root).sortWithinPartitions(root, "_path").mapInArrow(fold, f"`{root}` string, report_id string")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import boxgrid
+
 BOX = ["x1", "y1", "x2", "y2"]
 
 
@@ -68,39 +70,16 @@ def kept_rows(df: DataFrame, keys: list[str], order: list[Column], columns: list
     return in_groups(df, keys, order, work, df.schema)
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(intersections, areas of a, areas of b) of all pairs."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-    size = [np.maximum(x[:, 2] - x[:, 0], 0) * np.maximum(x[:, 3] - x[:, 1], 0) for x in (a, b)]
-    return np.maximum(w, 0) * np.maximum(h, 0), size[0], size[1]
-
-
-def iou_matrix(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
-    both, sa, sb = overlaps(a, b)
-    union = sa[:, None] + sb[None, :] - both
-    return both / (union + eps) if eps else np.divide(both, union, out=np.zeros_like(both), where=union > 0)
-
-
-def _pick(bad: np.ndarray) -> list[int]:
-    """Positions kept in order: one goes if it is ``bad`` with a kept one."""
-    kept: list[int] = []
-    free = np.ones(len(bad), dtype=bool)
-    for i in range(len(bad)):
-        if free[i]:
-            kept.append(i)
-            free &= ~bad[i]
-    return kept
-
-
 def nms(boxes: DataFrame, keys: list[str], threshold: float, keep_equal: bool = False, eps: float = 0.0, score: str = "score") -> DataFrame:
     """Boxes kept by descending score: one goes if its overlap with a kept one
-    reaches the threshold (with ``keep_equal``: exceeds it)."""
+    reaches the threshold (above 0; with ``keep_equal``: exceeds it)."""
+
+    def bad(a, b):
+        m = boxgrid.iou(a, b, eps)
+        return m > threshold if keep_equal else m >= threshold
 
     def choose(*xy):
-        box = np.stack(xy, axis=1).astype(float)
-        m = iou_matrix(box, box, eps)
-        return _pick(m > threshold if keep_equal else m >= threshold)
+        return boxgrid.pick(np.stack(xy, axis=1).astype(float), bad)
 
     return kept_rows(boxes, keys, [F.desc(score), F.asc("ord")], BOX, choose)
 
@@ -108,30 +87,17 @@ def nms(boxes: DataFrame, keys: list[str], threshold: float, keep_equal: bool =
 def contain_suppress(boxes: DataFrame, keys: list[str], contain: float = 0.8, overlap: float = 0.7) -> DataFrame:
     """Largest first; a box goes if more than ``contain`` of it lies in a kept one or they overlap by more than ``overlap``."""
 
+    def bad(a, b):
+        both, size, later = boxgrid.overlap(a, b)
+        return ((both / (later + 1e-6) > contain) | (both / (size + later - both + 1e-6) > overlap)) & (both > 0)
+
     def choose(*xy):
-        box = np.stack(xy, axis=1).astype(float)
-        both, size, _ = overlaps(box, box)
-        inside = both / (size[None, :] + 1e-6) > contain  # of the later one, by column
-        near = both / (size[:, None] + size[None, :] - both + 1e-6) > overlap
-        return _pick((inside | near) & (both > 0))
+        return boxgrid.pick(np.stack(xy, axis=1).astype(float), bad)
 
     largest = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     return kept_rows(boxes, keys, [largest.desc(), F.asc("ord")], BOX, choose)
 
 
-def greedy_pairs(overlap: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """One-to-one pairs by descending overlap down to the threshold; ties by row, then column."""
-    cand = np.argwhere(overlap >= threshold)
-    order = sorted(map(tuple, cand.tolist()), key=lambda ij: (-overlap[ij], ij))
-    used_i, used_j, out = set(), set(), []
-    for i, j in order:
-        if i not in used_i and j not in used_j:
-            used_i.add(i)
-            used_j.add(j)
-            out.append((i, j))
-    return out
-
-
 def match_counts(boxes: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
     """Per image the number of true (``is_truth``) and predicted boxes and of matches."""
     names = [key, "gt", "pred", "tp", "fp", "fn"]
@@ -141,7 +107,7 @@ def match_counts(boxes: DataFrame, key: str, threshold: float = 0.5) -> DataFram
         for a, b in zip(starts, [*starts[1:], len(pdf)]):
             t = truth[a:b]
             gt, pred = box[a:b][t], box[a:b][~t]
-            tp = len(greedy_pairs(iou_matrix(pred, gt, 1e-6), threshold)) if len(gt) and len(pred) else 0
+            tp = boxgrid.matched(pred, gt, threshold, 1e-6) if len(gt) and len(pred) else 0
             out.append((pdf[key].iat[a], len(gt), len(pred), tp, len(pred) - tp, len(gt) - tp))
         return pd.DataFrame(out, columns=names)
 
@@ -155,7 +121,7 @@ def override_merge(rows: DataFrame, key: str, same: float = 0.65, other: float =
 
     def choose(x1, y1, x2, y2, cls, manual):
         box = np.stack([x1, y1, x2, y2], axis=1).astype(float)
-        over = iou_matrix(box, box, 0.0)
+        over = boxgrid.iou(box[:, None], box[None, :], 0.0)
         have = [i for i in range(len(box)) if not manual[i]]
         for m in np.flatnonzero(manual.astype(bool)):
             if any(cls[i] == cls[m] and over[i, m] > same for i in have):
@@ -171,14 +137,9 @@ def text_anchors(rows: DataFrame, key: str, overlap: float = 0.35) -> DataFrame:
 
     def choose(x1, y1, x2, y2, anchor):
         box, anchor = np.stack([x1, y1, x2, y2], axis=1).astype(float), anchor.astype(bool)
-        over = iou_matrix(box, box, 0.0) > overlap
-        have = list(np.flatnonzero(~anchor))
-        kept = []
-        for i in np.flatnonzero(anchor):
-            if not over[i, have].any():
-                kept.append(int(i))
-                have.append(i)
-        return kept
+        order = np.concatenate([np.flatnonzero(~anchor), np.flatnonzero(anchor)])
+        labels = len(box) - int(anchor.sum())
+        return [int(order[i]) for i in boxgrid.pick(box[order], lambda a, b: boxgrid.iou(a, b, 0.0) > overlap, labels) if i >= labels]
 
     return kept_rows(rows, [key], [F.asc("ord")], [*BOX, "anchor"], choose)
 

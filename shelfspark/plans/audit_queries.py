@@ -338,20 +338,29 @@ def summary_with_total(spark, sf_dir):
     return reports.with_total(audit.totals(views.items(spark, sf_dir), CONF, ("video",)), "video", ["unique_skus", "candidate_objects"])
 
 
-def _table_sql(rows: str, columns: dict[str, str], order: str, title: str) -> str:
+def _table_sql(rows: str, columns: dict[str, str], order: str, title: str, section: int) -> str:
     line = "'| ' || " + " || ' | ' || ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns) + " || ' |'"
-    head = "| " + " | ".join(columns.values()) + " |\n|" + "---|" * len(columns) + "\n"
-    return f"(SELECT '## {title}\n\n' || CASE WHEN count(*) > 0 THEN '{head}' || string_agg({line}, '\n' ORDER BY {order}, {line}) ELSE 'None.' END FROM {rows})"
+    head = "| " + " | ".join(columns.values()) + " |"
+    fixed = [(-5, ""), (-4, f"## {title}"), (-3, "")]
+    arms = [f"SELECT {section}, {p}, '{t}'" for p, t in fixed]
+    arms += [f"SELECT {section}, {p}, '{t}' WHERE EXISTS (SELECT 1 FROM {rows})" for p, t in ((-2, head), (-1, "|" + "---|" * len(columns)))]
+    arms += [f"SELECT {section}, 0, 'None.' WHERE NOT EXISTS (SELECT 1 FROM {rows})", f"SELECT {section}, row_number() OVER (ORDER BY {order}, {line}), {line} FROM {rows}"]
+    return " UNION ALL ".join(arms)
 
 
-@query(
-    f"""WITH {views.ITEMS_SQL}, p AS ({_presence_sql()}), b AS ({_PARTIAL.format(k='')})
-SELECT '# Audit\n\n' || (SELECT '## Totals\n\n- unique_skus: ' || count(*) || '\n- unique_own_skus: ' || count(*) FILTER (WHERE is_own) FROM p) || (SELECT '\n- candidate_objects: ' || count(*) FROM items) || '\n\n' ||
-  {_table_sql('p', {"brand": "Brand", "model": "Model", "article_codes": "Article", "evidence_objects": "Objects"}, "coalesce(brand, ''), coalesce(model, ''), coalesce(article_codes, '')", "Products")} || '\n\n' ||
-  {_table_sql('b', {"brand": "Brand", "category": "Category", "evidence_objects": "Objects"}, "coalesce(brand, ''), coalesce(category, '')", "Partly read")} || '\n' AS text""".replace("\\n", "\n")
-)
+_REPORT = f"""WITH {views.ITEMS_SQL}, p AS ({_presence_sql()}), b AS ({_PARTIAL.format(k='')}),
+l(section, place, line) AS (
+  SELECT 0, -4, '# Audit' UNION ALL SELECT 1, -5, '' UNION ALL SELECT 1, -4, '## Totals' UNION ALL SELECT 1, -3, ''
+  UNION ALL SELECT 1, 1, '- unique_skus: ' || count(*) FROM p UNION ALL SELECT 1, 2, '- unique_own_skus: ' || count(*) FILTER (WHERE is_own) FROM p
+  UNION ALL SELECT 1, 3, '- candidate_objects: ' || count(*) FROM items
+  UNION ALL {_table_sql('p', {"brand": "Brand", "model": "Model", "article_codes": "Article", "evidence_objects": "Objects"}, "coalesce(brand, ''), coalesce(model, ''), coalesce(article_codes, '')", "Products", 2)}
+  UNION ALL {_table_sql('b', {"brand": "Brand", "category": "Category", "evidence_objects": "Objects"}, "coalesce(brand, ''), coalesce(category, '')", "Partly read", 3)})
+SELECT CAST(section AS INTEGER) AS section, CAST(place AS BIGINT) AS place, line FROM l"""
+
+
+@query(_REPORT)
 def audit_report(spark, sf_dir):
-    """The whole report of the flagship audit as one text."""
+    """The whole report of the flagship audit, line by line."""
     items = views.items(spark, sf_dir)
     presence = audit.sku_presence(items, CONF, with_ids=False)
     partial = audit.brand_category_presence(items)

@@ -338,8 +338,11 @@ def media_columns(spark, sf_dir):
 
 
 @query(
-    """SELECT '# Report' || chr(10) || chr(10) || '## Totals' || chr(10) || chr(10) || '- images: ' || (SELECT count(*) FROM documents) || chr(10) || '- sources: ' || (SELECT count(DISTINCT source) FROM documents) || chr(10) || chr(10) ||
-  (SELECT string_agg(lang || ': ' || n, chr(10) ORDER BY n DESC, lang) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)) || chr(10) AS text"""
+    """WITH l(section, place, line) AS (
+  SELECT 0, -4, '# Report' UNION ALL SELECT 1, -5, '' UNION ALL SELECT 1, -4, '## Totals' UNION ALL SELECT 1, -3, '' UNION ALL SELECT 2, -5, ''
+  UNION ALL SELECT 1, 1, '- images: ' || count(*) FROM documents UNION ALL SELECT 1, 2, '- sources: ' || count(DISTINCT source) FROM documents
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY n DESC, lang), lang || ': ' || n FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1))
+SELECT CAST(section AS INTEGER) AS section, CAST(place AS BIGINT) AS place, line FROM l"""
 )
 def job_text(spark, sf_dir):
     """A client's text: counters, then names by descending count."""
@@ -348,20 +351,24 @@ def job_text(spark, sf_dir):
     return reports.job_text(totals, ["images", "sources"], d.groupBy(F.col("lang").alias("value")).agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("SELECT 'path: ds' || chr(10) || 'train: images/train' || chr(10) || 'val: images/val' || chr(10) || 'names:' || chr(10) || string_agg('  ' || r_regionkey || ': ' || r_name || chr(10), '' ORDER BY r_regionkey) AS yaml, '/data/sets/ds' AS root FROM region")
+@query("SELECT CAST(row_number() OVER (ORDER BY p_type) - 1 AS BIGINT) AS class_id, p_type AS name, '/data/sets/ds' AS root FROM (SELECT DISTINCT p_type FROM part)")
 def data_yaml(spark, sf_dir):
-    """A dataset's description and the folder that it names; its classes are five."""
-    names = [r["r_name"] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
-    text = reports.data_yaml(names, "ds")
-    return spark.createDataFrame([(text, readers.dataset_root(text, "/data/sets"))], "yaml string, root string")
+    """A dataset's description with all types as classes, written, and read with the folder that it names."""
+    path = _at(spark, "data.yaml")
+    classes = numbered(table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct(), ["name"])
+    reports.write_document(reports.data_yaml(classes.select((F.col("n") - 1).alias("place"), "name"), "ds"), path)
+    return readers.data_yaml(spark, path, "/data/sets")
 
 
 @query("SELECT doc_id FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 400) WHERE lang = 'en' ORDER BY doc_id LIMIT 50")
 def scan_capped(spark, sf_dir):
-    """Wanted rows of a capped scan up to a target: both caps are the operator's."""
-    return datasets.scan_capped(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"], F.col("lang") == "en", 400, 50).select("doc_id")
-
-
+    """Wanted rows of a capped scan of files up to a target: both caps are the operator's."""
+    path = _at(spark, "scan")
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    d.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{path}/in")
+    reports.in_time_order(spark, f"{path}/in")
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return datasets.scan_files(stream, F.col("lang") == "en", 400, 50, path).select("doc_id")
 
 
 # --- crawls ------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import web
 from ..operators import catalog as C
-from ..operators import recognize
+from ..operators import folder, recognize
 from . import views
 from .registry import query, table
 
@@ -451,8 +451,8 @@ def stable_ids(spark, sf_dir):
 @query("SELECT source, 'report_' || substr(sha256(source || string_agg(lang || doc_id, '' ORDER BY lang || doc_id)), 1, 12) AS report_id FROM documents GROUP BY source")
 def report_digest(spark, sf_dir):
     """Digests of each source's documents as its listing."""
-    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_list(F.concat("lang", F.col("doc_id").cast("string"))).alias("paths"))
-    return d.select("source", X.report_digest("source", "paths").alias("report_id"))
+    listing = table(spark, sf_dir, "documents").select("source", F.concat("lang", F.col("doc_id").cast("string")).alias("path"))
+    return folder.report_digests(listing, "source", "path")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

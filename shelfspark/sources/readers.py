@@ -184,9 +184,13 @@ def reference_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("embedding", unit("embedding"))
 
 
-def dataset_root(text: str, at: str) -> str:
-    """The folder that a data.yaml in folder ``at`` names: its ``path``, below ``at`` unless absolute."""
-    found = [x.split(":", 1)[1].strip().strip("'\"") for x in text.splitlines() if x.startswith("path:")]
-    if not found or not found[0] or found[0] == ".":
-        return at
-    return found[0] if found[0].startswith("/") or "://" in found[0] else f"{at.rstrip('/')}/{found[0]}"
+def data_yaml(spark: SparkSession, path: str, at: str) -> DataFrame:
+    """(class_id, name, root) of a data.yaml in folder ``at``: the root is its ``path``, below ``at`` unless absolute."""
+    lines = spark.read.text(path)
+    given = F.trim(F.regexp_replace("value", r"^path:|['\"]", ""))
+    below = F.concat(F.lit(at.rstrip("/") + "/"), given)
+    root = F.when(given.isin("", "."), at).when(given.startswith("/") | given.contains("://"), given).otherwise(below)
+    named = lines.where(F.col("value").startswith("path:")).agg(F.coalesce(F.first(root), F.lit(at)).alias("root"))  # one row
+    entry = F.col("value").rlike(r"^  \d+: ")
+    classes = lines.where(entry).select(F.regexp_extract("value", r"^  (\d+): ", 1).cast("long").alias("class_id"), F.regexp_extract("value", r"^  \d+: (.*)$", 1).alias("name"))
+    return classes.crossJoin(F.broadcast(named))

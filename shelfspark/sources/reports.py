@@ -6,32 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.numbering import numbered
+
+
+#: Places of the lines above a section's rows.
+BLANK, TITLE, GAP, HEAD, RULE = -5, -4, -3, -2, -1
+
+
+def _lines(spark, lines: list[tuple[int, str]]) -> DataFrame:
+    return spark.createDataFrame(lines, "place long, line string")
 
 
 def markdown_table(rows: DataFrame, columns: dict[str, str], order: list, title: str, empty: str = "None.") -> DataFrame:
-    """One row ``text``: a titled table of a report, of ``columns`` (name to header)."""
+    """A titled table of a report, of ``columns`` (name to header), as lines
+    (``place``, ``line``); rows stay rows, numbered in ``order``."""
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]), F.lit(" |"))
-    head = "| " + " | ".join(columns.values()) + " |\n|" + "---|" * len(columns)
-    lines = F.sort_array(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("line"))))
-    body = F.array_join(F.transform(lines, lambda r: r["line"]), "\n")
-    filled = F.when(F.count(F.lit(1)) > 0, F.concat(F.lit(head + "\n"), body)).otherwise(empty)
-    return rows.agg(F.concat(F.lit(f"## {title}\n\n"), filled).alias("text"))
+    keys = [f"o{i}" for i in range(len(order))]
+    sorted_ = numbered(rows.select(*[o.alias(k) for o, k in zip(order, keys)], line.alias("line")), [*keys, "line"], "place")
+    head = _lines(rows.sparkSession, [(HEAD, "| " + " | ".join(columns.values()) + " |"), (RULE, "|" + "---|" * len(columns))])
+    some = sorted_.limit(1).select(F.lit(1).alias("one"))
+    heads = head.join(F.broadcast(some), how="left_semi", on=F.lit(True))
+    none = _lines(rows.sparkSession, [(0, empty)]).join(F.broadcast(some), how="left_anti", on=F.lit(True))
+    return _lines(rows.sparkSession, [(TITLE, f"## {title}"), (GAP, "")]).unionByName(heads).unionByName(none).unionByName(sorted_.select("place", "line"))
 
 
 def totals_lines(totals: DataFrame, names: list[str], title: str) -> DataFrame:
-    """One row ``text``: counters as a list."""
-    lines = [F.concat(F.lit(f"- {n}: "), F.col(n).cast("string")) for n in names]
-    return totals.select(F.concat(F.lit(f"## {title}\n\n"), F.concat_ws("\n", *lines)).alias("text"))
+    """Counters (of one row) as lines of a list."""
+    lines = F.array(*[F.concat(F.lit(f"- {n}: "), F.col(n).cast("string")) for n in names])
+    listed = totals.select(F.posexplode(lines).alias("place", "line")).select((F.col("place") + 1).cast("long").alias("place"), "line")
+    return _lines(totals.sparkSession, [(TITLE, f"## {title}"), (GAP, "")]).unionByName(listed)
 
 
 def document(title: str, sections: list[DataFrame]) -> DataFrame:
-    """Sections, each of one row, as one text."""
-    tagged = [s.select(F.lit(i).alias("i"), "text") for i, s in enumerate(sections)]
-    out = tagged[0]
-    for s in tagged[1:]:
-        out = out.unionByName(s)
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda r: r["text"])
-    return out.agg(F.concat(F.lit(f"# {title}\n\n"), F.array_join(texts, "\n\n"), F.lit("\n")).alias("text"))
+    """A report as lines: ``section``, ``place`` in it and ``line``."""
+    spark = sections[0].sparkSession
+    out = spark.createDataFrame([(0, TITLE, f"# {title}")], "section int, place long, line string")
+    for i, s in enumerate(sections, 1):
+        blank = _lines(spark, [(BLANK, "")])
+        out = out.unionByName(blank.unionByName(s).select(F.lit(i).alias("section"), "place", "line"))
+    return out
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """A report's lines as text files; the files by name, and lines within, are in order."""
+    lines.repartitionByRange("section", "place").sortWithinPartitions("section", "place").select("line").write.mode("overwrite").text(path)
 
 
 def with_total(rows: DataFrame, key: str, sums: list[str], label: str = "TOTAL") -> DataFrame:
@@ -50,11 +68,10 @@ def dimensions(width, height) -> Column:
 
 
 def job_text(totals: DataFrame, names: list[str], counts: DataFrame) -> DataFrame:
-    """A client's text: counters, then ``name: n`` by descending count."""
-    head = totals_lines(totals, names, "Totals")
-    lines = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "value", F.concat("value", F.lit(": "), F.col("n").cast("string")).alias("line"))))
-    body = counts.agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("text"))
-    return document("Report", [head, body])
+    """A client's text as lines: counters, then ``name: n`` by descending count."""
+    line = F.concat("value", F.lit(": "), F.col("n").cast("string")).alias("line")
+    listed = numbered(counts.select((-F.col("n")).alias("n"), "value", line), ["n", "value"], "place").select("place", "line")
+    return document("Report", [totals_lines(totals, names, "Totals"), listed])
 
 
 def label_tasks(boxes: DataFrame, key: str = "image_id") -> DataFrame:
@@ -101,12 +118,24 @@ def track_manifests(tracks: DataFrame, key: str = "video") -> DataFrame:
     return tracks.groupBy(key).agg(rows.alias("tracks")).select(key, F.to_json(F.struct(key, F.size("tracks").alias("kept_tracks"), "tracks")).alias("doc"))
 
 
-def data_yaml(classes: list[str], root: str = ".") -> str:
-    """The text of a dataset's data.yaml."""
-    names = "".join(f"  {i}: {c}\n" for i, c in enumerate(classes))
-    return f"path: {root}\ntrain: images/train\nval: images/val\nnames:\n{names}"
+def data_yaml(classes: DataFrame, root: str = ".") -> DataFrame:
+    """A dataset's data.yaml as lines (``section``, ``place``, ``line``): ``classes`` are ``place``, from 0, and ``name``."""
+    spark = classes.sparkSession
+    head = [(0, i, x) for i, x in enumerate([f"path: {root}", "train: images/train", "val: images/val", "names:"])]
+    named = classes.select(F.lit(1).alias("section"), F.col("place").cast("long").alias("place"), F.concat(F.lit("  "), F.col("place").cast("string"), F.lit(": "), "name").alias("line"))
+    return spark.createDataFrame(head, "section int, place long, line string").unionByName(named)
 
 
 def write_documents(df: DataFrame, doc: str, path: str) -> None:
     """One file for each row's text."""
     df.select(F.col(doc).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def in_time_order(spark, path: str) -> None:
+    """Give the files of a folder, in the order of their names, times a second apart: streams read files by time."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().toString() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    first = min((f.getModificationTime() for f in fs.listStatus(at)), default=0) - 1000 * len(names)
+    for i, name in enumerate(names):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(name), first + 1000 * i, -1)

@@ -8,7 +8,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import crawl
+from shelfspark.operators import crawl, datasets
+from shelfspark.sources import reports
 from shelfspark.sources.ledger import Ledger, write_batches
 from shelfspark.streaming import live
 from shelfspark.streaming import tracks as streamed
@@ -233,3 +234,25 @@ def test_late_rows_are_left_out_and_state_ends(spark, tmp_path):
     assert got == {(1, 3, 3), (2, 3, 502)}
     held = spark.read.format("statestore").option("path", f"{base}/ckpt").option("stateVarName", "sums").load()
     assert [r["key"]["video"] for r in held.select("key").collect()] == [""]  # only what made time go on
+
+
+# --- capped scans --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("scanned", "target", "files"), [(1000, 12, 3), (25, 100, 3), (1000, 1000, 10), (10, 5, 1)])
+def test_a_scan_leaves_files_unopened(spark, tmp_path, scanned, target, files):
+    rows = spark.range(100).selectExpr("id", "id % 2 = 0 AS even")
+    rows.repartitionByRange(10, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "in"))
+    reports.in_time_order(spark, str(tmp_path / "in"))
+    parts = sorted((tmp_path / "in").glob("part-*"))
+    times = [p.stat().st_mtime for p in parts]
+    import os
+
+    for p, t in list(zip(parts, times))[files:]:  # whoever opens them fails
+        p.write_bytes(b"broken")
+        os.utime(p, (t, t))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    want = [i for i in range(100)[:scanned] if i % 2 == 0][:target]
+    for _ in range(2):  # started again: nothing is read, nothing is added
+        got = datasets.scan_files(stream, F.col("even"), scanned, target, str(tmp_path / "scan"))
+        assert sorted(r["id"] for r in got.collect()) == want

@@ -130,8 +130,16 @@ def test_small_functions(spark):
     assert value(web.path_depth(F.lit("https://a.example/b/c/?q=/"))) == 3
     assert tuple(value(geometry.camera_roi(F.lit(100), F.lit(200)))) == (0, 36, 100, 120)
     assert tuple(value(geometry.camera_roi(F.lit(200), F.lit(100)))) == (0, 14, 200, 50)
-    root = reports.data_yaml(["a", "b"], "sets/x")
-    assert readers.dataset_root(root, "/d") == "/d/sets/x" and readers.dataset_root("path: /abs\n", "/d") == "/abs" and readers.dataset_root("", "/d") == "/d"
+
+
+def test_data_yaml_is_written_and_read(spark, tmp_path):
+    classes = spark.createDataFrame([(1, "b: c"), (0, "a")], "place long, name string")
+    for i, (given, root) in enumerate([("sets/x", "/d/sets/x"), ("/abs", "/abs"), (".", "/d"), ("s3://b/x", "s3://b/x")]):
+        at = str(tmp_path / str(i))
+        reports.write_document(reports.data_yaml(classes, given), at)
+        assert {tuple(r) for r in readers.data_yaml(spark, at, "/d").collect()} == {(0, "a", root), (1, "b: c", root)}
+    (tmp_path / "no").write_text("names:\n  0: a\n")
+    assert [tuple(r) for r in readers.data_yaml(spark, str(tmp_path / "no"), "/d").collect()] == [(0, "a", "/d")]
 
 
 def test_reference_index_needs_one_dimension(spark, tmp_path):

@@ -58,11 +58,17 @@ def test_confusions_are_applied_once(spark):
 
 def test_labels_and_digests(spark):
     row = spark.createDataFrame([("b", None, "", "s1", ["p2", "p1"])], "b string, m string, a string, s string, p array<string>")
-    got = row.select(X.model_label("b", "m", "a", "s").alias("l"), X.report_digest("b", "p").alias("d"), X.percent(F.lit(0.1234)).alias("p")).first()
+    got = row.select(X.model_label("b", "m", "a", "s").alias("l"), X.percent(F.lit(0.1234)).alias("p")).first()
     assert got["l"] == "b — (s1)" and got["p"] == "12.3%"
     import hashlib
 
-    assert got["d"] == "report_" + hashlib.sha256(b"bp1p2").hexdigest()[:12]
+    from shelfspark.operators import folder
+
+    paths = [(r, f"p{i}") for i in range(2000) for r in ("b", "c")] + [("b", None), ("d", ""), (None, "x")]
+    digests = folder.report_digests(spark.createDataFrame(paths, "root string, path string").repartition(5), "root", "path")
+    joined = "".join(sorted(f"p{i}" for i in range(2000)))
+    want = {r: "report_" + hashlib.sha256((r + t).encode()).hexdigest()[:12] for r, t in (("b", joined), ("c", joined), ("d", ""))}
+    assert {r["root"]: r["report_id"] for r in digests.collect()} == {**want, None: None}
 
 
 @pytest.fixture(scope="module")
@@ -163,9 +169,22 @@ def test_pages(spark):
 def test_job_and_report_texts(spark):
     counts = spark.createDataFrame([("b", 2), ("a", 5)], "value string, n long")
     totals = spark.createDataFrame([(3, 4)], "unique long, seen long")
-    text = reports.job_text(totals, ["unique", "seen"], counts).first()["text"]
-    assert text.index("unique: 3") < text.index("a: 5") < text.index("b: 2")
+    text = [r["line"] for r in reports.job_text(totals, ["unique", "seen"], counts).orderBy("section", "place").collect()]
+    assert text == ["# Report", "", "## Totals", "", "- unique: 3", "- seen: 4", "", "a: 5", "b: 2"]
     rows = spark.createDataFrame([("x", 1), ("y", None)], "k string, v long")
-    table = reports.markdown_table(rows, {"k": "K", "v": "V"}, [F.col("k")], "Title").first()["text"]
-    assert table == "## Title\n\n| K | V |\n|---|---|\n| x | 1 |\n| y | - |"
-    assert reports.markdown_table(rows.limit(0), {"k": "K"}, [F.col("k")], "T").first()["text"] == "## T\n\nNone."
+
+    def lines(df):
+        return [r["line"] for r in df.orderBy("place").collect()]
+
+    assert lines(reports.markdown_table(rows, {"k": "K", "v": "V"}, [F.col("k")], "Title")) == ["## Title", "", "| K | V |", "|---|---|", "| x | 1 |", "| y | - |"]
+    assert lines(reports.markdown_table(rows.limit(0), {"k": "K"}, [F.col("k")], "T")) == ["## T", "", "None."]
+
+
+def test_report_files_keep_the_order_of_lines(spark, tmp_path):
+    from shelfspark.sources import reports
+
+    rows = spark.range(5000).select(F.format_string("%05d", F.col("id")).alias("k")).repartition(7)
+    text = reports.document("R", [reports.markdown_table(rows, {"k": "K"}, [-F.col("k").cast("int")], "T")])
+    reports.write_document(text, str(tmp_path / "r"))
+    got = [x for f in sorted((tmp_path / "r").glob("part-*")) for x in f.read_text().splitlines()]
+    assert got == ["# R", "", "## T", "", "| K |", "|---|", *[f"| {i:05d} |" for i in reversed(range(5000))]]
