@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, text_blocks, texts_of
+from .common import by_place, id_text, place, text_blocks, texts_of
 from .tokenizing import Codec, WordCache, as_bytes, codec, default_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -247,8 +247,8 @@ def encode(
 ) -> DataFrame:
     """``id_col`` and ``ids`` (binary, little-endian unsigned 32-bit) of every row;
     with ``decoded`` also the text that the ids decode to, from the same pass."""
-    id_type = docs.schema[id_col].dataType
     rows = id_text(docs, id_col, text_col)
+    id_type = rows.schema["_id"].dataType
     names = ["_id", "ids", "decoded"] if decoded else ["_id", "ids"]
 
     def columns(file: str, ids: list[bytes]) -> list[pa.Array]:
@@ -303,8 +303,8 @@ def encode(
         rows.where(n > row_chars)
         # equal rows meet in one group, which gives as many rows back
         .withColumn("_doc", F.md5(F.concat_ws(":", F.col("_id").cast("string"), F.md5("_text"))))
-        .withColumn("_seq", F.explode(F.sequence(F.lit(0), F.ceil(n / row_chars).cast("int") - 1)))
-        .select("_doc", "_id", "_seq", F.substring("_text", F.col("_seq") * row_chars + 1, F.lit(row_chars)).alias("_text"))
+        # one pass cuts the text, however long it is
+        .select("_doc", "_id", F.posexplode(F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{row_chars}}}"), F.lit(0))).alias("_seq", "_text"))
         .repartition("_doc", "_seq")
         .mapInArrow(pieces, f"_doc string, _id {kind}, _seq int, _text string, ids binary, ends binary, cuts binary")
         .groupBy("_doc")
@@ -324,6 +324,6 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", pat
                 [batch.column("_id"), batch.column("ids"), pa.array(texts, pa.string())], ["_id", "ids", "decoded"]
             )
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    rows = encoded.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("ids"))
+    rows = by_place(encoded).select(F.col(place(encoded, id_col)).alias("_id"), F.col(place(encoded, ids_col)).alias("ids"))
+    kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"_id {kind}, ids binary, decoded string").withColumnRenamed("_id", id_col)

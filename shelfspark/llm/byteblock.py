@@ -10,7 +10,6 @@ import numpy as np
 #: Bytes of text in one block (a longer text is a block of its own).
 BLOCK = 1 << 19
 PRIME = 0x9E3779B97F4A7C15
-INVERSE = pow(PRIME, -1, 1 << 64)
 
 
 def lut(chars: bytes) -> np.ndarray:
@@ -24,20 +23,8 @@ SPACES = lut(b" \t\n\x0b\x0c\r")
 SYMBOLS = lut(b"#*$%&|<>")
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_TABLE: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_TABLE.get("p", ())) < n:
-        size = max(n, 2 * BLOCK)
-        _TABLE["p"], _TABLE["i"] = _powers(size, PRIME), _powers(size, INVERSE)
-    return _TABLE["p"][:n], _TABLE["i"]
+#: Keep the first 0 to 8 bytes of a little-endian word.
+FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,14 +78,53 @@ class Block:
         return np.repeat(np.arange(self.n), self.n_words)
 
     @cached_property
-    def _prefix(self) -> np.ndarray:
-        p, _ = powers(len(self.data))
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * p, dtype=np.uint64)])
+    def _eight(self) -> np.ndarray:
+        """The eight bytes from each place on as one number (after the end: zeros)."""
+        out = self.data.astype(np.uint64)
+        for k in (1, 2, 4):
+            out[:-k] |= out[k:] << np.uint64(8 * k)
+        return out
+
+    def _chunks(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte ranges in pieces of eight: range and number of each piece, and its bytes."""
+        count = (end - start + 7) // 8
+        who = np.repeat(np.arange(len(start)), count)
+        k = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+        at = start[who] + 8 * k
+        return who, k, self._eight[at] & FIRST[np.minimum(end[who] - at, 8)]
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte ranges, the same wherever a range stands."""
-        _, inverse = powers(len(self.data))
-        return mix((self._prefix[end] - self._prefix[start]) * inverse[start])
+        """64-bit hashes of byte ranges, the same wherever a range stands: each piece
+        is mixed by itself, so sums over places cannot cancel as in a polynomial."""
+        who, k, piece = self._chunks(start, end)
+        mixed = mix(mix(piece) + (k.astype(np.uint64) + np.uint64(1)) * np.uint64(PRIME))
+        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+        edge = np.searchsorted(who, np.arange(len(start) + 1))
+        return mix(c[edge[1:]] - c[edge[:-1]] + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+    def same_bytes(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether ranges (starts, ends) equal those of ``b`` byte by byte."""
+        out = a[1] - a[0] == b[1] - b[0]
+        some = np.flatnonzero(out)
+        who, _, left = self._chunks(a[0][some], a[1][some])
+        right = self._chunks(b[0][some], b[1][some])[2]
+        out[some[who[left != right]]] = False
+        return out
+
+    def numbers(self, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Equal numbers for byte ranges that are equal, and only for those: what
+        hashes alike is compared, and if two differ all are numbered by their bytes."""
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order[1:]] == hashes[order[:-1]]
+        one, two = order[:-1][same], order[1:][same]
+        out = np.empty(len(order), np.int64)
+        if self.same_bytes((start[one], end[one]), (start[two], end[two])).all():
+            out[order] = np.cumsum(np.concatenate([[0], ~same])) if len(order) else 0
+            return out
+        seen: dict[bytes, int] = {}
+        for i, (x, y) in enumerate(zip(start.tolist(), end.tolist())):
+            out[i] = seen.setdefault(self.data[x:y].tobytes(), len(seen))
+        return out
 
     @cached_property
     def word_hash(self) -> np.ndarray:
@@ -132,9 +158,17 @@ class Block:
         return start, end, np.searchsorted(self.starts, start, side="right") - 1
 
     def repeated_words(self, n: int = 5) -> np.ndarray:
-        """Words of each text that lie in a run of ``n`` words found twice in it."""
+        """Words of each text that lie in a run of ``n`` words found twice in it;
+        runs count as equal by their words' bytes, not by a hash."""
         keys, first = self.grams(n)
-        order, same = self.repeats(keys, self.word_text[first])
+        text = self.word_text[first]
+        order, same = self.repeats(keys, text)
+        if same.any():
+            word = self.numbers(*self.words, self.word_hash)
+            runs = np.stack([text, *(word[first + k] for k in range(n))], axis=1)
+            if not (runs[order[1:]] == runs[order[:-1]]).all(axis=1)[same[1:]].all():
+                order = np.lexsort(runs.T)
+                same = np.concatenate([[False], (runs[order[1:]] == runs[order[:-1]]).all(axis=1)])
         twice = same.copy()
         twice[:-1] |= same[1:]
         hit = first[order[twice]]
@@ -146,13 +180,15 @@ class Block:
         return c[self.word_at[1:]] - c[self.word_at[:-1]]
 
     def duplicate_lines(self) -> np.ndarray:
-        """Lines of each text that hold a word and equal an earlier line of it."""
+        """Lines of each text that hold a word and equal an earlier line of it, byte by byte."""
         start, end, text = self.lines
         filled = np.concatenate([[0], np.cumsum(~self.space)])
         keep = filled[end] > filled[start]
         start, end, text = start[keep], end[keep], text[keep]
-        order, same = self.repeats(self.hashes(start, end), text)
-        return np.bincount(text[order[same]], minlength=self.n)
+        line = self.numbers(start, end, self.hashes(start, end))
+        order = np.lexsort((line, text))
+        again = (line[order[1:]] == line[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+        return np.bincount(text[order[1:]][again], minlength=self.n)
 
     def code_points(self) -> np.ndarray:
         """Whether each byte begins a character."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_place, id_text, place
+
 #: Remainder of crc32(doc_id as text) by 3 that marks a held-out document.
 FOLDS, HELD_OUT = 3, 1
 
@@ -18,18 +20,18 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, seed: str, id_col="doc
     """At most ``most`` labelled rows that are not held out, the first by a hash
     of their id: ``_id``, ``_text``, ``_label``, and ``_fold`` from 0 to 3.
 
-    Ids with several labels take the smallest, repeated documents the first text.
+    Ids with several labels take the smallest, repeated documents the smallest text.
     """
-    label = F.col(label_col).cast("double")
+    named = by_place(labels).select(F.col(place(labels, id_col)).alias("_id"), F.col(place(labels, label_col)).cast("double").alias("_label"))
     ids = (
-        labels.where(F.col(id_col).isNotNull() & label.isin(0.0, 1.0) & ~held_out(id_col))
-        .groupBy(F.col(id_col).alias("_id"))
-        .agg(F.min(label).alias("_label"))
+        named.where(F.col("_id").isNotNull() & F.col("_label").isin(0.0, 1.0) & ~held_out("_id"))
+        .groupBy("_id")
+        .agg(F.min("_label").alias("_label"))
         .withColumn("_order", F.xxhash64(F.lit(seed), F.col("_id").cast("string")))
         .orderBy("_order", "_id")
         .limit(most)
         .withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed + "fold"), F.col("_id").cast("string")), F.lit(4)).cast("int"))
     )
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     # the sample has ``most`` rows of ids at most, which bounds what is broadcast
-    return texts.join(F.broadcast(ids.drop("_order")), "_id").dropDuplicates(["_id"])
+    found = id_text(docs, id_col, text_col).join(F.broadcast(ids.drop("_order")), "_id")
+    return found.groupBy("_id", "_label", "_fold").agg(F.min("_text").alias("_text")).select("_id", "_text", "_label", "_fold")

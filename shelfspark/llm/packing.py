@@ -8,8 +8,9 @@ more, one piece is cut so that its head fills the bin exactly.  Texts longer
 than a sequence first give whole sequences of their own.
 
 Each task packs the rows it reads, through a pool of bounded size, so nothing is
-shuffled and memory does not depend on the input.  The last bin of a task, which
-alone is not full, is split into powers of two, which need no padding.
+shuffled and memory does not depend on the input.  The last bin of a task is split
+into powers of two, which need no padding; so is, for plain documents, a bin that
+the limit of segments closes before it is full.
 
 Defined results: null text is the empty text (its document is the end mark
 alone); repeated rows are packed each; an empty table gives no rows; other
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text, text_blocks
+from .common import by_place, id_text, place, text_blocks
 from .tokenizing import as_bytes, default_path, encode_bytes
 
 VOCABULARY = "word_bpe_49k.json"
@@ -77,6 +78,7 @@ class Packer:
     max_segments: int = MAX_SEGMENTS
     max_loss: int = MAX_LOSS
     pool: int = POOL
+    powers: bool = False  # what other limits keep from filling a bin goes out as powers of two
     waiting: list[Piece] = field(default_factory=list)
 
     def add(self, piece: Piece):
@@ -126,28 +128,32 @@ class Packer:
                     pieces[i] = rest
                     size[i] = len(rest), 1, rest.n_loss
                     demand[i] = size[i] / cap
-            yield bin_
+            yield from self.in_powers(bin_) if self.powers else [bin_]
         self.waiting = [p for p, f in zip(pieces, free) if f]
 
+    def in_powers(self, bin_: list[Piece]):
+        """A full bin as it is, another one as parts whose tokens are powers of two."""
+        queue, total = list(bin_), sum(map(len, bin_))
+        if total == self.max_tokens:
+            yield bin_
+            return
+        while total:
+            want = 1 << (total.bit_length() - 1)
+            total -= want
+            part = []
+            while want:
+                p = queue.pop(0)
+                if len(p) > want:
+                    p, rest = p.cut(want)
+                    queue.insert(0, rest)
+                part.append(p)
+                want -= len(p)
+            yield part
+
     def finish(self):
         """Pack what waits; the one sequence that is not full goes out as powers of two."""
         for bin_ in self.pack(0):
-            if sum(map(len, bin_)) == self.max_tokens:
-                yield bin_
-                continue
-            queue, total = list(bin_), sum(map(len, bin_))
-            while total:
-                want = 1 << (total.bit_length() - 1)
-                total -= want
-                part = []
-                while want:
-                    p = queue.pop(0)
-                    if len(p) > want:
-                        p, rest = p.cut(want)
-                        queue.insert(0, rest)
-                    part.append(p)
-                    want -= len(p)
-                yield part
+            yield from self.in_powers(bin_)
 
 
 SCHEMA = (
@@ -183,7 +189,7 @@ def _batch(cols, id_type) -> pa.RecordBatch:
 def pack_examples(examples: DataFrame, pieces_of, columns: list[str], id_col: str, **limits) -> DataFrame:
     """Pack what ``pieces_of(batch)`` makes of each Arrow batch of ``columns``.
 
-    ``limits``: ``max_tokens``, ``max_segments``, ``max_loss``, ``pool``.
+    ``limits``: ``max_tokens``, ``max_segments``, ``max_loss``, ``pool``, ``powers``.
     Sequence ids are unique, not consecutive: task number times 2**32, counted on.
     """
     kind = examples.schema[id_col].dataType.simpleString()
@@ -230,7 +236,7 @@ def pack_documents(
                 ids = encode_bytes(file, text) + end
                 yield Piece(doc, 0, ids, len(ids) // 4)
 
-    out = pack_examples(id_text(docs, id_col, text_col), pieces, ["_id", "_text"], "_id", **limits)
+    out = pack_examples(id_text(docs, id_col, text_col), pieces, ["_id", "_text"], "_id", powers=True, **limits)
     return out.withColumnRenamed("_id", id_col)
 
 
@@ -250,20 +256,9 @@ def pack_conversations(
     from pyspark.sql import functions as F
 
     end = as_bytes([end_id])
-    examples = (
-        turns.groupBy(F.col(conv_col).alias("_id"))
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        F.col(turn_col).alias("n"),
-                        F.coalesce(F.col(role_col), F.lit("")).alias("role"),
-                        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                    )
-                )
-            ).alias("turns")
-        )
-    )
+    conv, turn, role, text = (F.col(place(turns, c)) for c in (conv_col, turn_col, role_col, text_col))
+    said = F.struct(turn.alias("n"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    examples = by_place(turns).groupBy(conv.alias("_id")).agg(F.sort_array(F.collect_list(said)).alias("turns"))
 
     def pieces(batch):
         file = path or default_path(VOCABULARY)

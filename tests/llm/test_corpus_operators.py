@@ -268,10 +268,18 @@ def plain_mix(h):
     return h ^ (h >> 33)
 
 
+def plain_hash(word):
+    """Pieces of eight bytes, each mixed by itself and with its number, and the length."""
+    h = len(word) * 0xD1B54A32D192ED03
+    for k in range(0, len(word), 8):
+        h += plain_mix((plain_mix(int.from_bytes(word[k : k + 8], "little")) + (k // 8 + 1) * byteblock.PRIME) & M64)
+    return plain_mix(h & M64)
+
+
 def plain_slots(text):
     """Slots of word runs of one and two and of byte runs of three and four."""
     data = text.encode()
-    words = [plain_mix(sum((c + 1) * pow(byteblock.PRIME, i, 1 << 64) for i, c in enumerate(w)) & M64) for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    words = [plain_hash(w) for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
     for n in (1, 2):
         for i in range(len(words) - n + 1):
             h = 0
@@ -527,3 +535,45 @@ def test_pipeline_stages(spark, small):
             assert all(before[i] == t for i, t in after.items())
     tokens = Counter({r["doc_id"]: r["doc_tokens"] for r in got})  # pieces differ with the partitions, documents do not
     assert Counter({r["doc_id"]: r["doc_tokens"] for r in collect(corpus_pipeline.run(spark, small))}) == tokens
+
+
+def thue_morse(n):
+    """A word over a and b and its complement, which many hashes cannot tell apart."""
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_cancel_in_polynomials_are_told_apart(spark, n):
+    a, b = thue_morse(n)
+    texts = [f"{a}\n{b}", " ".join([a] * 5 + [b] * 5), f"{a}\n{a}\n{b}", " ".join([b] * 10)]
+    blk = Block(texts)
+    assert blk.duplicate_lines().tolist() == [0, 0, 1, 0]
+    assert blk.repeated_words().tolist() == [0, 0, 0, 10]
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}")], "doc_id long, text string")
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in collect(jaccard_join.jaccard_classes(docs))} == {(i, i, 0) for i in (1, 2, 3, 4)}
+
+
+def test_counts_stay_right_when_all_hashes_are_alike(monkeypatch):
+    texts = ["a b c d e f a b c d e", "x\ny\nx\n\nx", "one two three four five six seven", "", "a b c d e"]
+    want = Block(texts).repeated_words().tolist(), Block(texts).duplicate_lines().tolist()
+    assert want == ([10, 0, 0, 0, 0], [0, 2, 0, 0, 0])
+    monkeypatch.setattr(Block, "hashes", lambda self, start, end: np.zeros(len(start), np.uint64))
+    assert (Block(texts).repeated_words().tolist(), Block(texts).duplicate_lines().tolist()) == want
+
+
+def test_fits_with_clashing_names_repeated_ids_and_any_partitions(spark):
+    rng = random.Random(6)
+    good, bad = "the people of the town met in the hall and spoke".split(), "$$ ## buy now click % free *** win".split()
+    data = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randint(20, 60)))) for i in range(120)]
+    data += [(i, f"another text of the same id {i}") for i in range(0, 120, 3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "`a.b` long, quality int").select("*", F.lit("x").alias("QUALITY"), F.lit(3).alias("_id"))
+    docs = spark.createDataFrame(data, "`a.b` long, text string").select("*", F.lit(1).alias("A.B"), F.lit("t").alias("TEXT"), F.lit(0).alias("quality"), F.lit(9).alias("_label"))
+    for module, score in ((quality_classifier, quality_classifier.score_quality), (quality_rules, quality_rules.apply_rules)):
+        found = []
+        for parts in (1, 7):
+            model = module.fit(docs.repartition(parts), labels.repartition(parts), id_col="a.b")
+            out = score(docs, model, id_col="a.b")
+            found.append(sorted((r["a.b"], r["score" if "score" in r else "probability"]) for r in collect(out)))
+        assert [x for x, _ in found[0]] == [x for x, _ in found[1]]
+        assert np.allclose([y for _, y in found[0]], [y for _, y in found[1]], atol=1e-6)

@@ -602,3 +602,58 @@ def test_filters_and_redaction_pass_on_any_column(spark):
         assert out.columns == df.columns
         got = out.collect()
         assert got and all(tuple(r)[3:] == tuple(NAMES) for r in got)
+
+
+# --- 4: what is padded and what is picked ------------------------------------------
+
+
+def test_many_tiny_documents_need_no_padding(spark):
+    docs = spark.createDataFrame([(i, "ab " * (1 + i % 2)) for i in range(3000)], "doc_id long, text string").repartition(2)
+    got = collect(packing.pack_documents(docs))
+    total = Counter()
+    for r in got:
+        total[r["sequence_id"]] += r["length"]
+    assert sum(2048 - n for n in total.values() if n & (n - 1)) == 0
+    segments = Counter(r["sequence_id"] for r in got)
+    assert max(segments.values()) <= packing.MAX_SEGMENTS and sum(total.values()) == sum(r["length"] for r in got)
+
+
+def test_the_piece_with_the_largest_dot_product_goes_in():
+    def piece(i, n, loss):
+        return packing.Piece(i, 0, tokenizing.as_bytes(range(n)), n, np.concatenate([[0], np.cumsum(np.arange(n) < loss)]))
+
+    p = packing.Packer(max_tokens=100, max_segments=10, max_loss=100, pool=100)
+    for i, (n, loss) in enumerate([(60, 10), (50, 50), (40, 40), (30, 0)]):
+        list(p.add(piece(i, n, loss)))
+    cap, size = np.array([100.0, 10, 100]), np.array([[60.0, 1, 10], [50, 1, 50], [40, 1, 40], [30, 1, 0]])
+    room, left, order = cap.copy(), [0, 1, 2, 3], []
+    weight = (size / cap).mean(axis=0)
+    while fits := [i for i in left if (size[i] <= room).all()]:  # by hand, one bin
+        best = max(fits, key=lambda i: (float((size[i] / cap) @ (weight * room / cap)), -i))
+        order.append(best)
+        left.remove(best)
+        room -= size[best]
+    assert [x.doc for x in next(p.pack(0))][: len(order)] == order and len(order) > 1
+
+
+def test_conversations_and_codes_with_clashing_names(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "there")], "`a.b` long, turn long, role string, text string")
+    turns = turns.select("*", F.lit(7).alias("A.B"), F.lit("x").alias("TEXT"), F.lit("x").alias("_id"), F.lit(1).alias("turns"))
+    got = collect(packing.pack_conversations(turns, conv_col="a.b"))
+    assert {r["a.b"] for r in got} == {1} and sum(r["n_loss"] for r in got) > 0
+    coded = bpe_tree.encode(spark.createDataFrame([(1, "one two"), (2, None)], "`a.b` long, text string"), id_col="a.b")
+    coded = coded.select("*", F.lit("x").alias("IDS"), F.lit("x").alias("A.B"))
+    assert {(r["a.b"], r["decoded"]) for r in collect(bpe_tree.decode(coded, id_col="a.b"))} == {(1, "one two"), (2, "")}
+
+
+def test_a_text_of_any_length_is_cut_in_one_pass(spark):
+    from time import perf_counter
+
+    took = []
+    for chars in (4 << 20, 16 << 20):
+        df = spark.range(1).select(F.repeat(F.lit("word 𝔘é"), chars // 7).alias("_text"))
+        cut = df.select(F.posexplode(F.regexp_extract_all("_text", F.lit("(?s).{1,32768}"), F.lit(0))).alias("n", "t"))
+        start = perf_counter()
+        assert cut.agg(F.sum(F.char_length("t"))).first()[0] == chars // 7 * 7
+        took.append(perf_counter() - start)
+    assert took[1] < 10 * took[0] + 1
