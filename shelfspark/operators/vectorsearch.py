@@ -317,7 +317,7 @@ def _head(key, block):
     centre = np.zeros(len(centre)) if odd else centre / size
     radius = 0.0 if odd else float(np.arccos(np.clip(m @ centre, -1, 1)).max())
     low, high = pc.min(block.column("last")).as_py(), pc.max(block.column("first")).as_py()
-    columns = [pa.array([x.as_py()]) for x in key] + [pa.array([centre]), pa.array([radius]), pa.array([odd]), pa.array([float(low)]), pa.array([float(high)])]
+    columns = [pa.array([x.as_py()], x.type) for x in key] + [pa.array([centre]), pa.array([radius]), pa.array([odd]), pa.array([float(low)]), pa.array([float(high)])]
     return pa.table(columns, names=["k", *HEAD.names])
 
 

@@ -105,6 +105,15 @@ def test_repass_in_blocks_equals_all_pairs(spark, monkeypatch, similarity):
         assert n > 10 and met.count() < n * (n - 1) / 2 / 2
 
 
+def test_repass_keeps_the_kind_of_a_video(spark, monkeypatch):
+    monkeypatch.setattr(vectorsearch, "BLOCK_TRACKS", 8)
+    vectors = clustered(60, 4, dims=4)
+    rows = [(i % 2, i, (i * 37) % 500, (i * 37) % 500 + 5, v) for i, v in enumerate(vectors)]
+    t = spark.createDataFrame(rows, "video int, ord int, first int, last int, v array<float>")
+    got = vectorsearch.repass_edges(t, "video", 0.9, 12)
+    assert [k for _, k in got.dtypes[:3]] == ["int"] * 3 and got.count() > 100
+
+
 def test_repass_of_nothing(spark):
     t = spark.createDataFrame([], "video string, ord long, first long, last long, v array<double>")
     assert vectorsearch.repass_edges(t, "video").collect() == []
