@@ -67,8 +67,8 @@ def _nearest(queries: DataFrame, index: DataFrame, most: int) -> DataFrame:
     held = dealt.join(small, "cluster").select((F.col("base") + F.pmod(F.xxhash64("row_id"), F.col("shards"))).cast("int").alias("shard"), "row_id", "product_key", "v")
 
     def visit(plan: DataFrame) -> DataFrame:
-        at = plan.select("query_id", "v", F.explode("clusters").alias("cluster")).join(small, "cluster")
-        at = at.select("query_id", "v", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("shards") - 1)).alias("shard"))
+        at = plan.select("query_id", "v", "kth", F.explode("clusters").alias("cluster")).join(small, "cluster")
+        at = at.select("query_id", "v", "kth", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("shards") - 1)).alias("shard"))
         return _scores(held, at, int(base[-1]), most)
 
     first = written(visit(_visits(asked.withColumn("kth", F.lit(None).cast("double")), centres, spans, most, False)))
@@ -149,18 +149,20 @@ def _visits(asked: DataFrame, centres: np.ndarray, spans: list[tuple], most: int
                     chosen = early
                 count = chosen.sum(axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(number[np.nonzero(chosen)[1]], pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("v"), lists], ["query_id", "v", "clusters"])
+                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("v"), part.column("kth"), lists], ["query_id", "v", "kth", "clusters"])
 
-    schema = StructType([asked.schema["query_id"], asked.schema["v"], StructField("clusters", ArrayType(IntegerType()))])
+    schema = StructType([asked.schema["query_id"], asked.schema["v"], asked.schema["kth"], StructField("clusters", ArrayType(IntegerType()))])
     return asked.mapInArrow(plan, schema)
 
 
 def _scores(rows: DataFrame, asked: DataFrame, shards: int, most: int) -> DataFrame:
-    """Each query's ``most`` nearest rows of every ``shard`` that it asks; a task
-    holds one shard and the queries pass it in blocks of ``QUERY_ROWS``."""
+    """Each query's ``most`` nearest rows of every ``shard`` that it asks, without
+    those below its ``kth`` score where that is known; a task holds one shard and the
+    queries pass it in blocks of ``QUERY_ROWS``."""
     row_kind, key_kind, query_kind = rows.schema["row_id"].dataType, rows.schema["product_key"].dataType, asked.schema["query_id"].dataType
-    rows = rows.select("shard", F.lit(False).alias("asks"), F.lit(None).cast(query_kind).alias("query_id"), "row_id", "product_key", "v")
-    asked = asked.select("shard", F.lit(True).alias("asks"), "query_id", F.lit(None).cast(row_kind).alias("row_id"), F.lit(None).cast(key_kind).alias("product_key"), "v")
+    none = F.lit(None).cast("double").alias("kth")
+    rows = rows.select("shard", F.lit(False).alias("asks"), F.lit(None).cast(query_kind).alias("query_id"), "row_id", "product_key", "v", none)
+    asked = asked.select("shard", F.lit(True).alias("asks"), "query_id", F.lit(None).cast(row_kind).alias("row_id"), F.lit(None).cast(key_kind).alias("product_key"), "v", "kth" if "kth" in asked.columns else none)
 
     def search(it):
         at, held, shard = None, [], None
@@ -181,6 +183,9 @@ def _scores(rows: DataFrame, asked: DataFrame, shards: int, most: int) -> DataFr
                     for c in range(0, len(part), QUERY_ROWS):
                         block = part.slice(c, QUERY_ROWS)
                         i, j, score = _best(_matrix(block.column("v")), shard[1], most)
+                        least = block.column("kth").take(pa.array(i))
+                        can = pc.or_(pc.or_kleene(pc.is_null(least), pc.fill_null(pc.is_nan(score), False)), pc.fill_null(pc.greater_equal(score, pc.subtract(least, SLACK)), False))
+                        i, j, score = i[can.to_numpy(zero_copy_only=False)], j[can.to_numpy(zero_copy_only=False)], score.filter(can)
                         ids = shard[0].take(pa.array(j))
                         columns = [block.column("query_id").take(pa.array(i)), *(x.combine_chunks() for x in ids.columns), score]
                         yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in columns], ["query_id", "row_id", "product_key", "score"])
