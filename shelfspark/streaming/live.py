@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import asdict, dataclass, field
-from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,128 +22,42 @@ from ..functions.pixels import motion_udf
 from ..functions.vectors import feedback_rank
 from ..operators.tracks import cell_state
 from ..sources.ledger import Ledger, write_batches
+from .tracker import BOX, CAPTURE_AT, SMOOTH_BOX, LiveTracker, replay, whole_frames
 
 JOB_OUT = "job_id string, sku_status string, sku_report string, note string"
-#: Matching, capture, expiry and smoothing of live tracks.
-MATCH_IOU, MATCH_LOOK = 0.28, 0.62
-CAPTURE_AT, DROP_AFTER, DROP_CAPTURED_AFTER, MOST_TRACKS = 8, 40, 600, 240
-SMOOTH_BOX, SMOOTH_LOOK = 0.35, 0.25
 #: Age and number of feedback candidates, and how old the best may be.
 FEEDBACK_MS, FEEDBACK_MOST, FEEDBACK_RECENT_MS = 8000, 24, 1400
 
-
-def iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    both = w * h
-    sizes = [max(0.0, x[2] - x[0]) * max(0.0, x[3] - x[1]) for x in (a, b)]
-    return both / (sum(sizes) - both + 1e-6)
-
-
-def look(a, b) -> float:
-    return sum(x * y for x, y in zip(a, b)) if a and b and len(a) == len(b) else 0.0
-
-
-@dataclass
-class LiveTrack:
-    id: int
-    box: list
-    look: list | None = None
-    good: int = 0
-    missed: int = 0
-    captured: bool = False
-    seen: bool = False
-    best: float = 0.0
-
-    def take(self, d: dict) -> None:
-        near = iou(self.box, d["box"]) >= MATCH_IOU
-        self.box = [p * (1 - SMOOTH_BOX) + n * SMOOTH_BOX for p, n in zip(self.box, d["box"])] if near else list(d["box"])
-        self.seen, self.missed, self.best = True, 0, max(self.best, d["conf"])
-        if not self.captured and d["signature"]:
-            self.look = self._blend(d["signature"])
-        self.good = self.good + 1 if d["recognized"] else max(0, self.good - 1)
-        self.captured = self.captured or self.good >= CAPTURE_AT
-
-    def _blend(self, new: list) -> list:
-        if not self.look:
-            return list(new)
-        out = [p * (1 - SMOOTH_LOOK) + n * SMOOTH_LOOK for p, n in zip(self.look, new)]
-        size = math.sqrt(sum(x * x for x in out))
-        return [x / size for x in out] if size > 1e-6 else out
-
-
-@dataclass
-class LiveTracker:
-    tracks: list[LiveTrack] = field(default_factory=list)
-    next_id: int = 1
-
-    def frame(self, dets: list[dict]) -> tuple[list[tuple[int, bool]], dict]:
-        """(track and visibility of each detection, counters) of one frame."""
-        for t in self.tracks:
-            t.seen, t.missed = False, t.missed + 1
-        pairs = []
-        for i, d in enumerate(dets):
-            for j, t in enumerate(self.tracks):
-                if (over := iou(t.box, d["box"])) >= MATCH_IOU:
-                    pairs.append((-(1 + over), i, j))
-                elif (alike := look(t.look, d["signature"])) >= MATCH_LOOK:
-                    pairs.append((-alike, i, j))
-        owner: dict[int, LiveTrack] = {}
-        taken: set[int] = set()
-        for _, i, j in sorted(pairs):
-            if i not in owner and j not in taken:
-                owner[i] = self.tracks[j]
-                taken.add(j)
-        for i, d in enumerate(dets):
-            if i not in owner:
-                owner[i] = LiveTrack(self.next_id, list(d["box"]))
-                self.next_id += 1
-                self.tracks.append(owner[i])
-            owner[i].take(d)
-        self.tracks = [t for t in self.tracks if t.missed <= (DROP_CAPTURED_AFTER if t.captured else DROP_AFTER)]
-        if (extra := len(self.tracks) - MOST_TRACKS) > 0:
-            gone = [t for t in sorted(self.tracks, key=lambda t: -t.missed) if not t.captured][:extra]
-            self.tracks = [t for t in self.tracks if not any(t is g for g in gone)]
-        counts = {
-            "n_visible": sum(not owner[i].captured for i in range(len(dets))),
-            "n_captured": sum(t.captured for t in self.tracks),
-            "n_retake": sum(t.seen and not t.captured for t in self.tracks),
-            "n_tracked": len(self.tracks),
-        }
-        return [(owner[i].id, not owner[i].captured) for i in range(len(dets))], counts
-
-    def dump(self) -> str:
-        return json.dumps({"next": self.next_id, "tracks": [asdict(t) for t in self.tracks]})
-
-    @classmethod
-    def load(cls, text: str) -> LiveTracker:
-        data = json.loads(text)
-        return cls([LiveTrack(**t) for t in data["tracks"]], data["next"])
-
-
 FRAME_OUT = "session_id string, seq long, n_detections long, n_visible long, n_captured long, n_retake long, n_tracked long"
+FRAME_ARROW = pa.schema([("session_id", pa.string()), *[(c.split()[0], pa.int64()) for c in FRAME_OUT.split(", ")[1:]]])
+FRAME_NAMES = FRAME_ARROW.names
 
 
-def _frames(tracker: LiveTracker, g: pd.DataFrame):
-    g = g.sort_values(["seq", "ord"], kind="stable")
-    for seq, rows in groupby(g.itertuples(index=False), key=lambda r: r.seq):
-        dets = [
-            {"box": [float(r.x1), float(r.y1), float(r.x2), float(r.y2)], "conf": float(r.conf), "recognized": bool(r.recognized), "signature": None if r.signature is None else [float(x) for x in r.signature]}
-            for r in rows
-            if r.ord is not None and r.ord >= 0
-        ]
-        _, counts = tracker.frame(dets)
-        yield {"session_id": g["session_id"].iloc[0], "seq": int(seq), "n_detections": len(dets), **counts}
+def _seen(detections: DataFrame, *more: str | None) -> DataFrame:
+    """Just what the tracker reads, a frame's rows of one kind of number; rows without a frame are left out."""
+    numbers = [F.col(c).cast("double").alias(c) for c in (*BOX, "conf")]
+    keys = [F.col("session_id").cast("string").alias("session_id"), *[F.col(c).cast("long").alias(c) for c in ("seq", "ord")]]
+    return detections.where("seq is not null").select(*keys, *numbers, "recognized", "signature", *filter(None, more))
 
 
 def track_batch(detections: DataFrame) -> DataFrame:
-    """Counters of each frame; a row of negative ``ord`` stands for a frame without detections."""
+    """Counters of each frame; a row of negative or null ``ord`` stands for a frame without detections.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_frames(LiveTracker(), g)))
+    Sessions are dealt out and sorted; frames stream past one tracker, so a task holds
+    the tracks of one session and a batch of rows, however long the session is."""
 
-    return detections.groupBy("session_id").applyInPandas(run, FRAME_OUT)
+    def run(batches):
+        tracker, session = LiveTracker(), None
+        for part in whole_frames(batches):
+            out = []
+            for row, tracker in replay(part, tracker, session):
+                session = row[0]
+                out.append(row)
+            yield pa.RecordBatch.from_pydict(dict(zip(FRAME_NAMES, map(list, zip(*out)))), schema=FRAME_ARROW)
+
+    # many frames are few bytes but long work, so partitions are not merged by their size
+    parts = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _seen(detections).repartition(parts, "session_id").sortWithinPartitions("session_id", "seq", "ord").mapInArrow(run, FRAME_OUT)
 
 
 #: How long a session may rest before its state is dropped.
@@ -164,7 +77,7 @@ def track_stream(detections: DataFrame, ts: str | None = None, idle_ms: int = ID
         if state.hasTimedOut:
             state.remove()
             return
-        g = pd.concat(list(parts))
+        g = pd.concat(list(parts)).sort_values(["seq", "ord"], kind="stable")
         tracker, last = LiveTracker(), None
         if state.exists:
             text, last = state.get
@@ -175,14 +88,16 @@ def track_stream(detections: DataFrame, ts: str | None = None, idle_ms: int = ID
         if (g["ord"] == -2).any():
             tracker, g = LiveTracker(), g[g["seq"] > g[g["ord"] == -2]["seq"].max()]
         if len(g):
-            yield pd.DataFrame(list(_frames(tracker, g)))
+            rows = pa.Table.from_pandas(g.drop(columns=[ts] if ts else []), preserve_index=False)
+            yield pd.DataFrame([row for row, _ in replay(rows, tracker, rows.column("session_id")[0].as_py())], columns=FRAME_NAMES)
         state.update((tracker.dump(), newest))
         if ts is not None:
             now = state.getCurrentWatermarkMs()
             at = int(pd.Timestamp(g[ts].max()).timestamp() * 1000) if len(g) else now
             state.setTimeoutTimestamp(max(at + idle_ms, now + 1))
 
-    timed = detections.withWatermark(ts, watermark) if ts else detections
+    rows = _seen(detections, ts)
+    timed = rows.withWatermark(ts, watermark) if ts else rows
     kind = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
     return timed.groupBy("session_id").applyInPandasWithState(run, FRAME_OUT, "tracker string, last long", "append", kind)
 
