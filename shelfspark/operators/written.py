@@ -26,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folder()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by keys into all of a shuffle's partitions.  They are not merged by
+    their bytes afterwards: where Python works long on few bytes, that would leave one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written and read back, which cuts lineage, statistics and constraints alike."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from ..operators import catalog as C
 from ..operators import crawl, datasets
 from ..operators.numbering import numbered
 from ..operators.written import shared_dir
-from ..sources import readers, reports
+from ..sources import media, readers, reports
 from .audit_queries import _DETS, _detections
 from .registry import query, table
 
@@ -418,3 +418,46 @@ def sitemap_tree(spark, sf_dir):
     files = sheets.unionAll(books.select(named("book", "book").alias("url"), "body")).unionAll(root.select(F.lit("root").alias("url"), "body"))
     seed = spark.range(1).select(F.lit("root").alias("url"), F.lit(0).alias("ord"))
     return crawl.sitemap_urls(seed, files)
+
+
+_KINDS = "CASE page_id % 8 WHEN 0 THEN 'jpg' WHEN 1 THEN 'JPEG' WHEN 2 THEN 'png' WHEN 3 THEN 'webp' WHEN 4 THEN 'jpeg' WHEN 5 THEN 'heic' WHEN 6 THEN 'mov' ELSE 'txt' END"
+
+
+def _hex(number, digits: int):
+    return F.lpad(F.hex(number), digits, "0")
+
+
+def _media_files(spark, sf_dir):
+    """Pages as files of eight kinds: heads of images (one is cut off), a video and a text, the page's bytes behind them."""
+    d = table(spark, sf_dir, "pages").select("page_id", F.expr(_KINDS).alias("suffix"), F.coalesce("html", F.lit("")).alias("html"))
+    i = F.col("page_id")
+    w, h = (600 + i % 1000).cast("long"), (700 + i % 700).cast("long")
+    exif = F.concat(F.lit("FFE100224578696600004D4D002A00000008" + "0001" + "0112000300000001"), _hex(1 + i % 7 + (i % 8 == 1).cast("long"), 4), F.lit("0000" + "00000000"))
+    size = F.concat(F.lit("FFC0000B08"), _hex(h, 4), _hex(w, 4), F.lit("01011100"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), exif, size, F.lit("FFDA"))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _hex(w, 8), _hex(h, 8), F.lit("080200000000000000"))
+    webp = F.concat(F.lit("524946460000000057454250565038580A00000000000000"), *[F.concat(*[F.substring(_hex(x - 1, 6), p, 2) for p in (5, 3, 1)]) for x in (w, h)])
+    head = F.when(i % 8 < 2, jpeg).when(i % 8 == 2, png).when(i % 8 == 3, webp).when(i % 8 == 4, F.lit("FFD8FFE04000")).otherwise(F.lit(""))
+    name = F.concat(F.lit("m"), (i % 64).cast("string"), F.lit("/f"), i.cast("string"), F.lit("."), F.col("suffix"))
+    body = F.when(i % 8 != 4, F.encode("html", "UTF-8")).otherwise(F.lit(b""))
+    return d.select(name.alias("path"), F.concat(F.unhex(head), body).alias("content"))
+
+
+@query(
+    f"""WITH d AS (SELECT page_id, page_id % 8 AS k, {_KINDS} AS suffix, 600 + page_id % 1000 AS w, 700 + page_id % 700 AS h, strlen(coalesce(html, '')) AS n FROM pages),
+m AS (SELECT *, CASE WHEN k < 4 THEN w WHEN k IN (5, 6) THEN 1000 + page_id % 3 END AS width, CASE WHEN k < 4 THEN h WHEN k IN (5, 6) THEN 2000 END AS height FROM d)
+SELECT page_id, CASE WHEN k < 6 THEN 'image' WHEN k = 6 THEN 'video' ELSE 'unsupported' END AS media_kind, CAST(CASE WHEN k < 2 THEN 71 WHEN k = 2 THEN 33 WHEN k = 3 THEN 30 WHEN k = 4 THEN 6 ELSE 0 END + CASE WHEN k = 4 THEN 0 ELSE n END AS BIGINT) AS size,
+  CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, CAST(CASE WHEN k < 2 THEN 1 + page_id % 7 + CASE WHEN k = 1 THEN 1 ELSE 0 END END AS INTEGER) AS orientation,
+  CASE WHEN k = 6 THEN CAST(page_id % 180 AS DOUBLE) END AS duration_seconds, CASE WHEN k < 4 AND least(w, h) < 900 THEN 'warning' WHEN k < 6 THEN 'ok' ELSE 'pending' END AS quality_status,
+  CASE WHEN k < 4 AND least(w, h) < 900 THEN 'low_resolution' WHEN k = 4 THEN 'no_size' WHEN k < 6 THEN 'acceptable' WHEN k = 7 THEN 'unsupported' WHEN page_id % 180 > 90 THEN 'queued,long_video' ELSE 'queued' END AS issues FROM m"""
+)
+def media_inspection(spark, sf_dir):
+    """Files of a folder by kind: sizes of images from their heads, of what has none from probes."""
+    path = _at(spark, "media")
+    media.write_files(_media_files(spark, sf_dir), path)
+    files = media.listing(spark, path)
+    ident = F.regexp_extract("file", r"/f(-?\d+)\.\w+$", 1).cast("long")
+    i = ident
+    probes = files.where((i % 8).isin(5, 6)).select("file", (1000 + i % 3).alias("width"), F.lit(2000).alias("height"), (i % 180).cast("double").alias("duration_seconds"))
+    rows = media.inspect(files, probes)
+    return rows.select(ident.alias("page_id"), "media_kind", "size", "width", "height", "orientation", "duration_seconds", "quality_status", F.array_join("issues", ",").alias("issues"))

@@ -9,7 +9,7 @@ from ..functions import pixels, web
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import catalog as C
-from ..operators import datasets, evaluate, folder, objects, recognize, sequence
+from ..operators import datasets, evaluate, folder, objects, recognize, sequence, sheets
 from ..streaming import live
 from . import folds
 from .audit_queries import _FRAMES, BOXES_SQL, _rounded, boxes, frames
@@ -362,3 +362,19 @@ def job_notes(spark, sf_dir):
     """Notes of a job, and issues of its videos."""
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.array_join(folder.job_notes(F.col("event_id") % 3, F.col("user_id") % 2), ",").alias("notes"), F.array_join(folder.video_issues("value"), ",").alias("issues"))
+
+
+@query(
+    f"""WITH {_LUMA}, t AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS n FROM events),
+a AS (SELECT event_id, event_type, n // 120 AS page, n % 120 AS idx FROM t),
+k AS (SELECT event_type, page, count(*) AS n_tiles, 30 + 230 * (max(idx) // 6 + 1) AS height FROM a GROUP BY 1, 2),
+s AS (SELECT event_type, page, sum(255 - v) AS ink, sum((255 - v) * (idx % 6 * 210 + 101 + x)) AS ink_x, sum((255 - v) * (30 + idx // 6 * 230 + 6 + y)) AS ink_y FROM a JOIN p USING (event_id) GROUP BY 1, 2)
+SELECT event_type AS sheet, CAST(page AS BIGINT) AS page, CAST(n_tiles AS INTEGER) AS n_tiles, CAST(height AS INTEGER) AS height, 1260 AS width, CAST(3 * ink AS BIGINT) AS ink, CAST(3 * ink_x AS BIGINT) AS ink_x, CAST(3 * ink_y AS BIGINT) AS ink_y
+FROM k JOIN s USING (event_type, page)"""
+)
+def contact_sheets(spark, sf_dir):
+    """All images of each type on sheets of 120, with what is not white and where it stands."""
+    kinds = table(spark, sf_dir, "events").select("event_id", "event_type")
+    tiles = _squares(spark, sf_dir).join(kinds, "event_id")
+    drawn = sheets.assemble(sheets.layout(tiles, "event_type", ["event_id"]))
+    return drawn.select("sheet", "page", "n_tiles", "height", "width", sheets.ink_udf("height", "width", "data").alias("i")).select("*", "i.*").drop("i")

@@ -21,6 +21,7 @@ from ..functions.geometry import grid_cells
 from ..functions.pixels import motion_udf
 from ..functions.vectors import feedback_rank
 from ..operators.tracks import cell_state
+from ..operators.written import spread
 from ..sources.ledger import Ledger, write_batches
 from .tracker import BOX, CAPTURE_AT, SMOOTH_BOX, LiveTracker, replay, whole_frames
 
@@ -55,9 +56,7 @@ def track_batch(detections: DataFrame) -> DataFrame:
                 out.append(row)
             yield pa.RecordBatch.from_pydict(dict(zip(FRAME_NAMES, map(list, zip(*out)))), schema=FRAME_ARROW)
 
-    # many frames are few bytes but long work, so partitions are not merged by their size
-    parts = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _seen(detections).repartition(parts, "session_id").sortWithinPartitions("session_id", "seq", "ord").mapInArrow(run, FRAME_OUT)
+    return spread(_seen(detections), "session_id").sortWithinPartitions("session_id", "seq", "ord").mapInArrow(run, FRAME_OUT)
 
 
 #: How long a session may rest before its state is dropped.
