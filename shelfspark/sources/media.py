@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import folder
+from ..operators.written import written
 
 BLOCK = 4096
 FILES_A_TASK = 1024
@@ -157,17 +158,17 @@ def image_head(head: Head) -> tuple[int, int, int | None] | None:
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """``file`` (its address) and ``size`` of all files below a folder, which are not
-    opened.  Spark's readers pass over empty files, so those are not listed; rows
-    of them from elsewhere are inspected as any other."""
+    opened.  The listing is taken once and written.  Spark's readers pass over empty
+    files, so those are not listed; rows of them from elsewhere are inspected as any other."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.col("path").alias("file"), F.col("length").alias("size"))
+    return written(files.select(F.col("path").alias("file"), F.col("length").alias("size")).coalesce(spark.sparkContext.defaultParallelism))
 
 
 def heads(files: DataFrame, file: str = "file") -> DataFrame:
     """``files`` (file, size) with ``width``, ``height``, ``orientation``, the
     ``bytes_read`` for them, and ``found``: whether the file was still there.
 
-    Files are read ``FILES_A_TASK`` at a time; only images by suffix are opened."""
+    Files are dealt out, about ``FILES_A_TASK`` to a task; only images by suffix are opened."""
 
     def read(batches):
         for batch in batches:
@@ -189,7 +190,7 @@ def heads(files: DataFrame, file: str = "file") -> DataFrame:
     rows = files.select(F.col(file).alias("file"), F.col("size").cast("long").alias("size"), folder.media_kind(file).alias("media_kind"))
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FILES_A_TASK))
     schema = "file string, size long, media_kind string, width int, height int, orientation int, bytes_read long, found boolean"
-    return rows.coalesce(tasks).mapInArrow(read, schema)
+    return rows.repartition(tasks, "file").mapInArrow(read, schema)
 
 
 def inspect(files: DataFrame, probes: DataFrame | None = None, measures: DataFrame | None = None) -> DataFrame:
