@@ -23,9 +23,8 @@ from .written import spread, written
 TILE_WIDTH, TILE_HEIGHT, SIDE, TOP, COLUMNS, HEAD, MOST = 210, 230, 180, 6, 6, 30, 120
 #: Up to so many sheets, the first number of each is broadcast.
 BROADCAST_SHEETS = 100_000
-SHEET = "sheet string, page long, n_tiles int, height int, width int, data binary"
+SHEET = "sheet string, page long, n_tiles int, height int, width int, data "
 SMALL = T.StructType([T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())])
-INK = T.StructType([T.StructField(n, T.LongType()) for n in ("ink", "ink_x", "ink_y")])
 
 
 @F.pandas_udf(SMALL)
@@ -73,13 +72,15 @@ def draw(tiles: list[tuple[int, int, int, bytes]]) -> np.ndarray:
     return out
 
 
-def assemble(placed: DataFrame) -> DataFrame:
-    """One row for each page: its size, its number of tiles and its RGB bytes.  A task holds one page at a time."""
+def assemble(placed: DataFrame, made=np.ndarray.tobytes, kind: str = "binary", arrow: pa.DataType = pa.binary()) -> DataFrame:
+    """One row for each page: its size, its number of tiles and ``data``, its RGB bytes or
+    what ``made`` makes of its pixels (of type ``kind``).  A task holds one page at a time;
+    pages are many megabytes, so what is wanted of them is best made here."""
 
     def sheet_row(key, tiles):
         rgb = draw(tiles)
-        columns = [[key[0]], [key[1]], [len(tiles)], [rgb.shape[0]], [rgb.shape[1]], [rgb.tobytes()]]
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        columns = [[key[0]], [key[1]], [len(tiles)], [rgb.shape[0]], [rgb.shape[1]], [made(rgb)]]
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), arrow]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["sheet", "page", "n_tiles", "height", "width", "data"])
 
     def run(batches):
@@ -95,26 +96,25 @@ def assemble(placed: DataFrame) -> DataFrame:
             yield sheet_row(key, tiles)
 
     rows = placed.select("sheet", "page", "idx", "small.height", "small.width", "small.rgb")
-    return spread(rows, "sheet", "page").sortWithinPartitions("sheet", "page", "idx").mapInArrow(run, SHEET)
+    return spread(rows, "sheet", "page").sortWithinPartitions("sheet", "page", "idx").mapInArrow(run, SHEET + kind)
 
 
-@F.pandas_udf(T.BinaryType())
-def png_udf(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.Series:
-    return pd.Series([media.png(np.frombuffer(d, np.uint8).reshape(h, w, 3)) for h, w, d in zip(height, width, data)])
-
-
-def write_sheets(sheets: DataFrame, folder: str) -> int:
-    """Image files ``sheet_<name>_<page>.png`` (a name of its own may begin like a hidden file's), the sheet's name URL-encoded (a lone % for null): their number."""
+def write_sheets(placed: DataFrame, folder: str) -> int:
+    """Image files ``sheet_<name>_<page>.png`` of a layout (a name of its own may begin like
+    a hidden file's), the name URL-encoded (a lone % for null): their number."""
     name = F.format_string("sheet_%s_%05d.png", F.coalesce(F.url_encode("sheet"), F.lit("%")), "page")
-    return media.write_files(sheets.select(name.alias("path"), png_udf("height", "width", "data").alias("content")), folder)
+    return media.write_files(assemble(placed, media.png).select(name.alias("path"), F.col("data").alias("content")), folder)
 
 
-@F.pandas_udf(INK)
-def ink_udf(height: pd.Series, width: pd.Series, data: pd.Series) -> pd.DataFrame:
+def ink(rgb: np.ndarray) -> dict[str, int]:
     """How much of a sheet is not white, and its moments by column and row."""
-    rows = []
-    for h, w, d in zip(height, width, data):
-        dark = 255 - np.frombuffer(d, np.uint8).reshape(h, w * 3)
-        by_row, by_column = (dark.sum(axis=i, dtype=np.int64) for i in (1, 0))
-        rows.append((int(by_row.sum()), int(by_column @ (np.arange(w * 3) // 3)), int(by_row @ np.arange(h))))
-    return pd.DataFrame(rows, columns=INK.names)
+    dark = 255 - rgb.reshape(len(rgb), -1)
+    by_row, by_column = (dark.sum(axis=i, dtype=np.int64) for i in (1, 0))
+    return {"ink": int(by_row.sum()), "ink_x": int(by_column @ (np.arange(dark.shape[1]) // 3)), "ink_y": int(by_row @ np.arange(len(dark)))}
+
+
+def inked(placed: DataFrame) -> DataFrame:
+    """Pages without their pixels, with :func:`ink`."""
+    names = ("ink", "ink_x", "ink_y")
+    drawn = assemble(placed, ink, "struct<" + ",".join(f"{n}:long" for n in names) + ">", pa.struct([(n, pa.int64()) for n in names]))
+    return drawn.select("*", "data.*").drop("data")

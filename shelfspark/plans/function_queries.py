@@ -376,5 +376,4 @@ def contact_sheets(spark, sf_dir):
     """All images of each type on sheets of 120, with what is not white and where it stands."""
     kinds = table(spark, sf_dir, "events").select("event_id", "event_type")
     tiles = _squares(spark, sf_dir).join(kinds, "event_id")
-    drawn = sheets.assemble(sheets.layout(tiles, "event_type", ["event_id"]))
-    return drawn.select("sheet", "page", "n_tiles", "height", "width", sheets.ink_udf("height", "width", "data").alias("i")).select("*", "i.*").drop("i")
+    return sheets.inked(sheets.layout(tiles, "event_type", ["event_id"]))

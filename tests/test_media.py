@@ -186,7 +186,8 @@ def test_sheets_equal_plain_ones(spark, tmp_path):
         for page in range(-(-n // 12)):
             want[s, page] = plain_sheet(shown[page * 12 : page * 12 + 12], 12)
     df = spark.createDataFrame(all_rows, f"shelf string, ord long, image {IMAGE}, SHEET_no int").repartition(5)
-    drawn = sheets.assemble(sheets.layout(df, "shelf", ["ord"], most=12))
+    placed = sheets.layout(df, "shelf", ["ord"], most=12)
+    drawn = sheets.assemble(placed)
     rows = {(r["sheet"], r["page"]): r for r in drawn.collect()}
     assert rows.keys() == want.keys() and rows["hot", 2]["n_tiles"] == 7
     for k, rgb in want.items():
@@ -194,7 +195,7 @@ def test_sheets_equal_plain_ones(spark, tmp_path):
         assert got.shape == rgb.shape and np.abs(got.astype(int) - rgb).max() <= 1  # one step where halves round
     first = sheets.layout(df, "shelf", ["ord"], most=12, pages=1)
     assert first.where("sheet = 'hot'").count() == 12
-    assert sheets.write_sheets(drawn, str(tmp_path / "s")) == len(want)
+    assert sheets.write_sheets(placed, str(tmp_path / "s")) == len(want)
     back = spark.read.format("image").load(str(tmp_path / "s")).select("image.*").collect()
     assert len(back) == len(want) and all(r["height"] > 0 for r in back)
     hot = next(r for r in back if r["origin"].endswith("hot_00002.png"))
