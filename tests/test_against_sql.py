@@ -29,7 +29,7 @@ def differs(spark, tmp_path):
     return run
 
 
-@pytest.mark.parametrize("name", ["category_match"])
+@pytest.mark.parametrize("name", ["category_match", "token_brand_match"])
 def test_words_end_at_letters_without_one_capital(differs, name):
     bench = "SELECT 1 AS item_id, 'einßsein schein Straßenbahn \ufb01nden \u017fonne' AS text"
     docs = "SELECT unnest([1, 2, 3]) AS doc_id, unnest(['Einßsein, Schein', 'straßenbahn enbahn', NULL]) AS text"
