@@ -29,13 +29,18 @@ def cosine(a, b) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def softmax(v) -> Column:
+    v = doubles(v)
+    raised = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
+    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
+
+
 def probabilities(v) -> Column:
     """As they are where they look like probabilities (0 to 1, sum near 1), else their softmax."""
     v = doubles(v)
     total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
     fine = F.forall(v, lambda x: (x >= 0) & (x <= 1)) & (F.abs(total - 1) < 0.05)
-    raised = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.when(fine, v).otherwise(F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y)))
+    return F.when(fine, v).otherwise(softmax(v))
 
 
 def product_key(catalog_sku, product, brand, sku, model) -> Column:

@@ -34,3 +34,7 @@ def test_words_end_at_letters_without_one_capital(differs, name):
     bench = "SELECT 1 AS item_id, 'einßsein schein Straßenbahn \ufb01nden \u017fonne' AS text"
     docs = "SELECT unnest([1, 2, 3]) AS doc_id, unnest(['Einßsein, Schein', 'straßenbahn enbahn', NULL]) AS text"
     assert differs(name, benchmark=bench, documents=docs) == ([], [])
+
+
+def test_scores_that_look_like_probabilities_are_raised_too(differs):
+    assert differs("class_probabilities", embeddings="SELECT unnest([1, 2]) AS vec_id, unnest([[0.25, 0.25, 0.3, 0.2, 7], [3, -1, 0, 2, 7]])::FLOAT[] AS embedding") == ([], [])
