@@ -74,9 +74,9 @@ def with_labels(images: DataFrame, boxes: DataFrame, key: str, line: Column) ->
 
 
 def export_names(df: DataFrame, cls: str, order: list) -> DataFrame:
-    """File names ``class_00000`` by class and order."""
+    """File names ``class_00000`` by class and order, of more digits from 100,000 on."""
     n = F.row_number().over(Window.partitionBy(cls, "split").orderBy(*order)) - 1
-    return df.withColumn("name", F.concat(F.col(cls), F.lit("_"), F.lpad(n.cast("string"), 5, "0")))
+    return df.withColumn("name", F.concat(F.col(cls), F.lit("_"), F.format_string("%05d", n)))
 
 
 def stale(listing: DataFrame, manifest: DataFrame, key: str) -> DataFrame:

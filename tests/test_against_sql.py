@@ -38,3 +38,7 @@ def test_words_end_at_letters_without_one_capital(differs, name):
 
 def test_scores_that_look_like_probabilities_are_raised_too(differs):
     assert differs("class_probabilities", embeddings="SELECT unnest([1, 2]) AS vec_id, unnest([[0.25, 0.25, 0.3, 0.2, 7], [3, -1, 0, 2, 7]])::FLOAT[] AS embedding") == ([], [])
+
+
+def test_names_beyond_five_digits(differs):
+    assert differs("export_names", documents="SELECT range * 5 + CASE WHEN range < 3 THEN 1 ELSE 0 END AS doc_id, 'en' AS lang FROM range(100004)") == ([], [])
