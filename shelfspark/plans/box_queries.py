@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import text as X
@@ -396,8 +397,11 @@ def live_tracker_replay(spark, sf_dir):
 def feedback_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     label = F.when(F.col("event_type") == "purchase", "product").when(F.col("event_type") == "error", "hard_negative")
-    ms = F.unix_millis(F.col("ts").cast("timestamp")) / 1000
-    return e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("ident"), F.floor(ms / 60).alias("at_ms"), F.round(F.col("value"), 2).alias("rank"), label.alias("label"))
+    # a time without a zone is that of UTC, whatever the session's zone is
+    ts = F.concat(F.col("ts").cast("string"), F.lit("Z")) if e.schema["ts"].dataType == T.TimestampNTZType() else F.col("ts")
+    ms = F.unix_millis(ts.cast("timestamp")) / 1000
+    rank = F.round(F.nanvl("value", F.lit(float("inf"))), 2)  # SQL puts NaN above all numbers
+    return e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("ident"), F.floor(ms / 60).alias("at_ms"), rank.alias("rank"), label.alias("label"))
 
 
 _FEEDBACK = folds.feedback_sql(live.FEEDBACK_MS, live.FEEDBACK_MOST, live.FEEDBACK_RECENT_MS)

@@ -184,6 +184,7 @@ def smoothed(values: Column, alpha: float = SMOOTH_BOX) -> Column:
     return F.aggregate(F.slice(values, 2, 1 << 30), F.get(values, F.lit(0)).cast("double"), lambda a, x: a * (1 - alpha) + x * alpha)
 
 
+_TIMED = "session_id IS NOT NULL AND at_ms IS NOT NULL"
 FEEDBACK_OUT = "session_id string, label string, at_ms long, candidate long, candidate_ms long"
 
 
@@ -214,18 +215,19 @@ class FeedbackBuffer:
 def _clicks(buf: FeedbackBuffer, g: pd.DataFrame):
     for r in g.sort_values(["at_ms", "ident"], kind="stable").itertuples():
         if r.label is None or r.label != r.label:
-            buf.add(int(r.ident), int(r.at_ms), float(r.rank))
+            buf.add(int(r.ident) if r.ident == r.ident else None, int(r.at_ms), float(r.rank))
         elif (best := buf.click(int(r.at_ms))) is not None:
             yield {"session_id": r.session_id, "label": r.label, "at_ms": int(r.at_ms), "candidate": best[0], "candidate_ms": best[1]}
 
 
 def feedback_batch(events: DataFrame) -> DataFrame:
-    """Candidates (no ``label``) and label clicks of sessions, in order of time, to saved candidates."""
+    """Candidates (no ``label``) and label clicks of sessions, in order of time, to saved candidates;
+    rows without a session or a time belong to none."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_clicks(FeedbackBuffer(), g)), columns=["session_id", "label", "at_ms", "candidate", "candidate_ms"])
 
-    return events.groupBy("session_id").applyInPandas(run, FEEDBACK_OUT)
+    return events.where(_TIMED).groupBy("session_id").applyInPandas(run, FEEDBACK_OUT)
 
 
 def feedback_stream(events: DataFrame, watermark: str = "8 seconds") -> DataFrame:
@@ -244,7 +246,7 @@ def feedback_stream(events: DataFrame, watermark: str = "8 seconds") -> DataFram
         state.update((json.dumps(buf.rows),))
         state.setTimeoutTimestamp(max(int(g["at_ms"].max()) + FEEDBACK_MS, state.getCurrentWatermarkMs() + 1))
 
-    timed = events.withColumn("_ts", F.timestamp_millis("at_ms")).withWatermark("_ts", watermark)
+    timed = events.where(_TIMED).withColumn("_ts", F.timestamp_millis("at_ms")).withWatermark("_ts", watermark)
     return timed.groupBy("session_id").applyInPandasWithState(run, FEEDBACK_OUT, "rows string", "append", GroupStateTimeout.EventTimeTimeout)
 
 

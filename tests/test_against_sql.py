@@ -42,3 +42,19 @@ def test_scores_that_look_like_probabilities_are_raised_too(differs):
 
 def test_names_beyond_five_digits(differs):
     assert differs("export_names", documents="SELECT range * 5 + CASE WHEN range < 3 THEN 1 ELSE 0 END AS doc_id, 'en' AS lang FROM range(100004)") == ([], [])
+
+
+EVENTS = """SELECT unnest([1, 2, 3, 4, 5, 6, 7, NULL, 9, 10, 11, 12]) AS event_id,
+  TIMESTAMP '2024-03-10 00:00:00' + to_minutes(unnest([0, 5, 5, 9, 0, 1, 2, 20, 30, NULL, 400, 401])) AS ts, unnest([1, 1, 1, 1, NULL, NULL, 2, 2, 2, 2, 3, 3]) AS user_id,
+  unnest(['view', 'click', 'view', 'purchase', 'view', 'purchase', 'view', 'view', 'error', 'purchase', 'view', 'error']) AS event_type,
+  unnest([1.0, 7.5, 'NaN'::DOUBLE, NULL, 2, 3, NULL, 4, 5, 6, 1, 1])::DOUBLE AS value, '{}' AS props"""
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+@pytest.mark.parametrize("name", ["feedback_replay"])
+def test_feedback_of_odd_events_in_any_zone(spark, differs, name, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert differs(name, events=EVENTS) == ([], [])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
