@@ -51,7 +51,7 @@ EVENTS = """SELECT unnest([1, 2, 3, 4, 5, 6, 7, NULL, 9, 10, 11, 12]) AS event_i
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
-@pytest.mark.parametrize("name", ["feedback_replay"])
+@pytest.mark.parametrize("name", ["feedback_replay", "stream_feedback"])
 def test_feedback_of_odd_events_in_any_zone(spark, differs, name, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
