@@ -60,7 +60,9 @@ def with_total(rows: DataFrame, key: str, sums: list[str], label: str = "TOTAL")
 
 
 def megabytes(size) -> Column:
-    return F.format_string("%.1f", X.col(size) / (1024 * 1024))
+    # halves go to the even digit; the format alone would round them up
+    mb = F.bround(X.col(size) / (1024 * 1024), 1)
+    return F.when(mb.isNotNull(), F.format_string("%.1f", mb))
 
 
 def dimensions(width, height) -> Column:

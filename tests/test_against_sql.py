@@ -58,3 +58,8 @@ def test_feedback_of_odd_events_in_any_zone(spark, differs, name, zone):
         assert differs(name, events=EVENTS) == ([], [])
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_halves_of_a_digit_and_absent_sizes(differs):
+    events = "SELECT unnest([262144, 786432, 7, -7, -5, 10, 11, NULL]::BIGINT[]) AS event_id, unnest([1, 2, 3, 4, NULL, NULL, NULL, 5]) AS user_id"
+    assert differs("media_columns", events=events) == ([], [])
