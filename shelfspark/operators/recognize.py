@@ -35,8 +35,10 @@ def article_matches(texts: DataFrame, keys: DataFrame, candidates: str, least: i
     return _first_key(hits)
 
 
-#: Characters of the pieces that keys are looked up by; keys are at least so long.
+#: Characters of the shortest pieces that keys are looked up by; keys are at least so long.
 PIECE = 4
+#: Longer pieces, for keys that have so many characters: there are far more of them, so few keys share one.
+LONG_PIECES = (8, 16)
 
 
 def _pieces(c: str, n: int):
@@ -46,33 +48,46 @@ def _pieces(c: str, n: int):
 
 
 def keys_inside(hay: DataFrame, keys: DataFrame, n: int = PIECE, keep: tuple[str, ...] = ("text_id",)) -> DataFrame:
-    """Model keys of ``n`` characters or more inside ``hay``: ``keep`` columns and the key's.
-
-    Each key is anchored at the piece of it that fewest keys share; a text's
-    pieces meet anchors in an equality join and the rest of the key is compared
-    in place, so neither texts and keys nor all substrings are paired."""
-    models = keys.where((F.col("kind") == "model") & (F.col("key_len") >= n))
-    pieces = models.select("key").distinct().select("key", F.posexplode(_pieces("key", n)).alias("off", "piece"))
+    """Model keys of ``n`` characters or more inside ``hay``: ``keep`` columns, the key's
+    and its first product's.
+
+    Each key is anchored at the piece of it that fewest keys share, of the greatest
+    of a few lengths that it has; a text's pieces meet anchors in an equality join
+    and the rest of the key is compared in place, so neither texts and keys nor all
+    substrings are paired.  Rows are many more than their tables' files let
+    expect, so these joins are never by broadcast."""
+    models = (
+        keys.where((F.col("kind") == "model") & (F.col("key_len") >= n))
+        .groupBy("key", "key_len")
+        .agg(F.min(F.struct("ord", "sku_id")).alias("p"))
+        .select("key", "key_len", "p.sku_id", "p.ord")
+    )
+    lengths = [n, *[m for m in LONG_PIECES if m > n]]
+    longest = F.coalesce(*[F.when(F.col("key_len") >= m, _pieces("key", m)) for m in reversed(lengths)])
+    pieces = models.select("key", F.posexplode(longest).alias("off", "piece"))
     shared = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n_keys"))
     anchors = (
-        pieces.join(shared, "piece")
+        pieces.join(shared.hint("merge"), "piece")
         .groupBy("key")
         .agg(F.min(F.struct("n_keys", "off", "piece")).alias("a"))
         .select("key", F.col("a.off").alias("off"), F.col("a.piece").alias("piece"))
     )
+    parts = F.array(*[F.coalesce(_pieces("hay", m), F.array().cast("array<string>")) for m in lengths])
     found = (
-        hay.select(*keep, "hay", F.posexplode(_pieces("hay", n)).alias("at", "piece"))
-        .join(anchors, "piece")
+        hay.select(*keep, "hay", F.explode(parts).alias("parts"))
+        .select(*keep, "hay", F.posexplode("parts").alias("at", "piece"))
+        .join(anchors.hint("merge"), "piece")
         .where((F.col("at") >= F.col("off")) & (F.col("hay").substr(F.col("at") - F.col("off") + 1, F.char_length("key")) == F.col("key")))
         .select(*keep, "key")
         .distinct()
     )
-    return found.join(models.drop("kind"), "key")
+    return found.join(models.hint("merge"), "key")
 
 
 def substring_matches(texts: DataFrame, keys: DataFrame, haystacks: str, least: int = 0) -> DataFrame:
     """The longest model key inside any of a text's ``haystacks``."""
     hay = texts.select("text_id", F.explode(haystacks).alias("hay")).distinct()
+    keys = written(keys)  # read several times
     return _first_key(keys_inside(hay, keys, max(PIECE, least)))
 
 

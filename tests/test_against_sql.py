@@ -68,3 +68,14 @@ def test_halves_of_a_digit_and_absent_sizes(differs):
 def test_references_without_an_end_stay(differs):
     page = "'<title>t</title><h1>A &amp;amp; B&lt;b&gt; &quot;q&#39; &nbsp;x &amp</h1><script type=\"application/ld+json\">{\"@type\": \"Product\", \"brand\": \"S & T\"}</script>'"
     assert differs("page_products", pages=f"SELECT 1 AS page_id, 'http://h/p' AS url, {page} AS html UNION ALL SELECT 2, 'http://h/q', '<h1>C &amp</h1>'") == ([], [])
+
+
+def test_keys_inside_never_broadcasts(spark):
+    """Whatever the files of keys let expect: rows made of them went through the driver."""
+    from shelfspark.operators import recognize as R
+
+    keys = spark.createDataFrame([("a", 2, "model", k, len(k)) for k in ("AB12", "XYZ12345", "GET123456789M12LITE", "T123456M")] + [("b", 1, "model", "AB12", 4)], "sku_id string, ord long, kind string, key string, key_len int")
+    hay = spark.createDataFrame([(1, "QAB12Q"), (2, "GET123456789M12LITEXYZ12345"), (3, "A1"), (4, "GET123456789M12LIT"), (5, None)], "text_id long, hay string")
+    found = R.keys_inside(hay, keys)
+    assert sorted((r["text_id"], r["key"], r["sku_id"]) for r in found.collect()) == [(1, "AB12", "b"), (2, "GET123456789M12LITE", "a"), (2, "XYZ12345", "a")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
