@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -399,9 +401,13 @@ def feedback_events(spark, sf_dir):
     label = F.when(F.col("event_type") == "purchase", "product").when(F.col("event_type") == "error", "hard_negative")
     # a time without a zone is that of UTC, whatever the session's zone is
     ts = F.concat(F.col("ts").cast("string"), F.lit("Z")) if e.schema["ts"].dataType == T.TimestampNTZType() else F.col("ts")
-    ms = F.unix_millis(ts.cast("timestamp")) / 1000
-    rank = F.round(F.nanvl("value", F.lit(float("inf"))), 2)  # SQL puts NaN above all numbers
-    return e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("ident"), F.floor(ms / 60).alias("at_ms"), rank.alias("rank"), label.alias("label"))
+    us = F.unix_micros(ts.cast("timestamp"))
+    s = (us - us % 1000) / 1000 / 1000  # parts of a millisecond go towards 1970, as in SQL
+    value, hundreds = F.col("value"), F.col("value") * 100
+    even = F.when(F.abs(hundreds) == float("inf"), value).otherwise(F.round(hundreds) / 100)  # of the product, as in SQL
+    # SQL puts NaN above all numbers, also above infinity
+    rank = F.when(F.isnan("value"), float("inf")).when(even == float("inf"), sys.float_info.max).otherwise(even)
+    return e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("ident"), F.floor(s / 60).alias("at_ms"), rank.alias("rank"), label.alias("label"))
 
 
 _FEEDBACK = folds.feedback_sql(live.FEEDBACK_MS, live.FEEDBACK_MOST, live.FEEDBACK_RECENT_MS)

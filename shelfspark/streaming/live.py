@@ -231,7 +231,9 @@ def feedback_batch(events: DataFrame) -> DataFrame:
 
 
 def feedback_stream(events: DataFrame, watermark: str = "8 seconds") -> DataFrame:
-    """The same over a stream; a session's buffer ends with its event time's watermark."""
+    """The same over a stream; a session's buffer ends with its event time's watermark.
+
+    Watermarks begin at 1970, and rows from before count as of its first millisecond there, so none is late at the start."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key, parts, state: GroupState):
@@ -246,7 +248,7 @@ def feedback_stream(events: DataFrame, watermark: str = "8 seconds") -> DataFram
         state.update((json.dumps(buf.rows),))
         state.setTimeoutTimestamp(max(int(g["at_ms"].max()) + FEEDBACK_MS, state.getCurrentWatermarkMs() + 1))
 
-    timed = events.where(_TIMED).withColumn("_ts", F.timestamp_millis("at_ms")).withWatermark("_ts", watermark)
+    timed = events.where(_TIMED).withColumn("_ts", F.timestamp_millis(F.greatest("at_ms", F.lit(1)))).withWatermark("_ts", watermark)
     return timed.groupBy("session_id").applyInPandasWithState(run, FEEDBACK_OUT, "rows string", "append", GroupStateTimeout.EventTimeTimeout)
 
 

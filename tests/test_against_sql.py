@@ -72,6 +72,16 @@ def test_feedback_of_odd_events_in_any_zone(spark, differs, name, zone):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+OLD_EVENTS = """SELECT range + 1 AS event_id, (['2024-03-10 00:00:00', '1969-12-31 23:00:00', '1970-01-01 00:00:00', '1969-12-31 23:59:59.999999', '1921-05-05 00:00:00'])[greatest(range // 2 - 2, 1)]::TIMESTAMP AS ts,
+  CASE WHEN range < 4 THEN 0 WHEN range < 8 THEN 1 ELSE range // 2 END AS user_id, (['view', 'view', 'view', 'purchase', 'view', 'view', 'view', 'purchase'])[range + 1] AS new_type,
+  coalesce(new_type, CASE range % 2 WHEN 0 THEN 'view' ELSE 'error' END) AS event_type, coalesce(([1.005, 1.0, 1.01, 1, 'inf'::DOUBLE, 'NaN'::DOUBLE, 1e307])[range + 1], 1)::DOUBLE AS value, '{}' AS props FROM range(16)"""
+
+
+@pytest.mark.parametrize("name", ["feedback_replay", "stream_feedback"])
+def test_feedback_of_old_events_and_halves_of_a_cent(differs, name):
+    assert differs(name, events=OLD_EVENTS) == ([], [])
+
+
 def test_halves_of_a_digit_and_absent_sizes(differs):
     events = "SELECT unnest([262144, 786432, 7, -7, -5, 10, 11, NULL]::BIGINT[]) AS event_id, unnest([1, 2, 3, 4, NULL, NULL, NULL, 5]) AS user_id"
     assert differs("media_columns", events=events) == ([], [])
