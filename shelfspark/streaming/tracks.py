@@ -1,8 +1,9 @@
 """Tracks folded from a stream of detections, emitted when they have ended.
 
-State of a track: a value with its sums and a list with its best crops; an
-event-time timer ends it ``gap`` frames after its last one.  What a track holds
-does not grow with its length.
+State of 64 consecutive track numbers of a video: one value with those that are open,
+each with its sums and its best crops, as a call to the state takes far longer than
+the rows it is made for.  An event-time timer looks for tracks whose last frame is ``gap`` frames ago.  What a
+track holds does not grow with its length.
 """
 
 from __future__ import annotations
@@ -22,8 +23,13 @@ OUT = (
 _Track = Row("video", "track_id", "n_frames", "first_frame", "last_frame", "peak_conf", "best_frame", "crops")
 
 
+#: A video's tracks go together by their number without so many last bits.
+PART_BITS = 6
+OPEN = "at long, tracks array<struct<track: long, n: long, first: long, last: long, peak: double, crops: array<struct<score: double, frame: long>>>>"
+
+
 class TrackFold(StatefulProcessor):
-    """Sums and best crops of one track; a rest of more than ``gap`` frames ends it,
+    """Sums and best crops of some tracks of a video; a rest of more than ``gap`` frames ends one,
     and rows after that begin another track of the same number."""
 
     def __init__(self, gap: int, k: int, min_frames: int, min_peak: float):
@@ -31,39 +37,53 @@ class TrackFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sums = handle.getValueState("sums", "n long, first long, last long, peak double")
-        self.crops = handle.getListState("crops", "score double, frame long")
+        self.sums = handle.getValueState("sums", OPEN)
 
-    def _ended(self, key, sums, crops) -> Iterator[Row]:
-        n, first, last, peak = sums
+    def _ended(self, key, track, n, first, last, peak, crops) -> Iterator[Row]:
         if n >= self.min_frames and peak >= self.min_peak:
-            yield _Track(*key, n, first, last, peak, crops[0][1], [Row(score=s, frame=f) for s, f in crops])
+            yield _Track(key[0], track, n, first, last, peak, crops[0][1], [Row(score=s, frame=f) for s, f in crops])
+
+    def _held(self):
+        """When the timer is due, and the open tracks: sums and crops by number."""
+        held = self.sums.get()
+        return (None, {}) if held is None else (held[0], {t: ((n, first, last, peak), [tuple(c) for c in crops]) for t, n, first, last, peak, crops in held[1]})
+
+    def _hold(self, at, tracks) -> None:
+        """``at`` is None if no timer is due: one is set for the first track that may end.  A track
+        that goes on meanwhile leaves it, and the timer sets the next one."""
+        if at is None:
+            at = (min(sums[2] for sums, _ in tracks.values()) + self.gap) * 1000
+            self.handle.registerTimer(at)
+        self.sums.update((at, [(t, *sums, crops) for t, (sums, crops) in tracks.items()]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        sums = tuple(self.sums.get()) if self.sums.exists() else None
-        crops = [tuple(c) for c in self.crops.get()] if sums else []
-        for frame, conf, quality in sorted((r["frame"], r["conf"], r["quality"]) for r in rows):
+        at, tracks = self._held()
+        for track, frame, conf, quality in sorted((r["track_id"], r["frame"], r["conf"], r["quality"]) for r in rows):
+            sums, crops = tracks.get(track, (None, []))
             if sums and frame - sums[2] > self.gap:
-                yield from self._ended(key, sums, crops)
+                yield from self._ended(key, track, *sums, crops)
                 sums, crops = None, []
             if sums and sums[1] - frame > self.gap:  # out of order by more than a rest: a track of its own
-                yield from self._ended(key, (1, frame, frame, conf), [(quality, frame)])
+                yield from self._ended(key, track, 1, frame, frame, conf, [(quality, frame)])
                 continue
             n, first, last, peak = sums or (0, frame, frame, conf)
             sums = (n + 1, min(first, frame), max(last, frame), max(peak, conf))
-            crops = sorted([*crops, (quality, frame)], key=lambda c: (-c[0], c[1]))[: self.k]
-        if sums:
-            self.sums.update(sums)
-            self.crops.put(crops)
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer((sums[2] + self.gap) * 1000)
+            if len(crops) < self.k or (-quality, frame) < (-crops[-1][0], crops[-1][1]):
+                crops = sorted([*crops, (quality, frame)], key=lambda c: (-c[0], c[1]))[: self.k]
+            tracks[track] = sums, crops
+        self._hold(at, tracks)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.sums.exists():
-            yield from self._ended(key, tuple(self.sums.get()), [tuple(c) for c in self.crops.get()])
+        _, tracks = self._held()
+        now = timerValues.getCurrentWatermarkInMs()
+        for track, (sums, crops) in list(tracks.items()):
+            if (sums[2] + self.gap) * 1000 <= now:
+                yield from self._ended(key, track, *sums, crops)
+                del tracks[track]
+        if tracks:
+            self._hold(None, tracks)
+        else:
             self.sums.clear()
-            self.crops.clear()
 
     def close(self) -> None:
         pass
@@ -86,7 +106,7 @@ def fold_tracks(detections: DataFrame, gap: int, k: int = 8, min_frames: int = 3
         F.timestamp_seconds("frame").alias("ts"),
     )
     timed = rows.withWatermark("ts", f"{delay} seconds")
-    return timed.groupBy("video", "track_id").transformWithState(TrackFold(gap, k, min_frames, min_peak), OUT, "Append", "EventTime")
+    return timed.withColumn("part", F.shiftright("track_id", PART_BITS)).groupBy("video", "part").transformWithState(TrackFold(gap, k, min_frames, min_peak), OUT, "Append", "EventTime")
 
 
 def started(writer):

@@ -236,6 +236,18 @@ def test_late_rows_are_left_out_and_state_ends(spark, tmp_path):
     assert [r["key"]["video"] for r in held.select("key").collect()] == [""]  # only what made time go on
 
 
+def test_open_tracks_of_a_video_share_a_state_of_bounded_size(spark, tmp_path):
+    base, tracks = str(tmp_path), [-1, 0, 7, 63, 64, 500]
+    for part in ([("v", t, 1, 0.9, 1.0) for t in tracks], [("v", t, 2 + 30 * (t > 60), 0.9, 2.0) for t in tracks], [("v", 500, 60, 0.1, 2.0)]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    streamed.tracks_of_files(stream, f"{base}/out", f"{base}/ckpt", 40, k=2, min_frames=2).awaitTermination()
+    got = Ledger(spark, f"{base}/out").read(spark.createDataFrame([], streamed.OUT).schema).collect()
+    assert {(r["track_id"], r["n_frames"], r["best_frame"]) for r in got} == {(-1, 2, 2), (0, 2, 2), (7, 2, 2)}
+    held = spark.read.format("statestore").option("path", f"{base}/ckpt").option("stateVarName", "sums").load().select("value.tracks").collect()
+    assert sorted(sorted(t["track"] for t in r["tracks"]) for r in held) == [[63], [64], [500]]
+
+
 # --- capped scans --------------------------------------------------------------------
 
 
