@@ -186,6 +186,7 @@ def smoothed(values: Column, alpha: float = SMOOTH_BOX) -> Column:
 
 _TIMED = "session_id IS NOT NULL AND at_ms IS NOT NULL"
 FEEDBACK_OUT = "session_id string, label string, at_ms long, candidate long, candidate_ms long"
+FEEDBACK_NAMES = [c.split()[0] for c in FEEDBACK_OUT.split(", ")]
 
 
 class FeedbackBuffer:
@@ -212,22 +213,26 @@ class FeedbackBuffer:
         return best
 
 
-def _clicks(buf: FeedbackBuffer, g: pd.DataFrame):
-    for r in g.sort_values(["at_ms", "ident"], kind="stable").itertuples():
+def _timed(events: DataFrame) -> DataFrame:
+    """Rows of a session and a time; absent ids are told by ``unknown``, as pandas would make doubles of all ids beside one."""
+    return events.where(_TIMED).withColumns({"unknown": F.col("ident").isNull(), "ident": F.coalesce("ident", F.lit(0))})
+
+
+def _clicks(buf: FeedbackBuffer, g: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for r in g.sort_values(["at_ms", "unknown", "ident"], kind="stable").itertuples():
         if r.label is None or r.label != r.label:
-            buf.add(int(r.ident) if r.ident == r.ident else None, int(r.at_ms), float(r.rank))
+            buf.add(None if r.unknown else int(r.ident), int(r.at_ms), float(r.rank))
         elif (best := buf.click(int(r.at_ms))) is not None:
-            yield {"session_id": r.session_id, "label": r.label, "at_ms": int(r.at_ms), "candidate": best[0], "candidate_ms": best[1]}
+            out.append((r.session_id, r.label, int(r.at_ms), best[0], best[1]))
+    return pd.DataFrame(out, columns=FEEDBACK_NAMES, dtype=object)  # whole numbers stay whole beside absent ones
 
 
 def feedback_batch(events: DataFrame) -> DataFrame:
     """Candidates (no ``label``) and label clicks of sessions, in order of time, to saved candidates;
     rows without a session or a time belong to none."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_clicks(FeedbackBuffer(), g)), columns=["session_id", "label", "at_ms", "candidate", "candidate_ms"])
-
-    return events.where(_TIMED).groupBy("session_id").applyInPandas(run, FEEDBACK_OUT)
+    return _timed(events).groupBy("session_id").applyInPandas(lambda g: _clicks(FeedbackBuffer(), g), FEEDBACK_OUT)
 
 
 def feedback_stream(events: DataFrame, watermark: str = "8 seconds") -> DataFrame:
@@ -242,13 +247,13 @@ def feedback_stream(events: DataFrame, watermark: str = "8 seconds") -> DataFram
             return
         g = pd.concat(list(parts))
         buf = FeedbackBuffer(json.loads(state.get[0])) if state.exists else FeedbackBuffer()
-        out = list(_clicks(buf, g))
-        if out:
-            yield pd.DataFrame(out)
+        out = _clicks(buf, g)
+        if len(out):
+            yield out
         state.update((json.dumps(buf.rows),))
         state.setTimeoutTimestamp(max(int(g["at_ms"].max()) + FEEDBACK_MS, state.getCurrentWatermarkMs() + 1))
 
-    timed = events.where(_TIMED).withColumn("_ts", F.timestamp_millis(F.greatest("at_ms", F.lit(1)))).withWatermark("_ts", watermark)
+    timed = _timed(events).withColumn("_ts", F.timestamp_millis(F.greatest("at_ms", F.lit(1)))).withWatermark("_ts", watermark)
     return timed.groupBy("session_id").applyInPandasWithState(run, FEEDBACK_OUT, "rows string", "append", GroupStateTimeout.EventTimeTimeout)
 
 

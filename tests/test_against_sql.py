@@ -82,6 +82,15 @@ def test_feedback_of_old_events_and_halves_of_a_cent(differs, name):
     assert differs(name, events=OLD_EVENTS) == ([], [])
 
 
+LARGE_IDS = """SELECT CASE WHEN range IN (3, 8) THEN NULL ELSE 9007199254740993 + 2 * range END AS event_id, TIMESTAMP '2024-03-10 00:00:00' + to_minutes(range // 3) AS ts, 1 AS user_id,
+  CASE WHEN range IN (2, 5, 9, 14) THEN 'error' ELSE 'view' END AS event_type, (CASE WHEN range = 3 THEN 9 ELSE range % 4 END)::DOUBLE AS value, '{}' AS props FROM range(15)"""
+
+
+@pytest.mark.parametrize("name", ["feedback_replay"])
+def test_feedback_of_ids_beyond_a_double_beside_absent_ones(differs, name):
+    assert differs(name, events=LARGE_IDS) == ([], [])
+
+
 def test_halves_of_a_digit_and_absent_sizes(differs):
     events = "SELECT unnest([262144, 786432, 7, -7, -5, 10, 11, NULL]::BIGINT[]) AS event_id, unnest([1, 2, 3, 4, NULL, NULL, NULL, 5]) AS user_id"
     assert differs("media_columns", events=events) == ([], [])
