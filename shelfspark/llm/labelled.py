@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import by_place, id_text, place
 
@@ -21,8 +22,16 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, seed: str, id_col="doc
     of their id: ``_id``, ``_text``, ``_label``, and ``_fold`` from 0 to 3.
 
     Ids with several labels take the smallest, repeated documents the smallest text.
+    Where only one table has text as ids, text that is no id of the other's kind meets none.
     """
     named = by_place(labels).select(F.col(place(labels, id_col)).alias("_id"), F.col(place(labels, label_col)).cast("double").alias("_label"))
+    texts = id_text(docs, id_col, text_col)
+    kind, label_kind = texts.schema["_id"].dataType, named.schema["_id"].dataType
+    met = F.col("_id")
+    if kind != label_kind and isinstance(label_kind, StringType):
+        named = named.withColumn("_id", F.col("_id").try_cast(kind))
+    elif kind != label_kind and isinstance(kind, StringType):
+        texts, met = texts.where(~held_out("_id")), met.try_cast(label_kind)  # "017" and 17 may differ in that
     ids = (
         named.where(F.col("_id").isNotNull() & F.col("_label").isin(0.0, 1.0) & ~held_out("_id"))
         .groupBy("_id")
@@ -33,5 +42,5 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, seed: str, id_col="doc
         .withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed + "fold"), F.col("_id").cast("string")), F.lit(4)).cast("int"))
     )
     # the sample has ``most`` rows of ids at most, which bounds what is broadcast
-    found = id_text(docs, id_col, text_col).join(F.broadcast(ids.drop("_order")), "_id")
+    found = texts.withColumn("_met", met).join(F.broadcast(ids.drop("_order").withColumnRenamed("_id", "_met")), "_met")
     return found.groupBy("_id", "_label", "_fold").agg(F.min("_text").alias("_text")).select("_id", "_text", "_label", "_fold")

@@ -577,3 +577,17 @@ def test_fits_with_clashing_names_repeated_ids_and_any_partitions(spark):
             found.append(sorted((r["a.b"], r["score" if "score" in r else "probability"]) for r in collect(out)))
         assert [x for x, _ in found[0]] == [x for x, _ in found[1]]
         assert np.allclose([y for _, y in found[0]], [y for _, y in found[1]], atol=1e-6)
+
+
+@pytest.mark.parametrize("doc_kind, label_kind", [("string", "long"), ("long", "string"), ("string", "string")])
+def test_labels_meet_documents_of_another_kind_of_id(spark, doc_kind, label_kind):
+    """Text that is no number meets no number; it is no error."""
+    from shelfspark.llm.labelled import sample
+
+    odd = ["0-17", "", "12.5", "99999999999999999999", None]
+    docs = [(str(i), f"text {i}") for i in range(30)] + [(i, "odd") for i in odd if doc_kind == "string"]
+    labels = [(str(i), i % 2) for i in range(30)] + [(i, 1) for i in odd if label_kind == "string" != doc_kind]
+    docs = spark.createDataFrame(docs, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(doc_kind))
+    labels = spark.createDataFrame(labels, "doc_id string, quality int").withColumn("doc_id", F.col("doc_id").cast(label_kind))
+    got = sorted((str(r["_id"]), r["_text"], r["_label"]) for r in sample(docs, labels, 100, "s").collect())
+    assert got == sorted((str(i), f"text {i}", float(i % 2)) for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1)
